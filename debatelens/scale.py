@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 MAX_BROADCAST_ROWS = 200_000
 #: A key with more rows than this is never put into one window frame.
 MAX_ROWS_PER_KEY = 2_000_000
-#: Keys above the limit listed on the driver; there are at most rows / limit of them.
+#: Rows aimed at for one chunk of a hot key.
+ROWS_PER_CHUNK = 2_000_000
+#: Hot keys listed on the driver, largest first; further ones stay in the plain window.
 MAX_LISTED_KEYS = 10_000
 
 
@@ -60,9 +62,7 @@ def join_lookup(
     return df.join(side, on, how)
 
 
-def ranked_chunks(
-    df: DataFrame, order: Sequence[str | Column], chunks: int | None = None
-) -> DataFrame:
+def ranked_chunks(df: DataFrame, order: Sequence[str | Column], rows: int) -> DataFrame:
     """Cut ``df`` along a total order into chunks: adds ``_chunk``, rising with the order.
 
     Range partitioning splits hot keys because the order reaches beyond the key.
@@ -71,9 +71,9 @@ def ranked_chunks(
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     return (
-        df.repartitionByRange(n, *order)
+        df.repartitionByRange(max(least, rows // ROWS_PER_CHUNK + 1), *order)
         .withColumn("_chunk", F.spark_partition_id())
         .checkpoint()
     )
@@ -94,24 +94,24 @@ def chunk_offsets(
     )
 
 
-def hot_keys(df: DataFrame, key: str, max_rows: int) -> list:
-    """Keys with more than ``max_rows`` rows (partial counts first, so no skew here)."""
+def hot_keys(df: DataFrame, key: str, max_rows: int) -> list[tuple]:
+    """(key, rows) of keys above ``max_rows``; counts combine before the shuffle."""
     heavy = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows)
-    return [r[0] for r in heavy.select(key).take(MAX_LISTED_KEYS)]
+    return [tuple(r) for r in heavy.orderBy(F.desc("n"), key).take(MAX_LISTED_KEYS)]
 
 
 def split_hot(
-    df: DataFrame, key: str, max_rows: int | None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of normal keys, and rows of hot keys (None when there are none)."""
+    df: DataFrame, key: str, max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of normal keys, rows of hot keys (None when there are none), hot row count."""
     hot = hot_keys(df, key, MAX_ROWS_PER_KEY if max_rows is None else max_rows)
     if not hot:
-        return df, None
-    values = [h for h in hot if h is not None]
+        return df, None, 0
+    values = [k for k, _ in hot if k is not None]
     is_hot = F.coalesce(F.col(key).isin(values), F.lit(False)) if values else F.lit(False)
-    if None in hot:
+    if len(values) < len(hot):
         is_hot = is_hot | F.col(key).isNull()
-    return df.where(~is_hot), df.where(is_hot)
+    return df.where(~is_hot), df.where(is_hot), sum(n for _, n in hot)
 
 
 def positions(
@@ -122,13 +122,13 @@ def positions(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 0 along ``order`` (which must be total)."""
-    normal, hot = split_hot(df, key, max_rows)
+    normal, hot, hot_rows = split_hot(df, key, max_rows)
     numbered = normal.withColumn(
         out, F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long") - 1
     )
     if hot is None:
         return numbered
-    chunked = ranked_chunks(hot, [F.col(key), *order])
+    chunked = ranked_chunks(hot, [F.col(key), *order], hot_rows)
     offsets = chunk_offsets(chunked, [key], {"_before": F.count(F.lit(1))})
     local = F.row_number().over(W.partitionBy("_chunk", key).orderBy(*order)).cast("long") - 1
     spread = (
