@@ -116,7 +116,9 @@ def has_phrase(text: Column | str = "message", phrases: list[str] | None = None)
     """Whether the lower-cased text holds any of the phrases as whole words."""
     listed = V.ESCALATION_PHRASES if phrases is None else phrases
     choice = "|".join(re.escape(p) for p in listed)
-    return F.lower(text).rlike(rf"\b(?:{choice})\b")
+    # spelled-out word class: \w and \b of the JVM know ASCII letters only
+    word = r"[\p{L}\p{N}_]"
+    return F.lower(text).rlike(f"(?<!{word})(?:{choice})(?!{word})")
 
 
 def phrase_or_toxic(

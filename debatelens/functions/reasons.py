@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 from .. import values as V
 
 
+_QUOTED = r"""(?:'[^']*'|"[^"]*")"""
+_LIST = rf"^\[\s*(?:{_QUOTED}\s*(?:,\s*{_QUOTED}\s*)*,?\s*)?\]$"
+
+
 def parse_reasons(text: Column | str = "escalation_reason") -> Column:
     """Array of a stored list literal.
 
@@ -14,12 +18,13 @@ def parse_reasons(text: Column | str = "escalation_reason") -> Column:
     """
     col = F.col(text) if isinstance(text, str) else text
     body = F.trim(col)
-    as_json = F.regexp_replace(body, "'", '"')
-    # a JSON reader turns half-read input into nulls, hence the check of the whole shape
-    listed = body.rlike(r"^\[\s*(?:'[^'\"]*'\s*(?:,\s*'[^'\"]*'\s*)*,?\s*)?\]$")
+    items = F.transform(
+        F.regexp_extract_all(body, F.lit(_QUOTED), F.lit(0)),
+        lambda item: F.substring(item, F.lit(2), F.length(item) - 2),
+    )
     return (
         F.when(body == "None", F.lit(None).cast("array<string>"))
-        .when(listed, F.from_json(F.regexp_replace(as_json, r",\s*\]$", "]"), "array<string>"))
+        .when(body.rlike(_LIST) | body.rlike(f"^{_QUOTED}$"), items)
         .when(col.isNotNull(), F.array(col))
     )
 

@@ -144,3 +144,76 @@ def positions(
         .drop("_chunk", "_local")
     )
     return numbered.unionByName(spread)
+
+
+def earlier_values(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str | Column],
+    value: Column,
+    size: int,
+    out: str,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """Add the values of up to ``size`` earlier rows of the key, oldest first.
+
+    A hot key is cut into runs of consecutive positions; the last ``size`` rows of
+    a run also go to the next run, as context only, so a run needs nothing else.
+    """
+    frame = (-size, -1)
+    normal, hot, _ = split_hot(df, key, max_rows)
+    plain = W.partitionBy(key).orderBy(*order).rowsBetween(*frame)
+    done = normal.withColumn(out, F.collect_list(value).over(plain))
+    if hot is None:
+        return done
+    run_length = max(MAX_ROWS_PER_KEY if max_rows is None else max_rows, size)
+    run = F.floor(F.col("_at") / run_length)
+    tail = F.col("_at") % run_length >= run_length - size
+    spread = (
+        positions(hot, key, order, "_at", max_rows)
+        .withColumn("_home", run)
+        .withColumn("_run", F.explode(F.when(tail, F.array(run, run + 1)).otherwise(F.array(run))))
+    )
+    by_run = W.partitionBy(key, "_run").orderBy("_at").rowsBetween(*frame)
+    context = (
+        spread.withColumn(out, F.collect_list(value).over(by_run))
+        .where(F.col("_run") == F.col("_home"))
+        .drop("_at", "_home", "_run")
+    )
+    return done.unionByName(context)
+
+
+def cumulative_counts(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    measures: dict[str, Column],
+    max_rows: int = MAX_ROWS_PER_KEY,
+) -> DataFrame:
+    """Per group and distinct value: each measure, and its total over smaller values.
+
+    Rows collapse to distinct values first. If those are few, one window per group
+    is enough; otherwise the values are cut into range chunks whose totals are
+    carried forward.
+    """
+    distinct = df.groupBy(*by, value).agg(*[e.alias(m) for m, e in measures.items()])
+    before = {m: f"{m}_before" for m in measures}
+    if fits(distinct, max_rows):
+        below = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return distinct.select(
+            "*", *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(b) for m, b in before.items()]
+        )
+    chunked = ranked_chunks(distinct, [*by, value], distinct.count())
+    offsets = chunk_offsets(chunked, by, {b: F.sum(m) for m, b in before.items()})
+    below = W.partitionBy("_chunk", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    local = chunked.select(
+        "*",
+        *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"_{b}") for m, b in before.items()],
+    )
+    # one row per group and chunk; groups are report rows, chunks are partitions
+    return local.join(F.broadcast(offsets), [*by, "_chunk"]).select(
+        *by,
+        value,
+        *measures,
+        *[(F.col(f"_{b}") + F.col(b)).alias(b) for b in before.values()],
+    )
