@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.normal import level_ordinal, signed_score
 
@@ -63,12 +63,9 @@ def seeded_sample(df: DataFrame, n: int = 1000, seed: int = 42, id_col: str = "i
     keyed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
     prefix = F.substring("_hash", 1, _CUT_DIGITS)
     tally = keyed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    tally.createOrReplaceTempView("debatelens_sample_tally")
     # at most 16^5 prefixes, so the running total is of bounded size
-    cut = df.sparkSession.sql(
-        "SELECT min(prefix) FROM (SELECT prefix, sum(n) OVER (ORDER BY prefix) AS reached "
-        f"FROM debatelens_sample_tally) WHERE reached >= {int(n)}"
-    )
+    reached = tally.select("prefix", F.sum("n").over(W.orderBy("prefix")).alias("reached"))
+    cut = reached.where(F.col("reached") >= n).agg(F.min("prefix"))
     last = F.lit("f" * _CUT_DIGITS)
     return (
         keyed.where(prefix <= F.coalesce(cut.scalar(), last))

@@ -35,6 +35,7 @@ class ValenceRules:
     distance_damping: tuple[float, float, float] = (1.0, 0.95, 0.9)
     before_but: float = 0.5
     after_but: float = 1.5
+    contrast: str = "but"
     exclamation: float = 0.292
     most_exclamations: int = 4
     question: float = 0.18
@@ -95,7 +96,7 @@ _PLAIN = r"""([^!-/:-@\[-`{-~\s]{2,})"""
 
 def valence_words(text: Column | str = "message") -> Column:
     """Tokens between blanks, longer than one character, without edge punctuation."""
-    parts = F.filter(F.split(F.trim(text), r"\s+"), lambda t: F.length(t) > 1)
+    parts = F.filter(F.split(text, r"[\s\p{Z}]+"), lambda t: F.length(t) > 1)
     return F.transform(
         parts,
         lambda t: F.regexp_replace(
@@ -196,7 +197,7 @@ def with_valence(
     facts = read.withColumns(
         {
             "_mixed": (shouted > 0) & (shouted < n),
-            "_but": F.array_position(F.col("_tokens.word"), "but") - 1,
+            "_but": F.array_position(F.col("_tokens.word"), rules.contrast) - 1,
         }
     )
 

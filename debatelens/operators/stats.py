@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scale import MAX_ROWS_PER_KEY, cumulative_counts
 from .distributions import metrics_long
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else min(1.0, math.erfc(v / math.sqrt(2.0))))
 

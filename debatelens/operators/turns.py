@@ -94,6 +94,13 @@ def reply_context(
     return replies.withColumn("context", context).drop("_seen")
 
 
+def last_statement(msgs: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Add ``statement``: the message before each one, which a host reacts to."""
+    order, value = message_order(), F.coalesce("message", F.lit(""))
+    seen = earlier_values(msgs, CONVERSATION, order, value, 1, "_seen", max_rows)
+    return seen.withColumn("statement", F.try_element_at("_seen", F.lit(1))).drop("_seen")
+
+
 def sentiment_trend(turns: DataFrame, scores: list[str]) -> DataFrame:
     """Mean of each score per turn and speaker, in one pass."""
     return turns.groupBy("turn", "speaker").agg(*[F.avg(s).alias(s) for s in scores])

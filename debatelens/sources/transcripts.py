@@ -30,12 +30,15 @@ MODE_SPELLINGS = ["neutral", "Provocative ", "extreme", "pro-con-neutral", "Pro-
 FIRST_SECOND = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 
 
-def draw(offset: int, size: int) -> Column:
-    """Number in [0, size) that depends on conversation, turn and ``offset`` only."""
-    return F.expr(
-        f"((conv_id % 9973) * 64 + turn) * ((conv_id % 9973) * 64 + turn + {offset}) "
-        f"% 1000003 * {offset} % 999983 % {size}"
-    )
+def mixed() -> Column:
+    """Scrambled number of a message, below 1,000,003."""
+    place = F.col("conv_id") % 9973 * 64 + F.col("turn")
+    return place * (place + 61) % 1_000_003
+
+
+def draw(factor: int, size: int) -> Column:
+    """Number in [0, size) that depends on the message and ``factor`` only."""
+    return F.col("_mixed") * factor % 999_983 % size
 
 
 def pick(options: list[str], number: Column) -> Column:
@@ -68,7 +71,8 @@ def _scored(condition: Column, value: Column) -> Column:
 def messages_from_transcripts(transcripts: DataFrame) -> DataFrame:
     conv = F.col("conv_id")
     procon = conv % 7 >= 4
-    base = transcripts.select(
+    base = transcripts.withColumn("_mixed", mixed()).select(
+        "_mixed",
         "conv_id",
         "turn",
         (conv * 1000 + F.col("turn")).alias("id"),
@@ -107,10 +111,10 @@ def messages_from_transcripts(transcripts: DataFrame) -> DataFrame:
         _scored(has, draw(97, 1001) / 1000.0).alias("toxicity_score"),
     ).withColumn("toxicity_is_toxic", _scored(has, is_toxic()))
     scored = F.col("vader_compound").isNotNull()
-    judged = signals.select(
+    judged = signals.withColumn("_points", escalation_score()).select(
         "*",
         F.col("vader_compound").alias("sentiment_score"),
-        _scored(scored, escalation_level(escalation_score())).alias("escalation"),
+        _scored(scored, escalation_level("_points")).alias("escalation"),
         F.when(F.col("speaker") == V.HOST, "None")
         .when(scored, reasons_text(escalation_reasons()))
         .alias("escalation_reason"),
