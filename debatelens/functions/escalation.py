@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -38,54 +39,47 @@ class EscalationRule:
 DEFAULT_RULE = EscalationRule()
 
 
-def _findings(rule: EscalationRule) -> list[tuple[Column, int, str | None]]:
-    """(condition, weight, reason) in rule order; exclusive branches exclude each other."""
+def _branches(rule: EscalationRule) -> list[list[tuple[Column, int, str | None]]]:
+    """(condition, weight, reason) in rule order; of one list only the first hit counts."""
     vader, blob = F.col("vader_compound"), F.col("textblob_polarity")
     tr, tr_neg = F.col("transformer_score"), F.col("transformer_label") == V.NEGATIVE
     db, db_neg = F.col("distilbert_score"), F.col("distilbert_label") == V.NEGATIVE
     r = rule
     return [
-        (vader < r.vader_strong, r.vader_strong_weight, "vader_strong_negative"),
-        (
-            (vader < r.vader_negative) & (vader >= r.vader_strong),
-            r.vader_negative_weight,
-            "vader_negative",
-        ),
-        (blob < r.textblob_negative, r.textblob_negative_weight, "textblob_negative"),
-        (blob < r.textblob_strong, r.textblob_strong_weight, "textblob_strong_negative"),
-        (
-            tr_neg & (tr > r.transformer_negative),
-            r.transformer_negative_weight,
-            "transformer_negative",
-        ),
-        (
-            tr_neg & (tr > r.transformer_strong),
-            r.transformer_strong_weight,
-            "transformer_strong_negative",
-        ),
-        (db_neg & (db > r.distilbert_strong), r.distilbert_weight, "distilbert_strong_negative"),
-        # the middle band counts but names no reason
-        (
-            db_neg & (db > r.distilbert_middle) & (db <= r.distilbert_strong),
-            r.distilbert_weight,
-            None,
-        ),
-        (
-            db_neg & (db > r.distilbert_negative) & (db <= r.distilbert_middle),
-            r.distilbert_weight,
-            "distilbert_negative",
-        ),
-        (F.col("toxicity_is_toxic"), r.toxicity_weight, "toxicity"),
+        [
+            (vader < r.vader_strong, r.vader_strong_weight, "vader_strong_negative"),
+            (vader < r.vader_negative, r.vader_negative_weight, "vader_negative"),
+        ],
+        [(blob < r.textblob_negative, r.textblob_negative_weight, "textblob_negative")],
+        [(blob < r.textblob_strong, r.textblob_strong_weight, "textblob_strong_negative")],
+        [
+            (tr_neg & (tr > r.transformer_negative), r.transformer_negative_weight, "transformer_negative"),
+        ],
+        [
+            (tr_neg & (tr > r.transformer_strong), r.transformer_strong_weight, "transformer_strong_negative"),
+        ],
+        [
+            (db_neg & (db > r.distilbert_strong), r.distilbert_weight, "distilbert_strong_negative"),
+            # the middle band counts but names no reason
+            (db_neg & (db > r.distilbert_middle), r.distilbert_weight, None),
+            (db_neg & (db > r.distilbert_negative), r.distilbert_weight, "distilbert_negative"),
+        ],
+        [(F.col("toxicity_is_toxic"), r.toxicity_weight, "toxicity")],
     ]
 
 
+def _first_hit(branch: list[tuple], value: Callable[[int, str | None], Column], default: Column) -> Column:
+    expr = None
+    for condition, weight, reason in branch:
+        result = value(weight, reason)
+        expr = F.when(condition, result) if expr is None else expr.when(condition, result)
+    return expr.otherwise(default)
+
+
 def escalation_score(rule: EscalationRule = DEFAULT_RULE) -> Column:
     """Sum of the weights whose condition holds; a missing signal adds nothing."""
-    total = None
-    for condition, weight, _ in _findings(rule):
-        term = F.when(condition, weight).otherwise(0)
-        total = term if total is None else total + term
-    return total
+    terms = [_first_hit(b, lambda weight, _: F.lit(weight), F.lit(0)) for b in _branches(rule)]
+    return sum(terms[1:], terms[0])
 
 
 def escalation_level(score: Column | str, rule: EscalationRule = DEFAULT_RULE) -> Column:
@@ -96,7 +90,8 @@ def escalation_level(score: Column | str, rule: EscalationRule = DEFAULT_RULE) -
 
 def escalation_reasons(rule: EscalationRule = DEFAULT_RULE) -> Column:
     """Names of the conditions that hold, in rule order."""
-    named = [F.when(c, F.lit(name)) for c, _, name in _findings(rule) if name]
+    nothing = F.lit(None).cast("string")
+    named = [_first_hit(b, lambda _, reason: F.lit(reason), nothing) for b in _branches(rule)]
     return F.array_compact(F.array(*named))
 
 

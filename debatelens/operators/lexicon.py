@@ -29,6 +29,7 @@ class ValenceRules:
     negators: list[str] = field(default_factory=lambda: V.NEGATORS)
     boosters_up: list[str] = field(default_factory=lambda: V.BOOSTERS_UP)
     boosters_down: list[str] = field(default_factory=lambda: V.BOOSTERS_DOWN)
+    idioms: dict[str, float] = field(default_factory=lambda: V.IDIOMS)
     booster: float = 0.293
     capitals: float = 0.733
     negation: float = -0.74
@@ -126,6 +127,28 @@ def _word_at(tokens: Column, index: Column) -> Column:
     return F.when(index >= 0, F.get(tokens, index))
 
 
+def _with_phrases(value: Column, tokens: Column, i: Column, rules: ValenceRules) -> Column:
+    """Value after idioms around the word, which replace it, and two-word boosters."""
+    three, two, one, zero, next1, next2 = [
+        _word_at(tokens, i + shift)["word"] for shift in (-3, -2, -1, 0, 1, 2)
+    ]
+
+    def said(*parts: Column) -> Column:
+        spaced = [part for word in parts for part in (F.lit(" "), word)]
+        return F.concat(*spaced[1:])
+
+    if rules.idioms:
+        known = F.create_map(*[F.lit(x) for item in rules.idioms.items() for x in item])
+        places = [(zero, next1, next2), (zero, next1), (one, zero), (two, one, zero), (two, one),
+                  (three, two, one), (three, two)]
+        value = F.coalesce(*[F.try_element_at(known, said(*p)) for p in places], value)
+    pairs = [b for b in [*rules.boosters_up, *rules.boosters_down] if " " in b]
+    if pairs:
+        weak = said(three, two).isin(pairs) | said(two, one).isin(pairs)
+        value = value - F.when(weak, rules.booster).otherwise(0.0)
+    return value
+
+
 def _after_neighbours(
     tokens: Column, i: Column, token: Column, mixed: Column, rules: ValenceRules
 ) -> Column:
@@ -151,9 +174,9 @@ def _after_neighbours(
             .when(prior["negates"], rules.negation)
             .otherwise(1.0)
         )
-        return F.when(
-            prior.isNotNull() & prior["valence"].isNull(), (value + shift) * praise
-        ).otherwise(value)
+        moved = (value + shift) * praise
+        moved = F.when(distance == 3, _with_phrases(moved, tokens, i, rules)).otherwise(moved)
+        return F.when(prior.isNotNull() & prior["valence"].isNull(), moved).otherwise(value)
 
     value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), own + emphasis, step)
     one, two = _word_at(tokens, i - 1), _word_at(tokens, i - 2)["word"]

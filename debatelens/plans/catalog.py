@@ -306,7 +306,7 @@ def bots_text(msgs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # sources and sinks
-    "scan_messages": on_messages(scan_messages),
+    "scan_messages": lambda s, d: scan_messages(load(s, d)),
     "scan_scored_text": on_messages(M.scan_scored_text),
     "append_messages": append_messages,
     "ingest_conversations": ingest_conversations,

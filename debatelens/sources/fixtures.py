@@ -25,6 +25,7 @@ RULES = ValenceRules(
     negators=["of", "nicht", "qui", "no", "not"],
     boosters_up=["and", "der", "le", "los"],
     boosters_down=["in", "die", "de", "en"],
+    idioms={},
     contrast="with",
 )
 

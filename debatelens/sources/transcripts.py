@@ -2,7 +2,7 @@
 
 Transcripts have four columns: conversation number, turn, role and text. The
 message table needs speakers, topics, modes, times and model signals as well;
-they are derived from the conversation number and the turn with integer
+they are derived from the conversation number and the turn with bit
 arithmetic, so the same transcript always gives the same messages, row by row,
 without a shuffle, and a report that needs no text does not read it.
 
@@ -27,18 +27,19 @@ TOPIC_SPELLINGS = [
     "climate change", "Human Rights", "Education", "Gender Equality", "Immigration",
 ]
 MODE_SPELLINGS = ["neutral", "Provocative ", "extreme", "pro-con-neutral", "Pro-Con-Provocative", "pro-con-extreme"]
+TRANSFORMER_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "UNKNOWN"]
+DISTILBERT_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "NEGATIVE"]
+TOXICITY_LABELS = ["CLEAN", "TOXIC", "CLEAN", "CLEAN"]
 FIRST_SECOND = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 
 
-def mixed() -> Column:
-    """Scrambled number of a message, below 1,000,003."""
-    place = F.col("conv_id") % 9973 * 64 + F.col("turn")
-    return place * (place + 61) % 1_000_003
+#: Scrambled number of a message.
+MIXED = "(conv_id & 65535) * 40503 + turn * 25717"
 
 
-def draw(factor: int, size: int) -> Column:
-    """Number in [0, size) that depends on the message and ``factor`` only."""
-    return F.col("_mixed") * factor % 999_983 % size
+def draw(factor: int, bits: int) -> Column:
+    """Number of ``bits`` bits that depends on the message and ``factor`` only."""
+    return F.expr(f"((_mixed * {factor}) >> 9) & {2**bits - 1}")
 
 
 def pick(options: list[str], number: Column) -> Column:
@@ -56,70 +57,60 @@ def _speaker(procon: Column) -> Column:
 def _timestamp() -> Column:
     seconds = F.lit(FIRST_SECOND) + (F.col("conv_id") % 2000) * 3600 + F.col("turn") * 37
     whole = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.lpad(draw(29, 1_000_000).cast("string"), 6, "0")
+    fraction = F.lpad((draw(7919, 16) * 13).cast("string"), 6, "0")
     return (
-        F.when(draw(31, 50) == 0, F.lit(None).cast("string"))
-        .when(draw(37, 4) == 0, whole)
+        F.when(draw(911, 6) == 0, F.lit(None).cast("string"))
+        .when(draw(877, 2) == 0, whole)
         .otherwise(F.concat(whole, F.lit("."), fraction))
     )
 
 
-def _scored(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
 def messages_from_transcripts(transcripts: DataFrame) -> DataFrame:
     conv = F.col("conv_id")
     procon = conv % 7 >= 4
-    base = transcripts.withColumn("_mixed", mixed()).select(
-        "_mixed",
-        "conv_id",
-        "turn",
+    mode = F.when(procon, pick(MODE_SPELLINGS[3:], conv % 3)).otherwise(pick(MODE_SPELLINGS[:3], conv % 3))
+    base = transcripts.withColumn("_mixed", F.expr(MIXED)).select(
         (conv * 1000 + F.col("turn")).alias("id"),
         conv.cast("string").alias("conversation_id"),
         _speaker(procon).alias("speaker"),
         F.col("text").alias("message"),
         _timestamp().alias("timestamp"),
         pick(TOPIC_SPELLINGS, conv % 10).alias("category"),
-        F.when(conv % 41 != 40, F.when(procon, pick(MODE_SPELLINGS[3:], conv % 3)).otherwise(
-            pick(MODE_SPELLINGS[:3], conv % 3)
-        )).alias("host_mode"),
+        F.when(conv % 41 != 40, mode).alias("host_mode"),
         F.when(conv % 11 == 10, "deepseek").when(conv % 13 == 12, "ollama").otherwise("openai").alias("api"),
-    )
-
-    has = (F.col("turn") % 3 != 0) & (draw(41, 17) != 0)
-    transformer_label = F.when(draw(43, 25) == 0, V.UNKNOWN).otherwise(
-        F.when(draw(47, 2) == 0, V.NEGATIVE).otherwise(V.POSITIVE)
+        # host rows have no signals, and some rows are left unscored
+        ((F.col("turn") % 3 != 0) & (draw(331, 4) != 0)).alias("_scored"),
+        "_mixed",
     )
-    distilbert_label = F.when(draw(53, 3) == 0, V.POSITIVE).otherwise(V.NEGATIVE)
-    toxicity_label = F.when(draw(59, 4) == 0, V.TOXIC).otherwise("CLEAN")
-    signals = base.select(
-        "*",
-        _scored(has, (draw(61, 2001) - 1000) / 1000.0).alias("textblob_polarity"),
-        _scored(has, draw(67, 1001) / 1000.0).alias("textblob_subjectivity"),
-        _scored(has, (draw(71, 20001) - 10000) / 10000.0).alias("vader_compound"),
-        _scored(has, draw(73, 301) / 1000.0).alias("vader_neg"),
-        _scored(has, draw(79, 301) / 1000.0).alias("vader_pos"),
-        _scored(has, (1000 - draw(73, 301) - draw(79, 301)) / 1000.0).alias("vader_neu"),
-        _scored(has, transformer_label).alias("transformer_label"),
-        _scored(
-            has, F.when(draw(43, 25) == 0, 0.0).otherwise((5000 + draw(83, 5001)) / 10000.0)
-        ).alias("transformer_score"),
-        _scored(has, distilbert_label).alias("distilbert_label"),
-        _scored(has, (8000 + draw(89, 2001)) / 10000.0).alias("distilbert_score"),
-        _scored(has, toxicity_label).alias("toxicity_label"),
-        _scored(has, draw(97, 1001) / 1000.0).alias("toxicity_score"),
-    ).withColumn("toxicity_is_toxic", _scored(has, is_toxic()))
-    scored = F.col("vader_compound").isNotNull()
-    judged = signals.withColumn("_points", escalation_score()).select(
-        "*",
-        F.col("vader_compound").alias("sentiment_score"),
-        _scored(scored, escalation_level("_points")).alias("escalation"),
-        F.when(F.col("speaker") == V.HOST, "None")
-        .when(scored, reasons_text(escalation_reasons()))
-        .alias("escalation_reason"),
+    signals = {
+        "textblob_polarity": (draw(1613, 11) - 1024) / 1025.0,
+        "textblob_subjectivity": draw(677, 10) / 1023.0,
+        "vader_compound": (draw(2711, 14) - 8192) / 8193.0,
+        "vader_neg": draw(73, 7) / 509.0,
+        "vader_neu": (509 - draw(73, 7) - draw(79, 7)) / 509.0,
+        "vader_pos": draw(79, 7) / 509.0,
+        "transformer_label": pick(TRANSFORMER_LABELS, draw(4799, 3)),
+        "transformer_score": (draw(8311, 13) + 8192) / 16387.0,
+        "distilbert_label": pick(DISTILBERT_LABELS, draw(5903, 2)),
+        "distilbert_score": (draw(8999, 11) + 8192) / 10243.0,
+        "toxicity_label": pick(TOXICITY_LABELS, draw(5987, 2)),
+        "toxicity_score": draw(9749, 10) / 1023.0,
+    }
+    judged = (
+        base.withColumns(signals)
+        .withColumn("toxicity_is_toxic", is_toxic())
+        .withColumn("_points", escalation_score())
+        .withColumn("escalation", escalation_level("_points"))
+        .withColumn("escalation_reason", reasons_text(escalation_reasons()))
+        .withColumn("sentiment_score", F.col("vader_compound"))
     )
-    return judged.select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE_SCHEMA], "toxicity_label")
+    kept = {
+        name: F.when(F.col("_scored"), F.col(name))
+        for name in [*signals, "toxicity_is_toxic", "escalation", "escalation_reason", "sentiment_score"]
+    }
+    kept["escalation_reason"] = F.when(F.col("speaker") == V.HOST, "None").otherwise(kept["escalation_reason"])
+    stored = judged.withColumns(kept)
+    return stored.select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE_SCHEMA], "toxicity_label")
 
 
 def read_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,7 @@ BOOSTERS_DOWN = [
     "kind-of", "less", "little", "marginally", "occasionally", "partly",
     "scarcely", "slightly", "somewhat", "sort of", "sorta", "sortof", "sort-of",
 ]
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0,
+}

@@ -29,8 +29,8 @@ def table(values: list[str], column: str) -> str:
     return f"(SELECT unnest([{quoted(values)}]) AS {column})"
 
 
-def draw(factor: int, size: int) -> str:
-    return f"(h * {factor} % 999983 % {size})"
+def draw(factor: int, bits: int) -> str:
+    return f"(((h * {factor}) >> 9) & {2**bits - 1})"
 
 
 def title(c: str) -> str:
@@ -62,10 +62,10 @@ REASON_TEXT = f"'[' || array_to_string(list_transform({REASONS}, lambda r: ''''
 
 # --- the message table ---
 MSGS = f"""
-m0 AS (SELECT *, (conv_id % 9973 * 64 + turn) * (conv_id % 9973 * 64 + turn + 61) % 1000003 AS h FROM conversations),
+m0 AS (SELECT *, (conv_id & 65535) * 40503 + turn * 25717 AS h FROM conversations),
 m1 AS (SELECT *,
     conv_id % 7 >= 4 AS procon,
-    turn % 3 <> 0 AND {draw(41, 17)} <> 0 AS scored,
+    turn % 3 <> 0 AND {draw(331, 4)} <> 0 AS scored,
     strftime(make_timestamp((1704067200 + conv_id % 2000 * 3600 + turn * 37) * 1000000), '%Y-%m-%dT%H:%M:%S') AS whole
   FROM m0),
 m2 AS (SELECT
@@ -74,8 +74,8 @@ m2 AS (SELECT
     CASE turn % 3 WHEN 0 THEN 'Host' WHEN 1 THEN CASE WHEN procon THEN 'Pro-Bot' ELSE 'Bot 1' END
       ELSE CASE WHEN procon THEN 'Con-Bot' ELSE 'Bot 2' END END AS speaker,
     text AS message,
-    CASE WHEN {draw(31, 50)} = 0 THEN NULL WHEN {draw(37, 4)} = 0 THEN whole
-      ELSE whole || '.' || lpad({draw(29, 1000000)}::VARCHAR, 6, '0') END AS timestamp,
+    CASE WHEN {draw(911, 6)} = 0 THEN NULL WHEN {draw(877, 2)} = 0 THEN whole
+      ELSE whole || '.' || lpad(({draw(7919, 16)} * 13)::VARCHAR, 6, '0') END AS timestamp,
     ['Politics', ' social issues ', 'Religion', 'ECONOMY', 'Technology', 'climate change', 'Human Rights',
      'Education', 'Gender Equality', 'Immigration'][conv_id % 10 + 1] AS category,
     CASE WHEN conv_id % 41 = 40 THEN NULL
@@ -83,20 +83,19 @@ m2 AS (SELECT
       ELSE ['neutral', 'Provocative ', 'extreme'][conv_id % 3 + 1] END AS host_mode,
     CASE WHEN conv_id % 11 = 10 THEN 'deepseek' WHEN conv_id % 13 = 12 THEN 'ollama' ELSE 'openai' END AS api,
     scored,
-    CASE WHEN scored THEN ({draw(61, 2001)} - 1000) / 1e3 END AS textblob_polarity,
-    CASE WHEN scored THEN {draw(67, 1001)} / 1e3 END AS textblob_subjectivity,
-    CASE WHEN scored THEN ({draw(71, 20001)} - 10000) / 1e4 END AS vader_compound,
-    CASE WHEN scored THEN {draw(73, 301)} / 1e3 END AS vader_neg,
-    CASE WHEN scored THEN {draw(79, 301)} / 1e3 END AS vader_pos,
-    CASE WHEN scored THEN (1000 - {draw(73, 301)} - {draw(79, 301)}) / 1e3 END AS vader_neu,
-    CASE WHEN NOT scored THEN NULL WHEN {draw(43, 25)} = 0 THEN 'UNKNOWN'
-      WHEN {draw(47, 2)} = 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS transformer_label,
-    CASE WHEN NOT scored THEN NULL WHEN {draw(43, 25)} = 0 THEN 0e0
-      ELSE (5000 + {draw(83, 5001)}) / 1e4 END AS transformer_score,
-    CASE WHEN NOT scored THEN NULL WHEN {draw(53, 3)} = 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS distilbert_label,
-    CASE WHEN scored THEN (8000 + {draw(89, 2001)}) / 1e4 END AS distilbert_score,
-    CASE WHEN NOT scored THEN NULL WHEN {draw(59, 4)} = 0 THEN 'TOXIC' ELSE 'CLEAN' END AS toxicity_label,
-    CASE WHEN scored THEN {draw(97, 1001)} / 1e3 END AS toxicity_score
+    CASE WHEN scored THEN ({draw(1613, 11)} - 1024) / 1025e0 END AS textblob_polarity,
+    CASE WHEN scored THEN {draw(677, 10)} / 1023e0 END AS textblob_subjectivity,
+    CASE WHEN scored THEN ({draw(2711, 14)} - 8192) / 8193e0 END AS vader_compound,
+    CASE WHEN scored THEN {draw(73, 7)} / 509e0 END AS vader_neg,
+    CASE WHEN scored THEN {draw(79, 7)} / 509e0 END AS vader_pos,
+    CASE WHEN scored THEN (509 - {draw(73, 7)} - {draw(79, 7)}) / 509e0 END AS vader_neu,
+    CASE WHEN NOT scored THEN NULL WHEN {draw(4799, 3)} = 7 THEN 'UNKNOWN'
+      WHEN {draw(4799, 1)} = 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS transformer_label,
+    CASE WHEN scored THEN ({draw(8311, 13)} + 8192) / 16387e0 END AS transformer_score,
+    CASE WHEN NOT scored THEN NULL WHEN {draw(5903, 2)} = 1 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS distilbert_label,
+    CASE WHEN scored THEN ({draw(8999, 11)} + 8192) / 10243e0 END AS distilbert_score,
+    CASE WHEN NOT scored THEN NULL WHEN {draw(5987, 2)} = 1 THEN 'TOXIC' ELSE 'CLEAN' END AS toxicity_label,
+    CASE WHEN scored THEN {draw(9749, 10)} / 1023e0 END AS toxicity_score
   FROM m1),
 m3 AS (SELECT *, CASE WHEN scored THEN toxicity_label = 'TOXIC' AND toxicity_score > 0.8 END AS toxicity_is_toxic,
     vader_compound AS sentiment_score FROM m2),
@@ -549,7 +548,6 @@ ORACLE: dict[str, str] = {
     ),
     "level_by_bot": q(f"SELECT speaker, {level_counts()} FROM main_bots WHERE escalation IS NOT NULL GROUP BY 1"),
     "box_sentiment_by_level": q(
-        box("long", "metric, escalation", "value", "escalation IS NOT NULL") if False else
         box("known", "metric, escalation", "value"),
         melt("main_bots", ["textblob_polarity", "vader_compound"], "escalation"),
         "known AS (SELECT * FROM long WHERE escalation IS NOT NULL)",
@@ -722,10 +720,10 @@ ORACLE: dict[str, str] = {
         a AS (SELECT list('question ' || item_id ORDER BY 'question ' || item_id) AS l FROM benchmark)""",
     ),
     "render_host_reaction": q(
-        f"""SELECT id, strategy, md5(replace(replace(coalesce({pick('o.l', 'id', 'reaction')}, {pick('e.l', 'id', 'reaction')}),
+        f"""SELECT id, drawn.strategy, md5(replace(replace(coalesce({pick('o.l', 'id', 'reaction')}, {pick('e.l', 'id', 'reaction')}),
           '{{statement}}', coalesce(statement, '')), '{{category}}', coalesce(category, 'the broader topic'))) AS reaction_md5
         FROM drawn LEFT JOIN o ON drawn.strategy = o.strategy AND lower(trim(drawn.host_mode)) = o.host_mode
-          LEFT JOIN e USING (strategy)""",
+          LEFT JOIN e ON drawn.strategy = e.strategy""",
         """seen AS (SELECT *, lag(message) OVER (PARTITION BY conversation_id ORDER BY timestamp NULLS LAST, id) AS statement FROM msgs),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp NULLS LAST, id) - 1 AS n
           FROM seen WHERE speaker = 'Host'),
