@@ -70,68 +70,122 @@ def with_lookup(
     fields: list[str],
     id_col: str = "id",
     max_words: int = MAX_PLAN_WORDS,
+    marks: dict[str, dict[str, float]] | None = None,
 ) -> tuple[DataFrame, Callable[[Column], Column]]:
     """The table and a word → values function that holds on its rows.
 
-    ``lexicon`` has a ``word`` column and the value ``fields``, one row per word.
+    ``lexicon`` has a ``word`` column and value columns, one row per word. ``marks``
+    adds further values to some words. ``fields`` names all values.
     """
-    entries = lexicon.select("word", *[F.col(f).cast("double") for f in fields])
+    marks = marks or {}
+    own = [f for f in fields if f in lexicon.columns]
+    entries = lexicon.select("word", *[F.col(f).cast("double") for f in own])
     rows = entries.limit(max_words + 1).collect()
     if len(rows) <= max_words:
-        return df, plan_lookup({r["word"]: {f: r[f] for f in fields} for r in rows}, fields)
+        table = {r["word"]: {f: r[f] for f in own} for r in rows}
+        for word, values in marks.items():
+            table[word] = table.get(word, {}) | values
+        return df, plan_lookup(table, fields)
+    values = F.struct(*fields)
+    if marks:
+        schema = "word string, " + ", ".join(f"{f} double" for f in fields)
+        marked = [(word, *[values.get(f) for f in fields]) for word, values in marks.items()]
+        added = df.sparkSession.createDataFrame(marked, schema)
+        entries = (
+            entries.unionByName(added, allowMissingColumns=True)
+            .groupBy("word")
+            .agg(*[F.max(f).alias(f) for f in fields])
+        )
     # distinct words per message: combined in the task that read the message
     used = df.select(id_col, F.explode(F.array_distinct(words)).alias("word"))
     found = (
         used.join(entries, "word")
         .groupBy(id_col)
         # one message's own words, so the list is bounded by the text of one row
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct(*fields)))).alias("_found"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", values))).alias("_found"))
     )
     return df.join(found, id_col, "left"), lambda word: F.try_element_at(F.col("_found"), word)
 
 
+_BLANKS = r"[\s\p{Z}]+"
 # --- Fixed values: punctuation cut from the start or the end of a plain word ---
-_PUNCTUATION = r"""(?:[.!?,;:'"-]|!!|!!!|\?\?|\?\?\?|\?!\?|!\?!|\?!\?!|!\?!\?)"""
-_PLAIN = r"""([^!-/:-@\[-`{-~\s]{2,})"""
+_EDGE = r"""^[.!?,;:'"-]|[.!?,;:'"-]$"""
+_PUNCTUATION = r"""(?:[.,;:'"-]|!{1,3}|\?{1,3}|\?!\?!?|!\?!\??)"""
+_PLAIN = r"([^!-/:-@\[-`{-~]{2,}+)"
+_EDGED = f"^(?:{_PLAIN}{_PUNCTUATION}|{_PUNCTUATION}{_PLAIN})$"
+#: Found in every text with a token of capitals only, and in few others.
+_SHOUT = r"\p{Lu}(?:[^\p{Ll}\s\p{Z}]|(?<=[^\p{Ll}\s\p{Z}]\p{Lu}))"
 
 
 def valence_words(text: Column | str = "message") -> Column:
     """Tokens between blanks, longer than one character, without edge punctuation."""
-    parts = F.filter(F.split(text, r"[\s\p{Z}]+"), lambda t: F.length(t) > 1)
-    return F.transform(
-        parts,
-        lambda t: F.regexp_replace(
-            F.regexp_replace(t, f"^{_PUNCTUATION}{_PLAIN}$", "$1"), f"^{_PLAIN}{_PUNCTUATION}$", "$1"
-        ),
-    )
+
+    def bare(token: Column) -> Column:
+        return F.when(token.rlike(_EDGE), F.regexp_replace(token, _EDGED, "$1$2")).otherwise(token)
+
+    tokens = F.filter(F.split(text, _BLANKS), lambda t: F.length(t) > 1)
+    return F.transform(tokens, bare)
 
 
-def _token(raw: Column, lookup: Callable[[Column], Column], rules: ValenceRules) -> Column:
-    word = F.lower(raw)
-    strength = (
-        F.when(word.isin(rules.boosters_up), rules.booster)
-        .when(word.isin(rules.boosters_down), -rules.booster)
+def _occurrences(text: Column, mark: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _punctuation_emphasis(text: Column, rules: ValenceRules) -> Column:
+    marks = F.least(_occurrences(text, "!"), F.lit(rules.most_exclamations))
+    questions = _occurrences(text, "?")
+    asked = (
+        F.when(questions > 3, rules.many_questions)
+        .when(questions > 1, questions * rules.question)
         .otherwise(0.0)
     )
-    return F.struct(
-        word.alias("word"),
-        lookup(word)["valence"].alias("valence"),
-        ((F.upper(raw) == raw) & (word != raw)).alias("capitals"),
-        strength.alias("strength"),
-        (word.isin(rules.negators) | word.contains("n't")).alias("negates"),
-    )
-
+    return marks * rules.exclamation + asked
 
-def _word_at(tokens: Column, index: Column) -> Column:
-    """Token at a 0-based index, null outside the array (also before its start)."""
-    return F.when(index >= 0, F.get(tokens, index))
 
+def _shifted(value: Column, i: Column, distance: int, rules: ValenceRules) -> Column:
+    """Value of a lexicon word after the booster or negation ``distance`` words before it.
 
-def _with_phrases(value: Column, tokens: Column, i: Column, rules: ValenceRules) -> Column:
+    A word of the lexicon at that place changes nothing, nor does an unmarked one.
+    """
+    hit = F.get("_hits", i - distance)
+    loud = F.coalesce(F.get("_loud", i - distance), F.lit(False))
+    shout = F.when(loud, F.when(value > 0, rules.capitals).otherwise(-rules.capitals)).otherwise(0.0)
+    strength = F.when(value < 0, -hit["strength"]).otherwise(hit["strength"])
+    moved = value + F.coalesce((strength + shout) * rules.distance_damping[distance - 1], F.lit(0.0))
+    turned = F.when(hit["negates"].isNotNull(), rules.negation).otherwise(1.0)
+    # "never so good" strengthens instead of turning the meaning
+    so = [F.get("_words", i - d).isin("so", "this") for d in range(1, distance)]
+    if distance == 2:
+        turned = F.when(hit["never"].isNotNull() & so[0], 1.5).otherwise(turned)
+    if distance == 3:
+        turned = F.when(hit["never"].isNotNull() & (so[0] | so[1]), 1.25).otherwise(turned)
+    result = F.when(hit.isNull(), value).when(hit["valence"].isNull(), moved * turned).otherwise(value)
+    if distance < 3:
+        return result
+    return F.when(
+        F.col("_phrases") & (i >= 3) & hit["valence"].isNull(), _with_phrases(result, i, rules)
+    ).otherwise(result)
+
+
+def _two_word_boosters(rules: ValenceRules) -> list[str]:
+    return [b for b in [*rules.boosters_up, *rules.boosters_down] if " " in b]
+
+
+def _may_hold_phrase(lowered: Column, rules: ValenceRules) -> Column:
+    """False when the text lacks a word of every idiom and two-word booster."""
+    held = F.lit(False)
+    for phrase in [*rules.idioms, *_two_word_boosters(rules)]:
+        last, *others = sorted(phrase.split(), key=len, reverse=True)
+        found = lowered.contains(last)
+        for word in others:
+            found = found & lowered.contains(word)
+        held = held | found
+    return held
+
+
+def _with_phrases(value: Column, i: Column, rules: ValenceRules) -> Column:
     """Value after idioms around the word, which replace it, and two-word boosters."""
-    three, two, one, zero, next1, next2 = [
-        _word_at(tokens, i + shift)["word"] for shift in (-3, -2, -1, 0, 1, 2)
-    ]
+    three, two, one, zero, next1, next2 = [F.get("_words", i + d) for d in (-3, -2, -1, 0, 1, 2)]
 
     def said(*parts: Column) -> Column:
         spaced = [part for word in parts for part in (F.lit(" "), word)]
@@ -142,61 +196,24 @@ def _with_phrases(value: Column, tokens: Column, i: Column, rules: ValenceRules)
         places = [(zero, next1, next2), (zero, next1), (one, zero), (two, one, zero), (two, one),
                   (three, two, one), (three, two)]
         value = F.coalesce(*[F.try_element_at(known, said(*p)) for p in places], value)
-    pairs = [b for b in [*rules.boosters_up, *rules.boosters_down] if " " in b]
+    pairs = _two_word_boosters(rules)
     if pairs:
         weak = said(three, two).isin(pairs) | said(two, one).isin(pairs)
         value = value - F.when(weak, rules.booster).otherwise(0.0)
     return value
 
 
-def _after_neighbours(
-    tokens: Column, i: Column, token: Column, mixed: Column, rules: ValenceRules
-) -> Column:
-    """Valence of one lexicon word after capitals, boosters and negations before it."""
-    own = token["valence"]
-    emphasis = F.when(mixed & token["capitals"], F.signum(own) * rules.capitals).otherwise(0.0)
-
-    def step(value: Column, distance: Column) -> Column:
-        prior = _word_at(tokens, i - distance)
-        damping = F.element_at(F.array(*[F.lit(d) for d in rules.distance_damping]), distance)
-        sign = F.when(value < 0, -1.0).otherwise(1.0)
-        loud = F.when(mixed & prior["capitals"], F.when(value > 0, rules.capitals).otherwise(-rules.capitals))
-        shift = F.when(
-            prior["strength"] != 0,
-            (prior["strength"] * sign + F.coalesce(loud, F.lit(0.0))) * damping,
-        ).otherwise(0.0)
-        # "never so good" strengthens instead of turning the meaning
-        one, two = _word_at(tokens, i - 1)["word"], _word_at(tokens, i - 2)["word"]
-        so = ["so", "this"]
-        praise = (
-            F.when((distance == 2) & (prior["word"] == "never") & one.isin(so), 1.5)
-            .when((distance == 3) & (prior["word"] == "never") & (one.isin(so) | two.isin(so)), 1.25)
-            .when(prior["negates"], rules.negation)
-            .otherwise(1.0)
-        )
-        moved = (value + shift) * praise
-        moved = F.when(distance == 3, _with_phrases(moved, tokens, i, rules)).otherwise(moved)
-        return F.when(prior.isNotNull() & prior["valence"].isNull(), moved).otherwise(value)
-
-    value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), own + emphasis, step)
-    one, two = _word_at(tokens, i - 1), _word_at(tokens, i - 2)["word"]
-    least = (
-        (one["word"] == "least")
-        & one["valence"].isNull()
-        & (two.isNull() | ~two.isin(["at", "very"]))
-    )
-    return value * F.when(least, rules.negation).otherwise(1.0)
+_FIELDS = ["valence", "strength", "negates", "never"]
 
 
-def _punctuation_emphasis(text: Column, rules: ValenceRules) -> Column:
-    marks = F.least(F.regexp_count(text, F.lit("!")), F.lit(rules.most_exclamations))
-    questions = F.regexp_count(text, F.lit(r"\?"))
-    asked = (
-        F.when(questions > 3, rules.many_questions)
-        .when(questions > 1, questions * rules.question)
-        .otherwise(0.0)
-    )
-    return marks * rules.exclamation + asked
+def _word_marks(rules: ValenceRules) -> dict[str, dict[str, float]]:
+    """What the rules know of single words, next to the lexicon."""
+    marks: dict[str, dict[str, float]] = {w: {"negates": 1.0} for w in rules.negators}
+    for listed, strength in [(rules.boosters_up, rules.booster), (rules.boosters_down, -rules.booster)]:
+        for word in listed:
+            marks[word] = marks.get(word, {}) | {"strength": strength}
+    marks["never"] = marks.get("never", {}) | {"never": 1.0}
+    return marks
 
 
 def with_valence(
@@ -208,43 +225,67 @@ def with_valence(
     max_words: int = MAX_PLAN_WORDS,
     prefix: str = "vader_",
 ) -> DataFrame:
-    """Add compound, neg, neu and pos of each text by a (word, valence) lexicon."""
-    lowered = F.transform(valence_words(text), F.lower)
-    source, lookup = with_lookup(df, lexicon, lowered, ["valence"], id_col, max_words)
-    keep = df.columns
-    tokens, n = F.col("_tokens"), F.size("_tokens")
-    read = source.withColumn(
-        "_tokens", F.transform(valence_words(text), lambda raw: _token(raw, lookup, rules))
-    )
-    shouted = F.size(F.filter(tokens, lambda t: t["capitals"]))
-    facts = read.withColumns(
+    """Add compound, neg, neu and pos of each text by a (word, valence) lexicon.
+
+    ``_words`` and ``_hits`` (what is known of each word) lie side by side; the rules
+    only visit the places ``_at`` of lexicon words.
+    """
+    lowered = F.col("_lowered")
+    source, lookup = with_lookup(
+        df.withColumn("_lowered", F.lower(text)), lexicon, valence_words(lowered), _FIELDS, id_col,
+        max_words, _word_marks(rules),
+    )
+    nothing = F.lit(None).cast("double")
+    not_form = F.struct(*[(F.lit(1.0) if f == "negates" else nothing).alias(f) for f in _FIELDS])
+    shouts = F.transform(valence_words(text), lambda t: (F.upper(t) == t) & (F.lower(t) != t))
+    read = source.withColumn("_words", valence_words(lowered)).withColumns(
         {
-            "_mixed": (shouted > 0) & (shouted < n),
-            "_but": F.array_position(F.col("_tokens.word"), rules.contrast) - 1,
+            "_hits": F.transform("_words", lambda w: F.coalesce(lookup(w), F.when(w.contains("n't"), not_form))),
+            "_shouts": F.when(F.col(text).rlike(_SHOUT), shouts),
+            "_phrases": _may_hold_phrase(lowered, rules),
+            "_contrast": F.array_position("_words", rules.contrast) - 1,
         }
     )
-
-    def scored(token: Column, i: Column) -> Column:
-        kind_of = (token["word"] == "kind") & F.coalesce(
-            _word_at(tokens, i + 1)["word"] == "of", F.lit(False)
-        )
-        neutral = token["valence"].isNull() | (token["strength"] != 0) | kind_of
-        turn = (
-            F.when(F.col("_but") < 0, 1.0)
-            .when(i < F.col("_but"), rules.before_but)
-            .when(i > F.col("_but"), rules.after_but)
-            .otherwise(1.0)
+    places = F.transform(
+        "_hits", lambda h, i: F.when(h["valence"].isNotNull() & h["strength"].isNull(), i)
+    )
+    # capitals count only where other words are not in capitals
+    loud = F.when(F.array_contains("_shouts", False), F.col("_shouts"))
+    found = read.withColumns({"_loud": loud, "_at": F.array_compact(places)})
+
+    def own_value(i: Column) -> Column:
+        valence = F.get("_hits", i)["valence"]
+        emphasis = F.when(F.get("_loud", i), F.signum(valence) * rules.capitals)
+        of_kind = (F.get("_words", i) == "kind") & (F.get("_words", i + 1) == "of")
+        return F.when(of_kind, nothing).otherwise(valence + F.coalesce(emphasis, F.lit(0.0)))
+
+    def settled(v: Column, i: Column) -> Column:
+        two = F.get("_words", i - 2)
+        least = (
+            (F.get("_words", i - 1) == "least")
+            & F.get("_hits", i - 1)["valence"].isNull()
+            & (two.isNull() | ~two.isin(["at", "very"]))
         )
-        value = _after_neighbours(tokens, i, token, F.col("_mixed"), rules)
-        return F.when(neutral, 0.0).otherwise(value * turn)
+        turned = v * F.when(least, rules.negation).otherwise(1.0)
+        at = F.col("_contrast")
+        side = F.when((at < 0) | (i == at), 1.0).when(i < at, rules.before_but).otherwise(rules.after_but)
+        return F.coalesce(turned * side, F.lit(0.0))
+
+    def neighbours(distance: int) -> Callable[[Column, Column], Column]:
+        return lambda v, i: _shifted(v, i, distance, rules)
+
+    scored = found.withColumn("_values", F.transform("_at", own_value))
+    for distance in (1, 2, 3):
+        scored = scored.withColumn("_values", F.zip_with("_values", "_at", neighbours(distance)))
+    scored = scored.withColumn("_values", F.zip_with("_values", "_at", settled))
 
     zero = F.lit(0.0)
-    totals = facts.withColumn("_scores", F.transform(tokens, scored)).withColumns(
+    totals = scored.withColumns(
         {
-            "_sum": F.aggregate("_scores", zero, lambda a, x: a + x),
-            "_pos": F.aggregate("_scores", zero, lambda a, x: a + F.when(x > 0, x + 1).otherwise(0.0)),
-            "_neg": F.aggregate("_scores", zero, lambda a, x: a + F.when(x < 0, 1 - x).otherwise(0.0)),
-            "_neu": F.size(F.filter("_scores", lambda x: x == 0)).cast("double"),
+            "_sum": F.aggregate("_values", zero, lambda a, x: a + x),
+            "_pos": F.aggregate("_values", zero, lambda a, x: a + F.when(x > 0, x + 1).otherwise(0.0)),
+            "_neg": F.aggregate("_values", zero, lambda a, x: a + F.when(x < 0, 1 - x).otherwise(0.0)),
+            "_neu": (F.size("_words") - F.size(F.filter("_values", lambda x: x != 0))).cast("double"),
             "_marks": _punctuation_emphasis(F.col(text), rules),
         }
     )
@@ -264,7 +305,7 @@ def with_valence(
         return F.when(present, F.round(share, 3))
 
     return pushed.select(
-        *[c for c in keep if c not in {f"{prefix}{p}" for p in ("compound", "neg", "neu", "pos")}],
+        *[c for c in df.columns if c not in {f"{prefix}{p}" for p in ("compound", "neg", "neu", "pos")}],
         F.when(present, F.round(raw_compound, 4)).alias(f"{prefix}compound"),
         part("_neg").alias(f"{prefix}neg"),
         part("_neu").alias(f"{prefix}neu"),

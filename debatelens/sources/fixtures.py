@@ -36,22 +36,27 @@ def hash_number(text: Column, start: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, 4), 16, 10).cast("long")
 
 
-def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmark_words(spark: SparkSession, sf_dir: str, **numbers: int) -> DataFrame:
+    """Distinct words of the passages, each with the hash numbers at the named places."""
     passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return passages.select(F.explode(words("text")).alias("word")).distinct()
+    listed = passages.select(F.explode(words("text")).alias("word"))
+    # as aggregates, so that conditions on them are not evaluated on message words too
+    return listed.groupBy("word").agg(
+        *[F.max(hash_number(F.col("word"), start)).alias(name) for name, start in numbers.items()]
+    )
 
 
 def valence_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = benchmark_words(spark, sf_dir).where(hash_number(F.col("word"), 1) % 3 != 0)
-    return known.select("word", ((hash_number(F.col("word"), 5) % 79 - 39) / 10.0).alias("valence"))
+    known = benchmark_words(spark, sf_dir, keep=1, value=5).where("keep % 3 <> 0")
+    return known.select("word", ((F.col("value") % 79 - 39) / 10.0).alias("valence"))
 
 
 def polarity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = benchmark_words(spark, sf_dir).where(hash_number(F.col("word"), 9) % 2 == 0)
+    known = benchmark_words(spark, sf_dir, keep=9, value=13, other=17).where("keep % 2 = 0")
     return known.select(
         "word",
-        ((hash_number(F.col("word"), 13) % 201 - 100) / 100.0).alias("polarity"),
-        ((hash_number(F.col("word"), 17) % 101) / 100.0).alias("subjectivity"),
+        ((F.col("value") % 201 - 100) / 100.0).alias("polarity"),
+        ((F.col("other") % 101) / 100.0).alias("subjectivity"),
     )
 
 
