@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import MAX_ROWS_PER_KEY, cumulative_counts
+from ..scale import MAX_ROWS_PER_KEY, cumulative_counts, with_group_values
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -27,41 +27,32 @@ def box_summary(
     known = df.where(F.col(value).isNotNull())
     for key in by:
         known = known.where(F.col(key).isNotNull())
-    ranked = cumulative_counts(known, by, value, {"n": F.count(F.lit(1))}, max_rows)
-    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
-    placed = ranked.join(sizes, by)
+    number = F.col(value).cast("double")
+    ranked, small = cumulative_counts(known, by, value, {"n": F.count(F.lit(1))}, max_rows)
+    sized = with_group_values(ranked, by, {"count": F.sum("n")}, small)
 
     def at_rank(rank: Column) -> Column:
         inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col(value).cast("double")))
+        return F.max(F.when(inside, number))
 
-    ends = []
-    for name, q in QUARTILES.items():
-        place = (F.col("count") - 1) * F.lit(q)
-        ends += [at_rank(F.floor(place)).alias(f"{name}_lo"), at_rank(F.ceil(place)).alias(f"{name}_hi")]
+    places = {name: (F.col("count") - 1) * F.lit(q) for name, q in QUARTILES.items()}
+    ends = {}
+    for name, place in places.items():
+        ends |= {f"{name}_lo": at_rank(F.floor(place)), f"{name}_hi": at_rank(F.ceil(place))}
 
-    def between(name: str, q: float) -> Column:
-        place = (F.col("count") - 1) * F.lit(q)
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+    def between(name: str) -> Column:
+        low, high, place = F.col(f"{name}_lo"), F.col(f"{name}_hi"), places[name]
         return (low + (high - low) * (place - F.floor(place))).alias(name)
 
-    quartiles = placed.groupBy(*by, "count").agg(*ends).select(
-        *by, "count", *[between(name, q) for name, q in QUARTILES.items()]
+    placed = with_group_values(sized, by, ends, small).select(
+        *by, number.alias("_value"), "n", "count", *[between(name) for name in QUARTILES]
     )
-    iqr = F.col("q3") - F.col("q1")
-    fences = quartiles.select(
-        "*", (F.col("q1") - 1.5 * iqr).alias("_low"), (F.col("q3") + 1.5 * iqr).alias("_high")
-    )
-    inside = (F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high"))
-    summary = ["count", *QUARTILES]
-    return (
-        ranked.join(fences, by)
-        .groupBy(*by, *summary)
-        .agg(
-            F.min(F.when(inside, F.col(value).cast("double"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(value).cast("double"))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
-        )
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("_value") >= F.col("q1") - reach) & (F.col("_value") <= F.col("q3") + reach)
+    return placed.groupBy(*by, "count", *QUARTILES).agg(
+        F.min(F.when(inside, F.col("_value"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_value"))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
 
 

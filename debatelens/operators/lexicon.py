@@ -20,6 +20,8 @@ from .. import values as V
 #: Largest lexicon (in words) carried inside the plan.
 MAX_PLAN_WORDS = 50_000
 _WORDS_PER_SLOT = 16
+#: Copies of each entry of a lexicon that is joined.
+_SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -96,10 +98,15 @@ def with_lookup(
             .groupBy("word")
             .agg(*[F.max(f).alias(f) for f in fields])
         )
-    # distinct words per message: combined in the task that read the message
-    used = df.select(id_col, F.explode(F.array_distinct(words)).alias("word"))
+    # distinct words per message, salted: a word of most messages goes to many tasks
+    used = df.select(
+        id_col,
+        F.explode(F.array_distinct(words)).alias("word"),
+        F.pmod(F.xxhash64(id_col), F.lit(_SALTS)).alias("_salt"),
+    )
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")
     found = (
-        used.join(entries, "word")
+        used.join(entries.withColumn("_salt", F.explode(salts)), ["word", "_salt"])
         .groupBy(id_col)
         # one message's own words, so the list is bounded by the text of one row
         .agg(F.map_from_entries(F.collect_list(F.struct("word", values))).alias("_found"))

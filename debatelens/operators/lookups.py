@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import values as V
 from ..functions.normal import lower_name
-from ..scale import join_lookup
+from ..scale import MAX_BROADCAST_ROWS, fits, positions
 
 
 def draw_number(key: Column | str, seed: str) -> Column:
@@ -22,25 +22,27 @@ def draw_number(key: Column | str, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def _numbered(candidates: DataFrame, group: list[str], text: str) -> DataFrame:
-    """Candidates of each group numbered from 0 by text, with the group's size."""
-    within = W.partitionBy(*group)
-    return candidates.select(
-        *group,
-        F.col(text).alias("_text"),
-        (F.row_number().over(within.orderBy(text)) - 1).cast("long").alias("_number"),
-        F.count(F.lit(1)).over(within).alias("_size"),
-    )
-
-
 def _drawn(
     df: DataFrame, candidates: DataFrame, group: list[str], text: str, number: Column, out: str
 ) -> DataFrame:
-    """One candidate of the row's group by ``number`` modulo the group's size, else null."""
-    numbered = _numbered(candidates, group, text)
-    sizes = numbered.groupBy(*group).agg(F.max("_size").alias("_size"))
-    sized = join_lookup(df, sizes, group, "left").withColumn("_number", number % F.col("_size"))
-    picked = join_lookup(sized, numbered.drop("_size"), [*group, "_number"], "left")
+    """One candidate of the row's group by ``number`` modulo the group's size, else null.
+
+    Candidates are numbered from 0 by text inside their group. A small table is
+    numbered by one window and broadcast; a large one is numbered in chunks and joined.
+    """
+    listed = candidates.select(*group, F.col(text).alias("_text"))
+    small = fits(listed, MAX_BROADCAST_ROWS)
+    if small:
+        place = F.row_number().over(W.partitionBy(*group).orderBy("_text")).cast("long") - 1
+        numbered = listed.withColumn("_number", place)
+    else:
+        keyed = listed.withColumn("_group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
+        numbered = positions(keyed, "_group", [F.col("_text")], "_number").drop("_group")
+    sizes = listed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    if small:
+        numbered, sizes = F.broadcast(numbered), F.broadcast(sizes)
+    sized = df.join(sizes, group, "left").withColumn("_number", number % F.col("_size"))
+    picked = sized.join(numbered, [*group, "_number"], "left")
     return picked.withColumnRenamed("_text", out).drop("_size", "_number")
 
 

@@ -30,7 +30,7 @@ def mann_whitney(
     value. A metric without values on one side has no statistic.
     """
     compared = metrics_long(df.where(F.col(level).isin(first, second)), metrics, [level])
-    counted = cumulative_counts(
+    counted, _ = cumulative_counts(
         compared,
         ["metric"],
         "value",

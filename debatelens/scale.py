@@ -189,20 +189,19 @@ def cumulative_counts(
     value: str,
     measures: dict[str, Column],
     max_rows: int = MAX_ROWS_PER_KEY,
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """Per group and distinct value: each measure, and its total over smaller values.
 
     Rows collapse to distinct values first. If those are few, one window per group
-    is enough; otherwise the values are cut into range chunks whose totals are
-    carried forward.
+    is enough (the flag returned is true); otherwise the values are cut into range
+    chunks whose totals are carried forward.
     """
     distinct = df.groupBy(*by, value).agg(*[e.alias(m) for m, e in measures.items()])
     before = {m: f"{m}_before" for m in measures}
     if fits(distinct, max_rows):
         below = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        return distinct.select(
-            "*", *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(b) for m, b in before.items()]
-        )
+        sums = [F.coalesce(F.sum(m).over(below), F.lit(0)).alias(b) for m, b in before.items()]
+        return distinct.select("*", *sums), True
     chunked = ranked_chunks(distinct, [*by, value], distinct.count())
     offsets = chunk_offsets(chunked, by, {b: F.sum(m) for m, b in before.items()})
     below = W.partitionBy("_chunk", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
@@ -211,9 +210,21 @@ def cumulative_counts(
         *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"_{b}") for m, b in before.items()],
     )
     # one row per group and chunk; groups are report rows, chunks are partitions
-    return local.join(F.broadcast(offsets), [*by, "_chunk"]).select(
+    spread = local.join(F.broadcast(offsets), [*by, "_chunk"]).select(
         *by,
         value,
         *measures,
         *[(F.col(f"_{b}") + F.col(b)).alias(b) for b in before.values()],
     )
+    return spread, False
+
+
+def with_group_values(
+    df: DataFrame, by: Sequence[str], values: dict[str, Column], one_window: bool
+) -> DataFrame:
+    """Add aggregates of each group to its rows: by a window over small groups, which
+    keeps their partitioning, else by an aggregation joined back."""
+    if one_window:
+        whole = W.partitionBy(*by)
+        return df.select("*", *[e.over(whole).alias(n) for n, e in values.items()])
+    return df.join(df.groupBy(*by).agg(*[e.alias(n) for n, e in values.items()]), list(by))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..scale import fits
+
 MESSAGE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -91,11 +93,14 @@ def latest(msgs: DataFrame, n: int = 5) -> DataFrame:
     return msgs.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
 
 
+#: Rows up to which a report is written as one file.
+ONE_FILE_ROWS = 1_000_000
+
+
 def write_report_csv(report: DataFrame, path: str) -> None:
-    """Write a report table as one CSV file with a header.
+    """Write a report table as CSV with a header, as one file when it is small.
 
-    Reports are grids of topics, modes and levels, so one task is enough; arrays
-    become JSON text because CSV has no nested values.
+    Arrays become JSON text because CSV has no nested values.
     """
     flat = [
         F.to_json(f.name).alias(f.name)
@@ -103,7 +108,10 @@ def write_report_csv(report: DataFrame, path: str) -> None:
         else F.col(f.name)
         for f in report.schema
     ]
-    report.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows = report.select(*flat)
+    if fits(rows, ONE_FILE_ROWS):
+        rows = rows.repartition(1)
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_report_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
