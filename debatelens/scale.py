@@ -29,15 +29,16 @@ MAX_LISTED_KEYS = 10_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and scratch tables, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="debatelens-")
-        spark.conf.set("spark.checkpoint.dir", named)
+    """Shared folder for checkpoints and scratch tables, as the session names it.
+
+    Only a session without one (a local test) gets a temporary folder.
+    """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="debatelens-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -192,11 +193,13 @@ def cumulative_counts(
 ) -> tuple[DataFrame, bool]:
     """Per group and distinct value: each measure, and its total over smaller values.
 
-    Rows collapse to distinct values first. If those are few, one window per group
-    is enough (the flag returned is true); otherwise the values are cut into range
-    chunks whose totals are carried forward.
+    Rows collapse to distinct values first, which are checkpointed because they are
+    counted and then read again. If they are few, one window per group is enough
+    (the flag returned is true); otherwise they are cut into range chunks whose
+    totals are carried forward.
     """
-    distinct = df.groupBy(*by, value).agg(*[e.alias(m) for m, e in measures.items()])
+    checkpoint_root(df.sparkSession)
+    distinct = df.groupBy(*by, value).agg(*[e.alias(m) for m, e in measures.items()]).checkpoint()
     before = {m: f"{m}_before" for m in measures}
     if fits(distinct, max_rows):
         below = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
@@ -209,8 +212,8 @@ def cumulative_counts(
         "*",
         *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"_{b}") for m, b in before.items()],
     )
-    # one row per group and chunk; groups are report rows, chunks are partitions
-    spread = local.join(F.broadcast(offsets), [*by, "_chunk"]).select(
+    # both sides are partitioned by group and chunk, whatever the number of groups
+    spread = local.join(offsets, [*by, "_chunk"]).select(
         *by,
         value,
         *measures,

@@ -676,6 +676,17 @@ ORACLE: dict[str, str] = {
         melt("signed", SIGNED, "escalation"),
         RANKS,
     ),
+    # two-sided tail of the normal curve by Simpson's rule up to 12
+    "mann_whitney_p": q(
+        """SELECT metric, round(least(1, 2 * any_value(12 - z) / 4000 / 3 / sqrt(2 * pi()) * sum(
+            CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+            * exp(-(z + (12 - z) * i / 4000e0) * (z + (12 - z) * i / 4000e0) / 2))), 6) AS p
+        FROM (SELECT metric, (greatest(u, n1 * n2 - u) - mean - 0.5e0) / sigma AS z FROM us)
+          CROSS JOIN (SELECT unnest(range(4001)) AS i) GROUP BY metric""",
+        SIGNED_BOTS,
+        melt("signed", SIGNED, "escalation"),
+        RANKS,
+    ),
     "seeded_sample": q(
         f"""SELECT id, {rounded(SIGNED)} FROM signed WHERE {" AND ".join(f"{c} IS NOT NULL" for c in SIGNED)}
         ORDER BY md5('42|' || id::VARCHAR), id LIMIT 100""",
