@@ -24,6 +24,12 @@ TOPIC_AXIS = {"category": V.TOPICS}
 MODE_AXIS = {"host_mode": V.MODES}
 
 
+def _numbered(bots: DataFrame, *columns: str) -> DataFrame:
+    """Turn numbers over the columns a report needs, so that only they are moved."""
+    needed = ["id", "conversation_id", "timestamp", *columns]
+    return turn_index(bots.select(needed))
+
+
 # --- dashboard: every row ---
 
 
@@ -151,19 +157,19 @@ def box_sentiment_by_level(msgs: DataFrame) -> DataFrame:
 
 def main_sentiment_trend(msgs: DataFrame) -> DataFrame:
     scores = ["textblob_polarity", "vader_compound", "transformer_score", "distilbert_score"]
-    return sentiment_trend(turn_index(main_bots(msgs)), scores)
+    return sentiment_trend(_numbered(main_bots(msgs), "speaker", *scores), scores)
 
 
 def label_share(msgs: DataFrame, label: str) -> DataFrame:
-    return long_shares(turn_index(main_bots(msgs)), ["turn", "speaker"], label)
+    return long_shares(_numbered(main_bots(msgs), "speaker", label), ["turn", "speaker"], label)
 
 
 def level_share_by_turn(msgs: DataFrame) -> DataFrame:
-    return shares(turn_index(main_bots(msgs)), ["turn"])
+    return shares(_numbered(main_bots(msgs), "escalation"), ["turn"])
 
 
 def level_trend_ci(msgs: DataFrame) -> DataFrame:
-    return level_trend(turn_index(main_bots(msgs))).select(
+    return level_trend(_numbered(main_bots(msgs), "speaker", "escalation")).select(
         "turn", "speaker", "n", "mean_level", "ci_low", "ci_high"
     )
 
@@ -191,13 +197,13 @@ def box_procon(msgs: DataFrame) -> DataFrame:
 
 def procon_sentiment_trend(msgs: DataFrame) -> DataFrame:
     scores = ["vader_compound", "textblob_polarity", "transformer_score"]
-    return sentiment_trend(turn_index(procon_bots(msgs)), scores)
+    return sentiment_trend(_numbered(procon_bots(msgs), "speaker", *scores), scores)
 
 
 def procon_label_share(msgs: DataFrame) -> DataFrame:
     """Label shares of both classifiers, numbered once and counted together."""
-    turns = turn_index(procon_bots(msgs))
     models = ["transformer_label", "distilbert_label"]
+    turns = _numbered(procon_bots(msgs), "speaker", *models)
     long = turns.select("turn", "speaker", *models).unpivot(
         ["turn", "speaker"], models, "model", "label"
     )
@@ -205,11 +211,11 @@ def procon_label_share(msgs: DataFrame) -> DataFrame:
 
 
 def procon_level_share(msgs: DataFrame) -> DataFrame:
-    return shares(turn_index(procon_bots(msgs)), ["turn"])
+    return shares(_numbered(procon_bots(msgs), "escalation"), ["turn"])
 
 
 def procon_level_band(msgs: DataFrame) -> DataFrame:
-    return level_trend(turn_index(procon_bots(msgs))).select(
+    return level_trend(_numbered(procon_bots(msgs), "speaker", "escalation")).select(
         "turn", "speaker", "n", "mean_level", "std_level", "band_low", "band_high"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..scale import fits
+from ..scale import checkpoint_root, fits
 
 MESSAGE_SCHEMA = T.StructType(
     [
@@ -100,15 +100,17 @@ ONE_FILE_ROWS = 1_000_000
 def write_report_csv(report: DataFrame, path: str) -> None:
     """Write a report table as CSV with a header, as one file when it is small.
 
-    Arrays become JSON text because CSV has no nested values.
+    Arrays become JSON text because CSV has no nested values. The finished table is
+    checkpointed, so counting it does not compute the report again.
     """
+    checkpoint_root(report.sparkSession)
     flat = [
         F.to_json(f.name).alias(f.name)
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
         else F.col(f.name)
         for f in report.schema
     ]
-    rows = report.select(*flat)
+    rows = report.select(*flat).checkpoint()
     if fits(rows, ONE_FILE_ROWS):
         rows = rows.repartition(1)
     rows.write.mode("overwrite").option("header", True).csv(path)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from debatelens import scale
 from debatelens.operators import distributions, stats, turns
 from debatelens.operators.cluster import seeded_sample
 from debatelens.scale import join_lookup, positions, split_hot
@@ -43,6 +44,14 @@ def test_hot_keys_are_found(skewed):
     assert hot.count() == 900  # the null conversation is a key too
 
 
+def test_a_sample_finds_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(scale, "SAMPLED_ROWS_PER_KEY", 200)
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    found = scale.hot_keys(df, "k", 2_000)
+    assert [k for k, _ in found] == ["hot"] and 8_000 < found[0][1] < 12_000
+    assert scale.hot_keys(df, "k", 1_000_000) == []
+
+
 def test_turn_index(skewed):
     both(lambda d, n: turns.turn_index(d, max_rows=n), skewed, ["id", "turn"])
 
