@@ -60,11 +60,12 @@ def labels_agree(a: Column | str, b: Column | str) -> Column:
 
 
 def event_time(text: Column | str = "timestamp", strict: bool = False) -> Column:
-    """Timestamp of an ISO text, null where it cannot be read.
+    """Time of an ISO text, without a zone as it was written; null where it cannot be read.
 
     ``strict`` takes whole seconds only, so texts with a fraction become null.
     """
-    if strict:
-        return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     col = F.col(text) if isinstance(text, str) else text
-    return col.try_cast("timestamp")
+    read = col.try_cast("timestamp_ntz")
+    if not strict:
+        return read
+    return F.when(col.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"), read)

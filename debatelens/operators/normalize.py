@@ -66,6 +66,15 @@ def speaker_matches(pattern: str = "Pro|Con") -> Column:
     return F.coalesce(F.col("speaker").rlike(f"(?i){pattern}"), F.lit(False))
 
 
+# --- Fixed value: message stored when the chat service failed ---
+SERVICE_ERROR = "Error: Unable to get a response from OpenAI."
+
+
+def without_service_errors(df: DataFrame, text: str = SERVICE_ERROR) -> DataFrame:
+    """Drop messages that hold the error text of a failed service call."""
+    return df.where(~F.col("message").eqNullSafe(F.lit(text)))
+
+
 def only_modes(df: DataFrame, modes: list[str] = V.MODES) -> DataFrame:
     return df.where(lower_name("host_mode").isin(modes))
 

@@ -107,7 +107,7 @@ def latest_messages(msgs: DataFrame) -> DataFrame:
 def parse_timestamp(msgs: DataFrame) -> DataFrame:
     return msgs.select(
         "id",
-        F.unix_micros(N.event_time()).alias("micros"),
+        N.event_time().alias("event_time"),
         F.to_date(N.event_time()).alias("day"),
         F.to_date(N.event_time(strict=True)).alias("strict_day"),
     )

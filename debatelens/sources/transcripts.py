@@ -30,7 +30,6 @@ MODE_SPELLINGS = ["neutral", "Provocative ", "extreme", "pro-con-neutral", "Pro-
 TRANSFORMER_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "UNKNOWN"]
 DISTILBERT_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "NEGATIVE"]
 TOXICITY_LABELS = ["CLEAN", "TOXIC", "CLEAN", "CLEAN"]
-FIRST_SECOND = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 
 
 #: Scrambled number of a message.
@@ -55,8 +54,11 @@ def _speaker(procon: Column) -> Column:
 
 
 def _timestamp() -> Column:
-    seconds = F.lit(FIRST_SECOND) + (F.col("conv_id") % 2000) * 3600 + F.col("turn") * 37
-    whole = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    # without a zone, so that the texts do not depend on the session's
+    moment = F.expr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(conv_id % 2000), 0, int(turn * 37))"
+    )
+    whole = F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
     fraction = F.lpad((draw(7919, 16) * 13).cast("string"), 6, "0")
     return (
         F.when(draw(911, 6) == 0, F.lit(None).cast("string"))

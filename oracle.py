@@ -434,7 +434,7 @@ ORACLE: dict[str, str] = {
     "speaker_regex": q("SELECT id, speaker FROM msgs WHERE speaker ILIKE '%pro%' OR speaker ILIKE '%con%'"),
     "filter_modes": q(f"SELECT id, host_mode FROM msgs WHERE lower(trim(host_mode)) IN ({quoted(MODES)})"),
     "parse_timestamp": q(
-        "SELECT id, epoch_us(try_cast(timestamp AS TIMESTAMP)) AS micros, try_cast(timestamp AS TIMESTAMP)::DATE AS day, "
+        "SELECT id, try_cast(timestamp AS TIMESTAMP) AS event_time, try_cast(timestamp AS TIMESTAMP)::DATE AS day, "
         "try_strptime(timestamp, '%Y-%m-%dT%H:%M:%S')::DATE AS strict_day FROM msgs"
     ),
     "message_length": q("SELECT id, length(message)::INTEGER AS length FROM msgs"),

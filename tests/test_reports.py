@@ -11,6 +11,7 @@ from debatelens.operators.crosstab import counts, shares
 from debatelens.plans import reports
 from debatelens.scale import scratch_path
 from debatelens.sources import fixtures, messages as M
+from debatelens.sources.transcripts import messages_from_transcripts
 from debatelens.streaming.ingest import scored_stream
 
 
@@ -81,6 +82,24 @@ def test_times(spark):
     assert [r[1] is not None for r in rows] == [False, True, False, False]
 
 
+def test_times_do_not_depend_on_the_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    transcripts = spark.read.parquet(f"{DATA}/conversations.parquet")
+    here = messages_from_transcripts(transcripts).select("id", "timestamp", N.event_time().alias("t"))
+    expected = sorted(map(repr, here.collect()))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        there = messages_from_transcripts(transcripts).select("id", "timestamp", N.event_time().alias("t"))
+        assert sorted(map(repr, there.collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_service_errors_can_be_dropped(spark):
+    df = spark.createDataFrame([(normalize.SERVICE_ERROR,), ("fine",), (None,)], "message string")
+    assert normalize.without_service_errors(df).count() == 2
+
+
 def test_signed_scores(spark):
     rows = [("POSITIVE", 0.9), (" negative ", 0.9), ("UNKNOWN", 0.4), (None, 0.3), ("POSITIVE", None)]
     df = spark.createDataFrame(rows, "l string, s double").select(N.signed_score("l", "s"))
