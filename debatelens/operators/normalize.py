@@ -28,7 +28,14 @@ def normalise_names(df: DataFrame) -> DataFrame:
 
 
 def drop_null_keys(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return df.na.drop(subset=keys or ["host_mode", "escalation_level"])
+    """Drop rows without a mode or a level.
+
+    Plain null checks on stored columns, which reach the scan; a normalised name is
+    null exactly where the stored one is.
+    """
+    for key in keys or ["host_mode", "escalation"]:
+        df = df.where(F.col(key).isNotNull())
+    return df
 
 
 def only_api(df: DataFrame, api: str = "openai") -> DataFrame:
@@ -98,5 +105,5 @@ def procon_bots(msgs: DataFrame) -> DataFrame:
 
 def host_mode_bots(msgs: DataFrame) -> DataFrame:
     """Rows of the host-mode report family: mode and level must be known."""
-    named = drop_null_keys(normalise_names(resolve_speaker(msgs)))
-    return only_speakers(without_host(named, anywhere=True), V.BOTS)
+    bots = only_speakers(without_host(resolve_speaker(msgs), anywhere=True), V.BOTS)
+    return normalise_names(drop_null_keys(bots))

@@ -321,7 +321,7 @@ QUERIES: dict[str, Query] = {
         lambda m: normalize.normalise_names(m).select("id", "host_mode", "escalation_level")
     ),
     "drop_null_keys": on_messages(
-        lambda m: normalize.drop_null_keys(normalize.normalise_names(m)).select("id", "host_mode", "escalation_level")
+        lambda m: normalize.normalise_names(normalize.drop_null_keys(m)).select("id", "host_mode", "escalation_level")
     ),
     "filter_api": on_messages(lambda m: normalize.only_api(m).select("id", "api")),
     "topic_semi_join": topic_semi_join,

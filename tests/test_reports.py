@@ -187,3 +187,21 @@ def test_stream_scores_like_the_batch(spark, msgs):
     kept = ["id", "escalation", "escalation_reason", "vader_compound", "transformer_label"]
     stored = spark.read.parquet(sink).select(kept)
     assert sorted(map(repr, stored.collect())) == sorted(map(repr, batch.select(kept).collect()))
+
+
+def test_filters_reach_the_scan(spark, msgs):
+    path = scratch_path(spark, "scan-test")
+    msgs.select([f.name for f in M.MESSAGE_SCHEMA]).write.parquet(path)
+    stored = M.read_messages(spark, path)
+
+    def scans(report):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.split("\n") if "FileScan" in line]
+
+    (main,) = scans(reports.rate1000_by_mode_topic(stored))
+    assert "EqualTo(api,openai)" in main and "In(speaker, [Bot 1,Bot 2])" in main
+    assert "message:" not in main and "vader" not in main
+    (modes,) = scans(reports.count_by_mode_level(stored))
+    assert "IsNotNull(host_mode)" in modes and "IsNotNull(escalation)" in modes
+    (days,) = scans(reports.escalation_by_day(stored))
+    assert "struct<timestamp:string,escalation:string>" in days
