@@ -14,6 +14,7 @@ from ..operators import reasons, stats, terms, turns
 from ..operators.crosstab import counts
 from ..scale import scratch_path
 from ..sources import fixtures, messages as M
+from ..sources.fixtures import hash_predictor
 from ..sources.transcripts import read_transcripts
 from . import reports
 
@@ -161,13 +162,13 @@ def lexicon_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = load(spark, sf_dir).select("id", "message")
     for kind in ["transformer", "distilbert"]:
-        scored = models.score_with_model(scored, kind, lambda k=kind: fixtures.hash_predictor(k))
+        scored = models.score_with_model(scored, kind, lambda k=kind: hash_predictor(k))
     return scored.drop("message")
 
 
 def model_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     def load_failing():
-        return fixtures.hash_predictor("transformer", fail_every=5)
+        return hash_predictor("transformer", fail_every=5)
 
     msgs = load(spark, sf_dir).select("id", "message")
     return models.score_with_model(msgs, "transformer", load_failing).drop("message")
