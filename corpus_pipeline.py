@@ -6,19 +6,46 @@ one's rows as Parquet and gives them to the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debatelens.llm import simhash
+from debatelens.llm import mixing, packing, quality, simhash, substring
 from debatelens.llm.common import stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go."""
+    return quality.keep_good(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds are cut out; a
+    document that loses all its words goes."""
+    left = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks for, in a global shuffle."""
+    return mixing.poisson_mix(docs, numbered=False)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences with their texts."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("simhash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixed_sources),
+    ("best-fit packing", packed_sequences),
 ]
 
 #: SQL cannot express the fingerprints; the tests hold the stages against brute force.

@@ -207,11 +207,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Columns and texts are unchanged. Of repeated rows one stays.
     """
-    key, number = own_names(docs, ["text_hash", "row_number"])
+    key, number, stay_id, stay_hash = own_names(docs, ["text_hash", "row_number", "stay_id", "stay_hash"])
     stay = simhash_groups(docs, id_col, text_col, **options).where("kept")
-    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash)).distinct()
     rows = docs.withColumn(key, F.xxhash64(F.col(text_col)))
-    same = rows[id_col].cast("long").eqNullSafe(stay["stay_id"]) & (rows[key] == stay["stay_hash"])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(stay_id)) & (F.col(key) == F.col(stay_hash))
     once = F.row_number().over(W.partitionBy(key, id_col).orderBy(key))
     return (
         rows.join(stay, same, "left_semi").withColumn(number, once).where(F.col(number) == 1).drop(key, number)
