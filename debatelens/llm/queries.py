@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debatelens.llm import mixing, packing, quality, simhash, substring
+from debatelens.llm import licenses, mixing, packing, preferences, quality, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and licences as lists with commas."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("sentences", ",").alias("sentences"),
+        F.array_join("licenses", ",").alias("licenses"),
+        "n_unknown",
+        "rest",
+    )
+
+
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"))
 
@@ -37,10 +49,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's last reply; spans as text."""
+    pairs = preferences.format_pairs(preferences.with_other_reply(_table(spark, sf_dir, "conversations")))
+    for side in ("chosen", "rejected"):
+        spans = F.transform(f"{side}_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+        pairs = pairs.withColumn(f"{side}_spans", F.array_join(spans, ","))
+    return pairs
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_poisson_mix": op3_poisson_mix,
+    "op6_license_rules": op6_license_rules,
     "op7_quality_divergence": op7_quality_divergence,
     "op9_simhash": op9_simhash,
+    "op10_preference_format": op10_preference_format,
 }
