@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debatelens.llm import licenses, mixing, packing, preferences, quality, simhash, substring
+from debatelens.llm import (
+    embeddings,
+    licenses,
+    mixing,
+    packing,
+    preferences,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    warc,
+)
+from debatelens.scale import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +38,23 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "tokens",
+    )
+
+
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers and licences as lists with commas."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
@@ -42,6 +71,21 @@ def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page to archives in the shared folder, and the records' headers read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.page_records(_table(spark, sf_dir, "pages")), path)
+    columns = ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+    records = warc.read_warc(spark, path, columns).where(F.col("record_type").isin("response", "revisit"))
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -62,8 +106,11 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_poisson_mix": op3_poisson_mix,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_vector_sharding": op5_vector_sharding,
     "op6_license_rules": op6_license_rules,
     "op7_quality_divergence": op7_quality_divergence,
+    "op8_warc_source": op8_warc_source,
     "op9_simhash": op9_simhash,
     "op10_preference_format": op10_preference_format,
 }
