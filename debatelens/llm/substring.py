@@ -11,16 +11,16 @@ others. Anchors that stand in very many passages are cut further, by whole windo
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import compress
+from itertools import compress, groupby
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from debatelens.llm.common import as_bytes, key_runs, own_names, stored
+from debatelens.llm.common import as_bytes, own_names, stored
 
 LEAST = 50
 GRAM = 10
@@ -169,27 +169,31 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _shard_spans(group: pd.DataFrame, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """Spans of one shard's passages that a passage with a smaller doc_id holds."""
-    automaton, waiting, seen = SuffixAutomaton(), [], {}
-    for doc_id, rows in group.groupby("doc_id", sort=True):
+def _shard_spans(rows: Iterable[tuple], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """Spans of one shard's passages that a passage with a smaller doc_id holds.
+
+    ``rows`` are (doc_id, text_hash, at, passage), by doc_id. The automaton holds the
+    passages of smaller ids; it is built when the first passage unlike them comes.
+    """
+    automaton, waiting, seen = SuffixAutomaton(), [], set()
+    for doc_id, own in groupby(rows, itemgetter(0)):
         fresh = []
-        for text_hash, at, passage in zip(rows["text_hash"], rows["at"], rows["passage"], strict=True):
-            words = passage.split()
+        for _, text_hash, at, passage in own:
             if passage in seen:
-                yield doc_id, text_hash, at, at + len(words)
+                yield doc_id, text_hash, at, at + passage.count(b" ") + 1
+                continue
+            fresh.append(passage)
+            if not seen:
                 continue
-            fresh.append((passage, words))
-            for words_before in waiting:
-                automaton.add(words_before)
+            for before in waiting:
+                automaton.add(before.split(b" "))
             waiting = []
-            if seen:
-                for start, end in automaton.spans(words, least):
-                    yield doc_id, text_hash, at + start, at + end
-        for passage, words in fresh:
+            for start, end in automaton.spans(passage.split(b" "), least):
+                yield doc_id, text_hash, at + start, at + end
+        for passage in fresh:
             if passage not in seen:
-                seen[passage] = True
-                waiting.append(words)
+                seen.add(passage)
+                waiting.append(passage)
 
 
 def repeated_spans(
@@ -211,15 +215,22 @@ def repeated_spans(
     marks = marks.agg(F.collect_set(F.struct("anchor", "first", "last", "crowded")).alias("marks"))
     passages = stored(_passages(rows.join(marks, ["doc_id", "text_hash"]), least), "passages")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in key_runs(batches, "key"):
-            if group["doc_id"].iloc[0] != group["doc_id"].iloc[-1]:
-                spans = list(_shard_spans(group, least))
-                yield pd.DataFrame(spans, columns=["doc_id", "text_hash", "start", "end"])
+    names = ["doc_id", "text_hash", "start", "end"]
+    spans_schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(rows, itemgetter(0)):
+            out += _shard_spans((row[1:] for row in group), least)
+            if len(out) >= 1 << 16:
+                yield _batch(out, spans_schema)
+                out = []
+        yield _batch(out, spans_schema)
 
     kind = "doc_id long, text_hash long, start int, end int"
     few = passages.where("passage is not null").select("key", "doc_id", "text_hash", "at", "passage")
-    near = few.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInPandas(run, kind)
+    near = few.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(run, kind)
     many = passages.where("passage is null").select("key", "key2", "doc_id", "text_hash", "at")
     least_id = many.groupBy("key", "key2").agg(F.min("doc_id").alias("low"))
     wide = many.join(least_id, ["key", "key2"]).where("low < doc_id")
