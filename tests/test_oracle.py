@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import DATA
 
-TABLES = ["conversations", "benchmark", "pages", "documents", "labels"]
+TABLES = ["conversations", "benchmark", "pages", "documents", "labels", "embeddings"]
 
 
 @pytest.fixture(scope="module")
