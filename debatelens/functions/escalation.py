@@ -108,8 +108,11 @@ def is_toxic(
 
 
 def has_phrase(text: Column | str = "message", phrases: list[str] | None = None) -> Column:
-    """Whether the lower-cased text holds any of the phrases as whole words."""
-    listed = V.ESCALATION_PHRASES if phrases is None else phrases
+    """Whether the lower-cased text holds any of the phrases as whole words; with no
+    phrases nothing does."""
+    listed = [p for p in (V.ESCALATION_PHRASES if phrases is None else phrases) if p]
+    if not listed:
+        return F.lit(False)
     choice = "|".join(re.escape(p) for p in listed)
     # spelled-out word class: \w and \b of the JVM know ASCII letters only
     word = r"[\p{L}\p{N}_]"

@@ -7,13 +7,23 @@ from pyspark.sql import Column, functions as F
 from .. import values as V
 
 
+def stripped(c: Column | str) -> Column:
+    """Text without any blanks, tabs or line breaks at its ends."""
+    return F.btrim(c, F.lit(V.BLANKS))
+
+
 def title_name(c: Column | str) -> Column:
     """Trimmed, title-cased topic name."""
-    return F.initcap(F.trim(c))
+    return F.initcap(stripped(c))
 
 
 def lower_name(c: Column | str) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(stripped(c))
+
+
+def is_blank(c: Column | str = "message") -> Column:
+    """Whether a text has nothing but blanks; null for null."""
+    return stripped(c) == ""
 
 
 def is_procon(mode: Column | str = "host_mode") -> Column:
@@ -35,7 +45,7 @@ def preview(c: Column | str = "message") -> Column:
 
 def signed_score(label: Column | str, score: Column | str) -> Column:
     """Score with the sign of its label; 0 for any other label, null for a null score."""
-    name = F.lower(F.trim(label))
+    name = lower_name(label)
     value = F.col(score) if isinstance(score, str) else score
     return (
         F.when(value.isNull(), F.lit(None).cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import values as V
-
+from .normal import stripped
 
 _QUOTED = r"""(?:'[^']*'|"[^"]*")"""
 _LIST = rf"^\[\s*(?:{_QUOTED}\s*(?:,\s*{_QUOTED}\s*)*,?\s*)?\]$"
@@ -17,7 +17,7 @@ def parse_reasons(text: Column | str = "escalation_reason") -> Column:
     ``None`` and null give null; a text that is not a list gives a list of that text.
     """
     col = F.col(text) if isinstance(text, str) else text
-    body = F.trim(col)
+    body = stripped(col)
     items = F.transform(
         F.regexp_extract_all(body, F.lit(_QUOTED), F.lit(0)),
         lambda item: F.substring(item, F.lit(2), F.length(item) - 2),

@@ -16,10 +16,11 @@ from ..functions.escalation import (
     escalation_score,
     is_toxic,
 )
+from ..functions.normal import is_blank
 from ..functions.reasons import reasons_text
 from ..sources.messages import MESSAGE_SCHEMA, SIGNALS, ensure_columns
 from .lexicon import MAX_PLAN_WORDS, DEFAULT_VALENCE_RULES, ValenceRules, with_polarity, with_valence
-from .models import Predictor, score_with_model
+from .models import Predictor, score_with_models
 
 
 @dataclass(frozen=True)
@@ -59,11 +60,8 @@ def enrich(df: DataFrame, scorer: Scorer, text: str = "message", id_col: str = "
         df, scorer.valence, text, id_col, scorer.valence_rules, scorer.max_words
     )
     signals = with_polarity(signals, scorer.polarity, text, id_col, scorer.max_words)
-    for prefix, load in scorer.models.items():
-        toxicity = prefix == "toxicity"
-        signals = score_with_model(
-            signals, prefix, load, text, None if toxicity else V.UNKNOWN, upper=not toxicity
-        )
+    fallbacks = {p: None if p == "toxicity" else V.UNKNOWN for p in scorer.models}
+    signals = score_with_models(signals, scorer.models, text, fallbacks, as_is={"toxicity"})
     if "toxicity_label" in signals.columns:
         signals = signals.withColumn("toxicity_is_toxic", is_toxic(toxic_label=scorer.toxic_label))
     judged = apply_rule(ensure_columns(signals, MESSAGE_SCHEMA), scorer.rule)
@@ -72,7 +70,7 @@ def enrich(df: DataFrame, scorer: Scorer, text: str = "message", id_col: str = "
 
 def analyze_texts(df: DataFrame, scorer: Scorer, text: str = "message", id_col: str = "id") -> DataFrame:
     """Score typed texts; blank ones are left out, reasons come as one line."""
-    typed = enrich(df.where(F.trim(text) != ""), scorer, text, id_col)
+    typed = enrich(df.where(~is_blank(text)), scorer, text, id_col)
     return typed.withColumn("escalation_reason", F.array_join("escalation_reason", ", "))
 
 
@@ -94,7 +92,11 @@ def ingest_conversations(
     api: Column | str,
     conversation_id: Column | str = "conversation_id",
 ) -> DataFrame:
-    """Rows to store for finished conversations: bots scored, host rows without signals."""
+    """Rows to store for finished conversations: bots scored, host rows without signals.
+
+    A row without a speaker is no host row and is scored. One pass: host rows go through
+    the scoring without a text, and their signals are blanked afterwards.
+    """
     described = df.withColumns(
         {
             "conversation_id": F.col(conversation_id) if isinstance(conversation_id, str) else conversation_id,
@@ -103,11 +105,12 @@ def ingest_conversations(
             "api": F.col(api) if isinstance(api, str) else api,
         }
     )
-    bots = enrich(described.where(F.col("speaker") != V.HOST), scorer)
-    bots = bots.withColumn("escalation_reason", reasons_text("escalation_reason"))
-    host = described.where(F.col("speaker") == V.HOST).drop(*SIGNALS)
-    columns = [f.name for f in MESSAGE_SCHEMA]
-    return bots.select(columns).unionByName(ensure_columns(host, MESSAGE_SCHEMA).select(columns))
+    is_host = F.col("speaker").eqNullSafe(F.lit(V.HOST))
+    rows = enrich(described.withColumn("_scored_text", F.when(~is_host, F.col("message"))), scorer, "_scored_text")
+    rows = rows.withColumn("escalation_reason", reasons_text("escalation_reason"))
+    return rows.select(
+        *[F.when(~is_host, F.col(f.name)).alias(f.name) if f.name in SIGNALS else F.col(f.name) for f in MESSAGE_SCHEMA]
+    )
 
 
 #: Columns the backfill writes; the other signals keep what is stored.
@@ -142,7 +145,7 @@ def backfill_unscored(msgs: DataFrame, scorer: Scorer, include_host: bool = True
     stored = ensure_columns(msgs, MESSAGE_SCHEMA)
     todo = unscored(stored)
     if not include_host:
-        todo = todo & (F.col("speaker") != V.HOST)
+        todo = todo & ~F.col("speaker").eqNullSafe(F.lit(V.HOST))
     todo = F.coalesce(todo, F.lit(False))
     kept = [c for c in stored.columns if c not in BACKFILLED]
     old = stored.where(todo).select(*[F.col(c).alias(f"_old_{c}") for c in kept], "*")

@@ -15,44 +15,77 @@ Predictor = Callable[[list[str]], list[tuple[str, float]]]
 
 
 def predict_rows(predict: Predictor, texts: list[str | None], fallback: str | None) -> list[tuple]:
-    """Predict a batch; if it fails, each text alone, and ``fallback``/0.0 where that fails."""
+    """Predict the texts of a batch together; nulls get ``fallback``/0.0.
 
-    def alone(text: str | None) -> tuple[str | None, float]:
-        if text is None:
-            return fallback, 0.0
+    A batch that fails is halved until the bad texts are alone; they get the fallback too.
+    """
+
+    def together(part: list[str]) -> list[tuple]:
+        if not part:
+            return []
         try:
-            [(label, score)] = predict([text])
-            return label, float(score)
+            scored = [(label, float(score)) for label, score in predict(part)]
+            if len(scored) == len(part):
+                return scored
         except Exception:  # a bad text must not end the job
-            return fallback, 0.0
+            pass
+        if len(part) == 1:
+            return [(fallback, 0.0)]
+        half = len(part) // 2
+        return together(part[:half]) + together(part[half:])
 
-    if any(t is None for t in texts):
-        return [alone(t) for t in texts]
-    try:
-        scored = [(label, float(score)) for label, score in predict(texts)]
-    except Exception:
-        return [alone(t) for t in texts]
-    return scored if len(scored) == len(texts) else [alone(t) for t in texts]
+    scored = iter(together([t for t in texts if t is not None]))
+    return [(fallback, 0.0) if t is None else next(scored) for t in texts]
 
 
-def model_column(
-    text: Column | str, load: Callable[[], Predictor], fallback: str | None = V.UNKNOWN
+def models_column(
+    text: Column | str, loaders: dict[str, Callable[[], Predictor]], fallbacks: dict[str, str | None]
 ) -> Column:
-    """Struct of label and score; the predictor is loaded once per Python worker run.
+    """Struct of ``<name>_label`` and ``<name>_score`` of every predictor.
 
-    Only the (cut) text travels to Python, in Arrow batches.
+    The (cut) text travels to Python once, in Arrow batches; each predictor is loaded once
+    per Python worker run.
     """
+    names = list(loaders)
+    fields = [f"{n}_{part}" for n in names for part in ("label", "score")]
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf(", ".join(f"`{f}` {'string' if f.endswith('_label') else 'double'}" for f in fields))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = load()
+        predictors = [loaders[n]() for n in names]
         for batch in batches:
             texts = [None if t is None or t != t else t for t in batch]
-            yield pd.DataFrame(predict_rows(predict, texts, fallback), columns=["label", "score"])
+            columns: dict[str, list] = {}
+            for name, predict in zip(names, predictors, strict=True):
+                rows = predict_rows(predict, texts, fallbacks[name])
+                columns[f"{name}_label"] = [label for label, _ in rows]
+                columns[f"{name}_score"] = [value for _, value in rows]
+            yield pd.DataFrame(columns, columns=fields)
 
     return score(model_input(text))
 
 
+def score_with_models(
+    df: DataFrame,
+    loaders: dict[str, Callable[[], Predictor]],
+    text: str = "message",
+    fallbacks: dict[str, str | None] | None = None,
+    as_is: set[str] | None = None,
+) -> DataFrame:
+    """Add ``<prefix>_label`` and ``<prefix>_score`` of each predictor, in one Python pass,
+    replacing columns of that name. Labels become upper case unless listed ``as_is``."""
+    if not loaders:
+        return df
+    fallbacks = {n: V.UNKNOWN for n in loaders} | (fallbacks or {})
+    scored = df.withColumn("_models", models_column(text, loaders, fallbacks))
+    added = {}
+    for name in loaders:
+        label = F.col(f"_models.{name}_label")
+        added[f"{name}_label"] = label if name in (as_is or set()) else F.upper(label)
+        added[f"{name}_score"] = F.col(f"_models.{name}_score")
+    kept = [c for c in df.columns if c not in added]
+    return scored.select(*kept, *[c.alias(n) for n, c in added.items()])
+
+
 def score_with_model(
     df: DataFrame,
     prefix: str,
@@ -61,9 +94,5 @@ def score_with_model(
     fallback: str | None = V.UNKNOWN,
     upper: bool = True,
 ) -> DataFrame:
-    """Add ``<prefix>_label`` and ``<prefix>_score``, replacing columns of that name."""
-    label, score = f"{prefix}_label", f"{prefix}_score"
-    scored = df.withColumn("_model", model_column(text, load, fallback))
-    name = F.upper("_model.label") if upper else F.col("_model.label")
-    kept = [c for c in df.columns if c not in (label, score)]
-    return scored.select(*kept, name.alias(label), F.col("_model.score").alias(score))
+    """One predictor; see ``score_with_models``."""
+    return score_with_models(df, {prefix: load}, text, {prefix: fallback}, set() if upper else {prefix})

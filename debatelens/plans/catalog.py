@@ -54,10 +54,10 @@ def scan_messages(msgs: DataFrame) -> DataFrame:
 def append_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "messages")
     rows = load(spark, sf_dir).select([f.name for f in M.MESSAGE_SCHEMA])
-    M.append_messages(rows.where(F.col("speaker") == V.HOST), path)
-    M.append_messages(rows.where(F.col("speaker") != V.HOST), path)
-    stored = M.read_messages(spark, path)
-    return stored.groupBy("host_mode").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+    host = F.col("speaker").eqNullSafe(F.lit(V.HOST))
+    M.append_messages(rows.where(host), path)
+    M.append_messages(rows.where(~host), path)
+    return six_places(scan_messages(M.read_messages(spark, path)))
 
 
 def ingest_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,14 +87,14 @@ def backfill_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = reports.rate1000_by_mode_topic(load(spark, sf_dir))
     path = scratch_path(spark, "report")
-    M.write_report_csv(report, path)
+    M.write_report_csv(report, path, one_file=True)
     return six_places(M.read_report_csv(spark, path, report.schema))
 
 
 def rounded_mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = reports.rate1000_by_mode_topic(load(spark, sf_dir))
     path = scratch_path(spark, "mode-table")
-    M.write_report_csv(report, path)
+    M.write_report_csv(report, path, one_file=True)
     return M.rounded(M.read_report_csv(spark, path, report.schema))
 
 
@@ -207,7 +207,7 @@ def enrich_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyze_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as typed texts."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        F.col("page_id").alias("id"), F.col("url").alias("message")
+        F.col("page_id").alias("id"), F.col("html").alias("message")
     )
     rows = enrich.analyze_texts(pages, fixtures.scorer(spark, sf_dir))
     return six_places(
@@ -343,7 +343,7 @@ QUERIES: dict[str, Query] = {
     "model_input_text": on_messages(lambda m: m.select("id", N.model_input().alias("text"))),
     "message_preview": on_messages(lambda m: m.select("id", N.preview().alias("preview"))),
     "nonblank_messages": on_messages(
-        lambda m: m.select("id", "message").where(F.trim("message") != "").select("id")
+        lambda m: m.select("id", "message").where(~N.is_blank()).select("id")
     ),
     # scoring
     "lexicon_compound": lexicon_compound,

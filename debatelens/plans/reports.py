@@ -133,10 +133,15 @@ def rate1000_topic_mode_level(msgs: DataFrame) -> DataFrame:
 
 
 def label_by_level(msgs: DataFrame, label: str) -> DataFrame:
-    """Messages of each classifier label per level."""
-    known = main_bots(msgs).where(F.col(label).isNotNull())
-    table = counts(known, ["escalation"], label, V.MODEL_LABELS, {"escalation": V.LEVELS})
-    return table.drop("messages")
+    """(escalation, label, n): messages of each classifier label per level.
+
+    Every label that occurs is counted; the usual labels have a row for every level.
+    """
+    known = main_bots(msgs).where(F.col(label).isNotNull() & F.col("escalation").isin(V.LEVELS))
+    found = known.select("escalation", F.col(label).alias("label"), F.lit(1).cast("long").alias("n"))
+    usual = [(level, name, 0) for level in V.LEVELS for name in V.MODEL_LABELS]
+    zeros = msgs.sparkSession.createDataFrame(usual, "escalation string, label string, n long")
+    return found.unionByName(zeros).groupBy("escalation", "label").agg(F.sum("n").alias("n"))
 
 
 def agreement_by_level(msgs: DataFrame) -> DataFrame:

@@ -47,11 +47,13 @@ def benchmark_words(spark: SparkSession, sf_dir: str, **numbers: int) -> DataFra
 
 
 def valence_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the passages' words: messages must hold words that no lexicon knows."""
     known = benchmark_words(spark, sf_dir, keep=1, value=5).where("keep % 3 <> 0")
     return known.select("word", ((F.col("value") % 79 - 39) / 10.0).alias("valence"))
 
 
 def polarity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the passages' words, for the same reason."""
     known = benchmark_words(spark, sf_dir, keep=9, value=13, other=17).where("keep % 2 = 0")
     return known.select(
         "word",
@@ -104,15 +106,15 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         _listed(V.TOPICS[:6], item).alias("category"),
         _listed(V.MODES, F.floor(item / 2)).alias("host_mode"),
-        F.concat(F.col("item_id").cast("string"), F.lit(" "), F.substring("text", 1, 40)).alias("prompt"),
+        F.concat(F.col("item_id").cast("string"), F.lit(" "), F.col("text")).alias("prompt"),
     )
 
 
 def default_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("item_id")
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(item % 4 == 0).select(
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         _listed(V.MODES, F.floor(item / 4)).alias("host_mode"),
-        F.concat(F.lit("any "), F.col("item_id").cast("string")).alias("prompt"),
+        F.concat(F.lit("any "), F.col("item_id").cast("string"), F.lit(" "), F.col("text")).alias("prompt"),
     )
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..scale import checkpoint_root, fits
-
 MESSAGE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -93,25 +91,19 @@ def latest(msgs: DataFrame, n: int = 5) -> DataFrame:
     return msgs.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
 
 
-#: Rows up to which a report is written as one file.
-ONE_FILE_ROWS = 1_000_000
-
-
-def write_report_csv(report: DataFrame, path: str) -> None:
-    """Write a report table as CSV with a header, as one file when it is small.
+def write_report_csv(report: DataFrame, path: str, one_file: bool = False) -> None:
+    """Write a report table as CSV with a header; the caller says whether as one file.
 
-    Arrays become JSON text because CSV has no nested values. The finished table is
-    checkpointed, so counting it does not compute the report again.
+    Arrays become JSON text because CSV has no nested values.
     """
-    checkpoint_root(report.sparkSession)
     flat = [
         F.to_json(f.name).alias(f.name)
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
         else F.col(f.name)
         for f in report.schema
     ]
-    rows = report.select(*flat).checkpoint()
-    if fits(rows, ONE_FILE_ROWS):
+    rows = report.select(*flat)
+    if one_file:
         rows = rows.repartition(1)
     rows.write.mode("overwrite").option("header", True).csv(path)
 

@@ -7,8 +7,9 @@ arithmetic, so the same transcript always gives the same messages, row by row,
 without a shuffle, and a report that needs no text does not read it.
 
 The spread of the derived values covers what reports have to cope with: host
-rows without signals, unscored rows, names in mixed case, topics outside the
-catalogue, null modes, times with and without a fraction.
+rows without signals, unscored rows, rows without a speaker, names in mixed case
+and with tabs, blank texts, topics outside the catalogue, unusual labels, null modes,
+times with and without a fraction.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from .messages import MESSAGE_SCHEMA
 
 #: Topic spellings found in the message table, two of them outside the catalogue.
 TOPIC_SPELLINGS = [
-    "Politics", " social issues ", "Religion", "ECONOMY", "Technology",
+    "Politics", "\tsocial issues\n", "Religion", "ECONOMY", "Technology",
     "climate change", "Human Rights", "Education", "Gender Equality", "Immigration",
 ]
-MODE_SPELLINGS = ["neutral", "Provocative ", "extreme", "pro-con-neutral", "Pro-Con-Provocative", "pro-con-extreme"]
-TRANSFORMER_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE", "UNKNOWN"]
+MODE_SPELLINGS = ["neutral", "Provocative\t", "extreme", "pro-con-neutral", "Pro-Con-Provocative", "pro-con-extreme"]
+TRANSFORMER_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "NEUTRAL", "NEGATIVE", "POSITIVE", "NEGATIVE", "UNKNOWN"]
 DISTILBERT_LABELS = ["NEGATIVE", "POSITIVE", "NEGATIVE", "NEGATIVE"]
 TOXICITY_LABELS = ["CLEAN", "TOXIC", "CLEAN", "CLEAN"]
 
 
+#: A message with nothing in it.
+BLANK_TEXT = " \n\t "
+
 #: Scrambled number of a message.
 MIXED = "(conv_id & 65535) * 40503 + turn * 25717"
 
@@ -74,8 +78,8 @@ def messages_from_transcripts(transcripts: DataFrame) -> DataFrame:
     base = transcripts.withColumn("_mixed", F.expr(MIXED)).select(
         (conv * 1000 + F.col("turn")).alias("id"),
         conv.cast("string").alias("conversation_id"),
-        _speaker(procon).alias("speaker"),
-        F.col("text").alias("message"),
+        F.when(draw(3947, 8) != 0, _speaker(procon)).alias("speaker"),
+        F.when(draw(2129, 7) == 0, F.lit(BLANK_TEXT)).otherwise(F.col("text")).alias("message"),
         _timestamp().alias("timestamp"),
         pick(TOPIC_SPELLINGS, conv % 10).alias("category"),
         F.when(conv % 41 != 40, mode).alias("host_mode"),

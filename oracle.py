@@ -12,6 +12,7 @@ LEVELS = ["none", "light", "strong"]
 MODES = ["neutral", "provocative", "extreme"]
 PROCON = ["pro-con-neutral", "pro-con-provocative", "pro-con-extreme"]
 LABELS = ["POSITIVE", "NEGATIVE", "UNKNOWN"]
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 STOP = ["the", "of", "and", "in", "to", "der", "die", "und", "la", "le", "de", "el", "que"]
 SIGNED = ["textblob_polarity", "vader_compound", "transformer_sentiment", "distilbert_sentiment"]
 SIGNALS = (
@@ -35,7 +36,7 @@ def draw(factor: int, bits: int) -> str:
 
 def title(c: str) -> str:
     return (
-        f"array_to_string(list_transform(string_split(lower(trim({c})), ' '), "
+        f"array_to_string(list_transform(string_split(lower(trim({c}, '{BLANKS}')), ' '), "
         "lambda w: upper(w[1]) || w[2:]), ' ')"
     )
 
@@ -71,16 +72,16 @@ m1 AS (SELECT *,
 m2 AS (SELECT
     conv_id * 1000 + turn AS id,
     conv_id::VARCHAR AS conversation_id,
-    CASE turn % 3 WHEN 0 THEN 'Host' WHEN 1 THEN CASE WHEN procon THEN 'Pro-Bot' ELSE 'Bot 1' END
-      ELSE CASE WHEN procon THEN 'Con-Bot' ELSE 'Bot 2' END END AS speaker,
-    text AS message,
+    CASE WHEN {draw(3947, 8)} <> 0 THEN CASE turn % 3 WHEN 0 THEN 'Host' WHEN 1 THEN CASE WHEN procon THEN 'Pro-Bot' ELSE 'Bot 1' END
+      ELSE CASE WHEN procon THEN 'Con-Bot' ELSE 'Bot 2' END END END AS speaker,
+    CASE WHEN {draw(2129, 7)} = 0 THEN ' \n\t ' ELSE text END AS message,
     CASE WHEN {draw(911, 6)} = 0 THEN NULL WHEN {draw(877, 2)} = 0 THEN whole
       ELSE whole || '.' || lpad(({draw(7919, 16)} * 13)::VARCHAR, 6, '0') END AS timestamp,
-    ['Politics', ' social issues ', 'Religion', 'ECONOMY', 'Technology', 'climate change', 'Human Rights',
+    ['Politics', '\tsocial issues\n', 'Religion', 'ECONOMY', 'Technology', 'climate change', 'Human Rights',
      'Education', 'Gender Equality', 'Immigration'][conv_id % 10 + 1] AS category,
     CASE WHEN conv_id % 41 = 40 THEN NULL
       WHEN procon THEN ['pro-con-neutral', 'Pro-Con-Provocative', 'pro-con-extreme'][conv_id % 3 + 1]
-      ELSE ['neutral', 'Provocative ', 'extreme'][conv_id % 3 + 1] END AS host_mode,
+      ELSE ['neutral', 'Provocative\t', 'extreme'][conv_id % 3 + 1] END AS host_mode,
     CASE WHEN conv_id % 11 = 10 THEN 'deepseek' WHEN conv_id % 13 = 12 THEN 'ollama' ELSE 'openai' END AS api,
     scored,
     CASE WHEN scored THEN ({draw(1613, 11)} - 1024) / 1025e0 END AS textblob_polarity,
@@ -89,7 +90,7 @@ m2 AS (SELECT
     CASE WHEN scored THEN {draw(73, 7)} / 509e0 END AS vader_neg,
     CASE WHEN scored THEN {draw(79, 7)} / 509e0 END AS vader_pos,
     CASE WHEN scored THEN (509 - {draw(73, 7)} - {draw(79, 7)}) / 509e0 END AS vader_neu,
-    CASE WHEN NOT scored THEN NULL WHEN {draw(4799, 3)} = 7 THEN 'UNKNOWN'
+    CASE WHEN NOT scored THEN NULL WHEN {draw(4799, 3)} = 7 THEN 'UNKNOWN' WHEN {draw(4799, 3)} = 3 THEN 'NEUTRAL'
       WHEN {draw(4799, 1)} = 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS transformer_label,
     CASE WHEN scored THEN ({draw(8311, 13)} + 8192) / 16387e0 END AS transformer_score,
     CASE WHEN NOT scored THEN NULL WHEN {draw(5903, 2)} = 1 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS distilbert_label,
@@ -101,8 +102,8 @@ m3 AS (SELECT *, CASE WHEN scored THEN toxicity_label = 'TOXIC' AND toxicity_sco
     vader_compound AS sentiment_score FROM m2),
 msgs AS (SELECT *, CASE WHEN scored THEN {LEVEL} END AS escalation,
     CASE WHEN speaker = 'Host' THEN 'None' WHEN scored THEN {REASON_TEXT} END AS escalation_reason FROM m3),
-named AS (SELECT * REPLACE ({title('category')} AS category, lower(trim(host_mode)) AS host_mode),
-    lower(trim(escalation)) AS escalation_level FROM msgs),
+named AS (SELECT * REPLACE ({title('category')} AS category, lower(trim(host_mode, '{BLANKS}')) AS host_mode),
+    lower(trim(escalation, '{BLANKS}')) AS escalation_level FROM msgs),
 main_bots AS (SELECT * FROM named WHERE api = 'openai' AND category IN ({quoted(TOPICS)})
     AND NOT starts_with(host_mode, 'pro-con') AND speaker IN ('Bot 1', 'Bot 2')),
 procon_bots AS (SELECT * FROM named WHERE starts_with(host_mode, 'pro-con') AND speaker IN ('Pro-Bot', 'Con-Bot')),
@@ -161,9 +162,11 @@ def heatmap(modes: list[str], values: list[str]) -> str:
 
 
 def label_table(label: str) -> str:
-    cells = ", ".join(f"count(*) FILTER ({label} = '{v}') AS {v}" for v in LABELS)
-    return f"""SELECT escalation, {cells} FROM {table(LEVELS, "escalation")}
-      LEFT JOIN main_bots USING (escalation) GROUP BY escalation"""
+    return f"""SELECT escalation, label, sum(n)::BIGINT AS n FROM (
+        SELECT escalation, label, 0 AS n FROM {table(LEVELS, "escalation")} CROSS JOIN {table(LABELS, "label")}
+        UNION ALL SELECT escalation, {label} AS label, 1 AS n FROM main_bots
+          WHERE escalation IN ({quoted(LEVELS)}) AND {label} IS NOT NULL)
+      GROUP BY escalation, label"""
 
 
 def long_share(source: str, keys: str, label: str) -> str:
@@ -371,6 +374,7 @@ COLUMNS = (
     "vader_compound vader_neg vader_neu vader_pos transformer_label transformer_score toxicity_is_toxic toxicity_score "
     "category host_mode escalation_reason distilbert_label distilbert_score api"
 ).split()
+DOUBLES = [c for c in COLUMNS if c.startswith(("textblob", "vader")) or c.endswith("_score")]
 BACKFILLED = "textblob_polarity textblob_subjectivity vader_compound vader_neg vader_neu vader_pos transformer_label transformer_score escalation".split()
 UNSCORED = "(textblob_polarity IS NULL OR vader_compound IS NULL OR transformer_label IS NULL)"
 SIGNED_BOTS = SIGN.format(source="main_bots")
@@ -385,12 +389,12 @@ RANKS = """ranked AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value)
 ORACLE: dict[str, str] = {
     "scan_messages": q(f"SELECT {', '.join(COLUMNS)} FROM msgs"),
     "scan_scored_text": q("SELECT escalation, message FROM msgs WHERE message IS NOT NULL"),
-    "append_messages": q("SELECT host_mode, count(*) AS n, sum(id)::BIGINT AS id_sum FROM msgs GROUP BY host_mode"),
+    "append_messages": q(f"SELECT {', '.join(f'round({c}, 6) AS {c}' if c in DOUBLES else c for c in COLUMNS)} FROM msgs"),
     "ingest_conversations": q(
         f"""SELECT m.id, {UUID} AS conversation_id, speaker, timestamp, {title('category')} AS category, host_mode, api,
-          {", ".join(f"round(CASE WHEN speaker <> 'Host' THEN rich.{c} END, 6) AS {c}" if 'score' in c or 'blob' in c or 'vader' in c
-           else f"CASE WHEN speaker <> 'Host' THEN rich.{c} END AS {c}" for c in SIGNALS if c != 'escalation_reason')},
-          CASE WHEN speaker <> 'Host' THEN
+          {", ".join(f"round(CASE WHEN speaker IS DISTINCT FROM 'Host' THEN rich.{c} END, 6) AS {c}" if 'score' in c or 'blob' in c or 'vader' in c
+           else f"CASE WHEN speaker IS DISTINCT FROM 'Host' THEN rich.{c} END AS {c}" for c in SIGNALS if c != 'escalation_reason')},
+          CASE WHEN speaker IS DISTINCT FROM 'Host' THEN
             '[' || array_to_string(list_transform(rich.reasons, lambda r: '''' || r || ''''), ', ') || ']' END AS escalation_reason
         FROM msgs m JOIN rich USING (id)""",
         *enriched("msgs"),
@@ -432,7 +436,7 @@ ORACLE: dict[str, str] = {
     "exclude_host": q("SELECT id, speaker FROM msgs WHERE speaker NOT ILIKE '%host%'"),
     "filter_speakers": q("SELECT id, speaker FROM msgs WHERE speaker IN ('Bot 1', 'Bot 2')"),
     "speaker_regex": q("SELECT id, speaker FROM msgs WHERE speaker ILIKE '%pro%' OR speaker ILIKE '%con%'"),
-    "filter_modes": q(f"SELECT id, host_mode FROM msgs WHERE lower(trim(host_mode)) IN ({quoted(MODES)})"),
+    "filter_modes": q(f"SELECT id, host_mode FROM msgs WHERE lower(trim(host_mode, '{BLANKS}')) IN ({quoted(MODES)})"),
     "parse_timestamp": q(
         "SELECT id, try_cast(timestamp AS TIMESTAMP) AS event_time, try_cast(timestamp AS TIMESTAMP)::DATE AS day, "
         "try_strptime(timestamp, '%Y-%m-%dT%H:%M:%S')::DATE AS strict_day FROM msgs"
@@ -452,7 +456,7 @@ ORACLE: dict[str, str] = {
     "resolve_speaker": q("SELECT id, speaker FROM msgs WHERE speaker IN ('Bot 1', 'Bot 2')"),
     "model_input_text": q("SELECT id, message[1:512] AS text FROM msgs"),
     "message_preview": q("SELECT id, message[1:60] AS preview FROM msgs"),
-    "nonblank_messages": q("SELECT id FROM msgs WHERE trim(message) <> ''"),
+    "nonblank_messages": q(f"SELECT id FROM msgs WHERE trim(message, '{BLANKS}') <> ''"),
     "lexicon_compound": q("SELECT * FROM vader", *valence_ctes("msgs")),
     "lexicon_polarity": q(
         f"SELECT id, {rounded(['textblob_polarity', 'textblob_subjectivity'])} FROM blob", *polarity_ctes("msgs")
@@ -483,7 +487,7 @@ ORACLE: dict[str, str] = {
         "array_to_string(reasons, '|') AS reasons FROM rich",
         *enriched("msgs"),
     ),
-    "analyze_texts": "WITH typed AS (SELECT page_id AS id, url AS message FROM pages WHERE trim(url) <> ''),\n"
+    "analyze_texts": f"WITH typed AS (SELECT page_id AS id, html AS message FROM pages WHERE trim(html, '{BLANKS}') <> ''),\n"
     + ",\n".join(enriched("typed"))
     + "\nSELECT id, " + rounded(["vader_compound", "textblob_polarity"])
     + ", transformer_label, distilbert_label, toxicity_is_toxic, escalation, array_to_string(reasons, ', ') "
@@ -710,10 +714,10 @@ ORACLE: dict[str, str] = {
         "AS prompt FROM convs LEFT JOIN p USING (category, host_mode) LEFT JOIN d USING (host_mode)",
         CONVERSATIONS,
         f"""p AS (SELECT [{quoted(TOPICS[:6])}][item_id % 6 + 1] AS category, [{quoted(MODES)}][item_id // 2 % 3 + 1] AS host_mode,
-          list(item_id::VARCHAR || ' ' || substr(text, 1, 40) ORDER BY item_id::VARCHAR || ' ' || substr(text, 1, 40)) AS l
+          list(item_id::VARCHAR || ' ' || text ORDER BY item_id::VARCHAR || ' ' || text) AS l
           FROM benchmark GROUP BY 1, 2),
-        d AS (SELECT [{quoted(MODES)}][item_id // 4 % 3 + 1] AS host_mode, list('any ' || item_id ORDER BY 'any ' || item_id) AS l
-          FROM benchmark WHERE item_id % 4 = 0 GROUP BY 1)""",
+        d AS (SELECT [{quoted(MODES)}][item_id // 4 % 3 + 1] AS host_mode, list('any ' || item_id || ' ' || text ORDER BY 'any ' || item_id || ' ' || text) AS l
+          FROM benchmark GROUP BY 1)""",
     ),
     "assign_claim": q(
         f"SELECT conversation_id, coalesce({pick('c.l', 'conversation_id', 'claim')}, 'This topic has no relevant data.') AS claim "
@@ -733,7 +737,7 @@ ORACLE: dict[str, str] = {
     "render_host_reaction": q(
         f"""SELECT id, drawn.strategy, md5(replace(replace(coalesce({pick('o.l', 'id', 'reaction')}, {pick('e.l', 'id', 'reaction')}),
           '{{statement}}', coalesce(statement, '')), '{{category}}', coalesce(category, 'the broader topic'))) AS reaction_md5
-        FROM drawn LEFT JOIN o ON drawn.strategy = o.strategy AND lower(trim(drawn.host_mode)) = o.host_mode
+        FROM drawn LEFT JOIN o ON drawn.strategy = o.strategy AND lower(trim(drawn.host_mode, '{BLANKS}')) = o.host_mode
           LEFT JOIN e ON drawn.strategy = e.strategy""",
         """seen AS (SELECT *, lag(message) OVER (PARTITION BY conversation_id ORDER BY timestamp NULLS LAST, id) AS statement FROM msgs),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp NULLS LAST, id) - 1 AS n
