@@ -20,7 +20,7 @@ from .. import values as V
 #: Largest lexicon (in words) carried inside the plan.
 MAX_PLAN_WORDS = 50_000
 _WORDS_PER_SLOT = 16
-#: Copies of each entry of a lexicon that is joined.
+#: Least number of copies of each entry of a lexicon that is joined.
 _SALTS = 32
 
 
@@ -68,20 +68,22 @@ def plan_lookup(entries: dict[str, dict[str, float]], fields: list[str]) -> Call
 def with_lookup(
     df: DataFrame,
     lexicon: DataFrame,
-    words: Column,
+    words: Callable[[Column], Column],
     fields: list[str],
-    id_col: str = "id",
+    text: str = "message",
     max_words: int = MAX_PLAN_WORDS,
     marks: dict[str, dict[str, float]] | None = None,
 ) -> tuple[DataFrame, Callable[[Column], Column]]:
     """The table and a word → values function that holds on its rows.
 
-    ``lexicon`` has a ``word`` column and value columns, one row per word. ``marks``
-    adds further values to some words. ``fields`` names all values.
+    ``lexicon`` has a ``word`` column and value columns; of a repeated word the largest
+    values count, null words are left out. ``marks`` adds further values to some words.
+    ``fields`` names all values, ``words`` gives the words of a text column.
     """
     marks = marks or {}
     own = [f for f in fields if f in lexicon.columns]
-    entries = lexicon.select("word", *[F.col(f).cast("double") for f in own])
+    entries = lexicon.where(F.col("word").isNotNull()).groupBy("word")
+    entries = entries.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in own])
     rows = entries.limit(max_words + 1).collect()
     if len(rows) <= max_words:
         table = {r["word"]: {f: r[f] for f in own} for r in rows}
@@ -98,20 +100,24 @@ def with_lookup(
             .groupBy("word")
             .agg(*[F.max(f).alias(f) for f in fields])
         )
-    # distinct words per message, salted: a word of most messages goes to many tasks
-    used = df.select(
-        id_col,
-        F.explode(F.array_distinct(words)).alias("word"),
-        F.pmod(F.xxhash64(id_col), F.lit(_SALTS)).alias("_salt"),
+    # each text is looked up once, whatever the ids of its rows; its distinct words are
+    # salted, so that a word of most texts goes to many tasks
+    salts = max(_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = df.withColumn("_text", F.md5(text))
+    texts = keyed.where(F.col("_text").isNotNull()).select("_text", text).dropDuplicates(["_text"])
+    used = texts.select(
+        "_text",
+        F.explode(F.array_distinct(words(F.col(text)))).alias("word"),
+        F.pmod(F.xxhash64("_text"), F.lit(salts)).alias("_salt"),
     )
-    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")
+    copies = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
     found = (
-        used.join(entries.withColumn("_salt", F.explode(salts)), ["word", "_salt"])
-        .groupBy(id_col)
-        # one message's own words, so the list is bounded by the text of one row
+        used.join(entries.withColumn("_salt", F.explode(copies)), ["word", "_salt"])
+        .groupBy("_text")
+        # one text's own words, so the list is bounded by the text of one row
         .agg(F.map_from_entries(F.collect_list(F.struct("word", values))).alias("_found"))
     )
-    return df.join(found, id_col, "left"), lambda word: F.try_element_at(F.col("_found"), word)
+    return keyed.join(found, "_text", "left").drop("_text"), lambda word: F.try_element_at(F.col("_found"), word)
 
 
 _BLANKS = r"[\s\p{Z}]+"
@@ -239,9 +245,9 @@ def with_valence(
     """
     lowered = F.col("_lowered")
     source, lookup = with_lookup(
-        df.withColumn("_lowered", F.lower(text)), lexicon, valence_words(lowered), _FIELDS, id_col,
-        max_words, _word_marks(rules),
-    )
+        df, lexicon, lambda t: valence_words(F.lower(t)), _FIELDS, text, max_words, _word_marks(rules)
+    )
+    source = source.withColumn("_lowered", F.lower(text))
     nothing = F.lit(None).cast("double")
     not_form = F.struct(*[(F.lit(1.0) if f == "negates" else nothing).alias(f) for f in _FIELDS])
     shouts = F.transform(valence_words(text), lambda t: (F.upper(t) == t) & (F.lower(t) != t))
@@ -332,7 +338,7 @@ def with_polarity(
     from .terms import words
 
     fields = ["polarity", "subjectivity"]
-    source, lookup = with_lookup(df, lexicon, words(text), fields, id_col, max_words)
+    source, lookup = with_lookup(df, lexicon, words, fields, text, max_words)
     found = F.filter(F.transform(words(text), lookup), lambda v: v.isNotNull())
     read = source.withColumn("_hits", found)
 

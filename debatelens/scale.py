@@ -12,6 +12,7 @@ Three tools, used all over the library:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -26,26 +27,44 @@ MAX_ROWS_PER_KEY = 2_000_000
 SAMPLED_ROWS_PER_KEY = 2_000
 #: Rows aimed at for one chunk of a hot key.
 ROWS_PER_CHUNK = 2_000_000
-#: Hot keys listed on the driver, largest first; further ones stay in the plain window.
+#: Hot keys that are filtered by a list in the plan; more of them are joined as a table.
 MAX_LISTED_KEYS = 10_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and scratch tables, as the session names it.
 
-    Only a session without one (a local test) gets a temporary folder.
+    Only a local session without one (a test) gets a temporary folder; on a cluster its
+    files would lie on one machine.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="debatelens-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="debatelens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for a table written by one run."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for a table written by one run.
+
+    All of a session's paths lie in one folder, which is removed when the session ends.
+    """
+    context = spark.sparkContext
+    folder = f"{checkpoint_root(spark).rstrip('/')}/scratch-{context.applicationId}"
+    if folder not in _scratch:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _scratch.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_scratch: set[str] = set()
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -97,8 +116,8 @@ def chunk_offsets(
     )
 
 
-def hot_keys(df: DataFrame, key: str, max_rows: int) -> list[tuple]:
-    """(key, rows) of the keys with more than about ``max_rows`` rows, largest first.
+def hot_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """(key, n) of the keys with more than about ``max_rows`` rows.
 
     Found in a sample, which a key of that size cannot escape; it only decides how
     the rows of a key are ordered, never which rows there are. With a small limit all
@@ -107,22 +126,34 @@ def hot_keys(df: DataFrame, key: str, max_rows: int) -> list[tuple]:
     rate = min(1.0, SAMPLED_ROWS_PER_KEY / max_rows)
     seen = df.select(key) if rate == 1 else df.select(key).sample(rate, seed=1)
     least = max_rows if rate == 1 else max_rows * rate / 2
-    heavy = seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    return [(k, round(n / rate)) for k, n in heavy.orderBy(F.desc("n"), key).take(MAX_LISTED_KEYS)]
+    counted = seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return counted.select(key, F.round(F.col("n") / rate).cast("long").alias("n"))
 
 
 def split_hot(
-    df: DataFrame, key: str, max_rows: int | None = None
+    df: DataFrame, key: str, max_rows: int | None = None, listed: int = MAX_LISTED_KEYS
 ) -> tuple[DataFrame, DataFrame | None, int]:
-    """Rows of normal keys, rows of hot keys (None when there are none), hot row count."""
+    """Rows of normal keys, rows of hot keys (None when there are none), hot row count.
+
+    A few hot keys become a filter, more of them a table that is joined; the rows are
+    the same either way.
+    """
+    checkpoint_root(df.sparkSession)
     hot = hot_keys(df, key, MAX_ROWS_PER_KEY if max_rows is None else max_rows)
-    if not hot:
+    found = hot.take(listed + 1)
+    if not found:
         return df, None, 0
-    values = [k for k, _ in hot if k is not None]
+    if len(found) > listed:
+        hot = hot.checkpoint()
+        same = F.col(f"d.{key}").eqNullSafe(F.col(f"h.{key}"))
+        rows, keys = df.alias("d"), hot.alias("h")
+        total = hot.agg(F.sum("n")).first()[0]
+        return rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi"), total
+    values = [k for k, _ in found if k is not None]
     is_hot = F.coalesce(F.col(key).isin(values), F.lit(False)) if values else F.lit(False)
-    if len(values) < len(hot):
+    if len(values) < len(found):
         is_hot = is_hot | F.col(key).isNull()
-    return df.where(~is_hot), df.where(is_hot), sum(n for _, n in hot)
+    return df.where(~is_hot), df.where(is_hot), sum(n for _, n in found)
 
 
 def positions(

@@ -78,6 +78,18 @@ def test_both_lookup_ways_agree(spark, msgs):
     assert sorted(in_plan.collect()) == sorted(joined.collect())
 
 
+def test_repeated_and_null_words_and_ids_in_both_ways(spark):
+    lexicon = spark.createDataFrame([("good", 1.0), ("good", 1.9), ("bad", -2.5), (None, 3.0)], "word string, valence double")
+    mood = lexicon.selectExpr("word", "valence / 4 AS polarity", "0.5D AS subjectivity")
+    rows = [(1, "good"), (1, "bad and GOOD ones"), (None, "good"), (None, "so bad!"), (2, None), (2, "good"), (3, "")]
+    df = spark.createDataFrame(rows, "id long, message string")
+    for score, words in ((with_valence, lexicon), (with_polarity, mood)):
+        small, joined = score(df, words), score(df, words, max_words=1)
+        assert small.columns == joined.columns
+        assert sorted(map(repr, small.collect())) == sorted(map(repr, joined.collect()))
+    assert [r["vader_compound"] for r in with_valence(df, lexicon).where("message = 'good'").collect()] == [0.4404] * 3
+
+
 def test_small_lexicon_needs_no_shuffle(spark, msgs, lexicon):
     plan = with_valence(msgs.select("id", "message"), lexicon)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan

@@ -47,9 +47,34 @@ def test_hot_keys_are_found(skewed):
 def test_a_sample_finds_large_keys(spark, monkeypatch):
     monkeypatch.setattr(scale, "SAMPLED_ROWS_PER_KEY", 200)
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    found = scale.hot_keys(df, "k", 2_000)
+    found = scale.hot_keys(df, "k", 2_000).collect()
     assert [k for k, _ in found] == ["hot"] and 8_000 < found[0][1] < 12_000
-    assert scale.hot_keys(df, "k", 1_000_000) == []
+    assert scale.hot_keys(df, "k", 1_000_000).collect() == []
+
+
+def test_many_hot_keys_become_a_join(skewed):
+    for limit in (10, 100):
+        listed = split_hot(skewed, "conversation_id", limit)
+        joined = split_hot(skewed, "conversation_id", limit, listed=0)
+        assert listed[2] == joined[2]
+        for a, b in zip(listed[:2], joined[:2], strict=True):
+            assert a.columns == b.columns
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    context = spark.sparkContext
+    monkeypatch.setattr(context, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(context, "master", "spark://somewhere:7077")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scale.checkpoint_root(spark)
+
+
+def test_scratch_paths_are_fresh_and_in_one_folder(spark):
+    a, b = scale.scratch_path(spark, "x"), scale.scratch_path(spark, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
 
 
 def test_turn_index(skewed):
