@@ -138,7 +138,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
 def _names(df: DataFrame) -> dict[str, str]:
     wanted = ["words", "classes", "found", "own", "hits", "listed", "common", "lines", "windows", "pairs", "at"]
     wanted += [f"rest{i}" for i in range(len(CLASSES))] + BASE
-    wanted += ["lang_key", "base_failed", "class_distance", "word_distance", "kept"]
+    wanted += ["here", "lang_key", "base_failed", "class_distance", "word_distance", "kept"]
     return dict(zip(wanted, own_names(df, wanted), strict=True))
 
 
@@ -146,6 +146,9 @@ def _scored(docs: DataFrame, text_col: str, lang_col: str, references: DataFrame
     names = _names(docs)
     references = language_references(docs, text_col, lang_col) if references is None else references
     out = _base(_histograms(docs, text_col, lang_col, names), text_col, names)
+    # a filter on the verdict must not be pushed below the columns it is made of, where each
+    # use would compute them again; it stops at a column that is not deterministic
+    out = out.withColumn(names["here"], F.spark_partition_id())
     key = names["lang_key"]
     small = references.where(F.col("lang").isin(list(COMMON_WORDS))).select(
         F.col("lang").alias(key),
@@ -161,8 +164,8 @@ def _scored(docs: DataFrame, text_col: str, lang_col: str, references: DataFrame
         names["word_distance"]: F.when(fit, F.round(_divergence(F.col(names["common"]), F.col(f"{key}_ref_common")), 6)),
     })
     far = (F.col(names["class_distance"]) > MOST_CLASS_DISTANCE) | (F.col(names["word_distance"]) > MOST_WORD_DISTANCE)
-    kept = ~F.col(names["base_failed"]) & ~F.coalesce(far, F.lit(False))
-    drop = [key, f"{key}_ref_words", f"{key}_ref_classes", f"{key}_ref_common", names["classes"], names["common"]]
+    kept = ~F.col(names["base_failed"]) & ~F.coalesce(far, F.lit(False)) & (F.col(names["here"]) >= 0)
+    drop = [names["here"], key, f"{key}_ref_words", f"{key}_ref_classes", f"{key}_ref_common", names["classes"], names["common"]]
     return out.withColumn(names["kept"], kept).drop(*drop), names
 
 
