@@ -34,9 +34,30 @@ def fit_clusters(vectors: DataFrame, k: int = 3, seed: int = 42) -> KMeansModel:
 
 
 def cluster_scores(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Cluster of each complete row."""
+    """Cluster of each complete row, numbered by the order of the centres."""
     vectors = score_vectors(df)
-    return fit_clusters(vectors, k, seed).transform(vectors)
+    model = fit_clusters(vectors, k, seed)
+    return by_centre(model.transform(vectors), model)
+
+
+def by_centre(assigned: DataFrame, model: KMeansModel) -> DataFrame:
+    """Number clusters by their centres, which the order of the rows does not change."""
+    centres = [tuple(c) for c in model.clusterCenters()]
+    number = [sorted(centres).index(c) for c in centres]
+    names = F.array(*[F.lit(n) for n in number])
+    return assigned.withColumn("cluster", F.get(names, F.col("cluster")))
+
+
+def in_nearest_cluster(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """Whether each complete row is in the cluster with the nearest centre."""
+    vectors = score_vectors(df)
+    model = fit_clusters(vectors, k, seed)
+    place = vector_to_array("features")
+    far = [
+        F.sqrt(sum(((place[i] - float(x)) ** 2 for i, x in enumerate(c)), F.lit(0.0))) for c in model.clusterCenters()
+    ]
+    own = F.get(F.array(*far), F.col("cluster"))
+    return model.transform(vectors).withColumn("nearest", own <= F.least(*far) + 1e-9)
 
 
 def project_scores(df: DataFrame, k: int = 2) -> DataFrame:
@@ -45,9 +66,12 @@ def project_scores(df: DataFrame, k: int = 2) -> DataFrame:
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred")
     centred = scaler.fit(vectors).transform(vectors)
     model: PCAModel = PCA(k=k, inputCol="centred", outputCol="components").fit(centred)
+    loadings = model.pc.toArray()
+    # the largest loading of a component is positive
+    signs = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]
     parts = vector_to_array("components")
     projected = model.transform(centred)
-    return projected.withColumns({f"pc{i + 1}": parts[i] for i in range(k)})
+    return projected.withColumns({f"pc{i + 1}": parts[i] * signs[i] for i in range(k)})
 
 
 #: Hex digits of the sampling hash that are counted to find the cut: 16^5 values.
@@ -78,7 +102,7 @@ def seeded_sample(df: DataFrame, n: int = 1000, seed: int = 42, id_col: str = "i
 def assign_clusters(df: DataFrame, sample: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """Clusters fitted on all rows, assigned to a sample."""
     model = fit_clusters(score_vectors(df), k, seed)
-    return model.transform(score_vectors(sample))
+    return by_centre(model.transform(score_vectors(sample)), model)
 
 
 def feature_importance(df: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:

@@ -100,8 +100,8 @@ def histogram(df: DataFrame, metrics: list[str], bins: int = 30) -> DataFrame:
 def density(df: DataFrame, metrics: list[str], points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth n^(-1/5) · sd.
 
-    Equal values are counted first; each distinct value then adds to every grid
-    point, combined in its task to one row per grid point.
+    Equal values are counted first; the grid points are as many sums over the distinct
+    values, so no row is multiplied and each task hands on one row per metric.
     """
     values = metrics_long(df, metrics)
     ranges = _ranges(values).select(
@@ -112,16 +112,21 @@ def density(df: DataFrame, metrics: list[str], points: int = 200, cut: float = 3
         "hi",
     ).where(F.col("bw") > 0)
     start, end = F.col("lo") - cut * F.col("bw"), F.col("hi") + cut * F.col("bw")
-    point = start + F.col("point") * (end - start) / (points - 1)
+    step = (end - start) / (points - 1)
     distinct = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    z = (F.col("x") - F.col("value")) / F.col("bw")
-    kernel = F.col("n") * F.exp(-z * z / 2)
+    # ranges has one row per metric name
+    placed = distinct.join(F.broadcast(ranges), "metric").select(
+        "metric", "total", "bw", "n", "value", start.alias("start"), step.alias("step")
+    )
+
+    def mass(point: int) -> Column:
+        z = (F.col("start") + point * F.col("step") - F.col("value")) / F.col("bw")
+        return F.sum(F.col("n") * F.exp(-z * z / 2))
+
+    keys = ["metric", "total", "bw", "start", "step"]
+    summed = placed.groupBy(*keys).agg(*[mass(i).alias(f"_{i}") for i in range(points)])
+    masses = F.array(*[f"_{i}" for i in range(points)])
     scale = F.col("total") * F.col("bw") * F.sqrt(2 * F.pi())
-    return (
-        distinct.join(F.broadcast(ranges), "metric")
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .withColumn("x", point)
-        .groupBy("metric", "point", "x", "total", "bw")
-        .agg(F.sum(kernel).alias("mass"))
-        .select("metric", "point", "x", (F.col("mass") / scale).alias("density"))
+    return summed.select(*keys, F.posexplode(masses).alias("point", "mass")).select(
+        "metric", "point", (F.col("start") + F.col("point") * F.col("step")).alias("x"), (F.col("mass") / scale).alias("density")
     )

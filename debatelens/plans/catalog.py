@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .. import values as V
 from ..functions import escalation as E, normal as N
@@ -298,7 +298,23 @@ def seeded_sample(msgs: DataFrame) -> DataFrame:
 def kmeans_assign(msgs: DataFrame) -> DataFrame:
     bots = signed_bots(msgs)
     sample = cluster.seeded_sample(bots.na.drop(subset=SIGNED))
-    return cluster.assign_clusters(bots, sample).select("id", "cluster")
+    assigned = cluster.assign_clusters(bots, sample).select("id", "cluster")
+    whole = cluster.cluster_scores(bots).select("id", F.col("cluster").alias("whole"))
+    return assigned.join(whole, "id").select("id", (F.col("cluster") == F.col("whole")).alias("same"))
+
+
+def feature_importance(msgs: DataFrame) -> DataFrame:
+    """Whether each importance is a share, and their total."""
+    rows = cluster.feature_importance(signed_bots(msgs))
+    total = F.sum("importance").over(W.partitionBy())
+    return rows.select("feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total"))
+
+
+def scored_rate1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by mode and topic over levels that the library scored itself."""
+    msgs = load(spark, sf_dir)
+    scored = enrich.enrich(msgs, fixtures.scorer(spark, sf_dir))
+    return six_places(reports.rate1000_by_mode_topic(scored))
 
 
 def bots_text(msgs: DataFrame) -> DataFrame:
@@ -433,11 +449,14 @@ QUERIES: dict[str, Query] = {
     # statistics
     "mann_whitney": on_messages(lambda m: stats.mann_whitney(signed_bots(m), SIGNED).drop("p")),
     "mann_whitney_p": on_messages(lambda m: stats.mann_whitney(signed_bots(m), SIGNED).select("metric", "p")),
-    "kmeans_sentiment": on_messages(lambda m: cluster.cluster_scores(signed_bots(m)).select("id", "cluster")),
+    "kmeans_sentiment": on_messages(
+        lambda m: cluster.in_nearest_cluster(signed_bots(m)).select("id", "nearest")
+    ),
     "pca_sentiment": on_messages(lambda m: cluster.project_scores(signed_bots(m)).select("id", "pc1", "pc2")),
     "seeded_sample": on_messages(seeded_sample),
     "kmeans_assign": on_messages(kmeans_assign),
-    "feature_importance": on_messages(lambda m: cluster.feature_importance(signed_bots(m))),
+    "feature_importance": on_messages(feature_importance),
+    "scored_rate1000": scored_rate1000,
     # turns
     "turn_index": on_messages(lambda m: turns.turn_index(normalize.main_bots(m)).select("id", "conversation_id", "turn")),
     "reply_context": on_messages(reply_context),

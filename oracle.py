@@ -386,6 +386,26 @@ RANKS = """ranked AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value)
   us AS (SELECT *, r1 - n1 * (n1 + 1) / 2e0 AS u, n1 * n2 / 2e0 AS mean,
     sqrt(n1 * n2 / 12e0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1e0)))) AS sigma FROM sums)"""
 
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in SIGNED)
+
+
+def _component(k: int, source: str) -> list[str]:
+    """Leading eigenvector x0..x3 of a 4 by 4 table by power iteration, as relation ``p<k>``
+    with its value l and the sign s that makes the largest loading positive."""
+    moved = [" + ".join(f"c{i}{j} * x{j}" for j in range(4)) for i in range(4)]
+    xs = ", ".join(f"x{i}" for i in range(4))
+    norm = "sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(4)) + ")"
+    largest = "greatest(" + ", ".join(f"abs(x{i})" for i in range(4)) + ")"
+    return [
+        f"""i{k}(n, {xs}) AS (SELECT 0, 0.51e0, 0.49e0, 0.5e0, 0.48e0 UNION ALL
+          SELECT n + 1, {", ".join(f"y{i} / {norm}" for i in range(4))}
+          FROM (SELECT n, {", ".join(f"{m} AS y{i}" for i, m in enumerate(moved))} FROM i{k}, {source} WHERE n < 1500))""",
+        f"""p{k} AS (SELECT {xs}, sqrt({" + ".join(f"({m}) * ({m})" for m in moved)}) AS l,
+          CASE WHEN {" OR ".join(f"x{i} = {largest}" for i in range(4))} THEN 1 ELSE -1 END AS s
+          FROM i{k}, {source} WHERE n = 1500)""",
+    ]
+
+
 ORACLE: dict[str, str] = {
     "scan_messages": q(f"SELECT {', '.join(COLUMNS)} FROM msgs"),
     "scan_scored_text": q("SELECT escalation, message FROM msgs WHERE message IS NOT NULL"),
@@ -751,4 +771,27 @@ ORACLE: dict[str, str] = {
         o AS (SELECT strategy, host_mode, list(t ORDER BY t) AS l FROM tpl WHERE host_mode IS NOT NULL GROUP BY 1, 2),
         e AS (SELECT strategy, list(t ORDER BY t) AS l FROM tpl WHERE host_mode IS NULL GROUP BY 1)""",
     ),
+    "kmeans_sentiment": q(f"SELECT id, true AS nearest FROM signed WHERE {COMPLETE}", SIGNED_BOTS),
+    "kmeans_assign": q(
+        f"SELECT id, true AS same FROM signed WHERE {COMPLETE} ORDER BY md5('42|' || id::VARCHAR), id LIMIT 1000", SIGNED_BOTS
+    ),
+    "feature_importance": f"SELECT unnest([{quoted(SIGNED)}]) AS feature, true AS in_range, 1e0 AS total",
+    "pca_sentiment": q(
+        f"""SELECT id, {", ".join(f"round(({' + '.join(f'({c} - m{i}) * p.x{i}' for i, c in enumerate(SIGNED))}) * p.s, 6) AS pc{k}"
+            .replace("p.", f"p{k}.") for k in (1, 2))}
+        FROM signed, cov, p1, p2 WHERE {COMPLETE}""",
+        SIGNED_BOTS,
+        f"""cov AS (SELECT {", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(SIGNED))},
+          {", ".join(f"covar_samp({a}, {b}) AS c{i}{j}" for i, a in enumerate(SIGNED) for j, b in enumerate(SIGNED))}
+          FROM signed WHERE {COMPLETE})""",
+        *_component(1, "cov"),
+        f"cov2 AS (SELECT {', '.join(f'c{i}{j} - l * x{i} * x{j} AS c{i}{j}' for i in range(4) for j in range(4))} FROM cov, p1)",
+        *_component(2, "cov2"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "scored_rate1000": q(
+        f"SELECT host_mode, category, {rounded(LEVELS)} FROM rates",
+        *enriched("msgs"),
+        "rescored AS (SELECT main_bots.* REPLACE (rich.escalation AS escalation) FROM main_bots JOIN rich USING (id))",
+        rates("rescored", MODE_AXES | TOPIC_AXES),
+    ),
 }
