@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import values as V
 from ..functions.normal import lower_name
-from ..scale import MAX_BROADCAST_ROWS, fits, positions
+from ..scale import MAX_BROADCAST_BYTES, fits_bytes, join_lookup, positions, ranked_chunks
 
 
 def draw_number(key: Column | str, seed: str) -> Column:
@@ -22,26 +22,47 @@ def draw_number(key: Column | str, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _numbered(listed: DataFrame, group: list[str]) -> DataFrame:
+    """A large table numbered from 0 by text inside each group, or as a whole."""
+    if group:
+        keyed = listed.withColumn("_group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
+        return positions(keyed, "_group", [F.col("_text")], "_number").drop("_group")
+    chunked = ranked_chunks(listed, ["_text"], listed.count())
+    # one row per chunk
+    sizes = sorted(tuple(r) for r in chunked.groupBy("_chunk").count().collect())
+    starts, before = [], 0
+    for chunk, n in sizes:
+        starts.append((chunk, before))
+        before += n
+    starts = listed.sparkSession.createDataFrame(starts, "_chunk int, _start long")
+    place = F.row_number().over(W.partitionBy("_chunk").orderBy("_text")).cast("long") - 1
+    placed = chunked.withColumn("_place", place).join(F.broadcast(starts), "_chunk")
+    return placed.select("_text", (F.col("_place") + F.col("_start")).alias("_number"))
+
+
 def _drawn(
     df: DataFrame, candidates: DataFrame, group: list[str], text: str, number: Column, out: str
 ) -> DataFrame:
-    """One candidate of the row's group by ``number`` modulo the group's size, else null.
+    """One candidate of the row's group by ``number`` modulo the group's size, else null;
+    one of all candidates with no group.
 
     Candidates are numbered from 0 by text inside their group. A small table is
-    numbered by one window and broadcast; a large one is numbered in chunks and joined.
+    numbered by one window and broadcast; a large one is numbered in chunks and joined
+    by group and number. The groups' sizes are small on their own account.
     """
     listed = candidates.select(*group, F.col(text).alias("_text"))
-    small = fits(listed, MAX_BROADCAST_ROWS)
+    small = fits_bytes(listed, MAX_BROADCAST_BYTES)
     if small:
         place = F.row_number().over(W.partitionBy(*group).orderBy("_text")).cast("long") - 1
-        numbered = listed.withColumn("_number", place)
+        numbered = F.broadcast(listed.withColumn("_number", place))
     else:
-        keyed = listed.withColumn("_group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
-        numbered = positions(keyed, "_group", [F.col("_text")], "_number").drop("_group")
-    sizes = listed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    if small:
-        numbered, sizes = F.broadcast(numbered), F.broadcast(sizes)
-    sized = df.join(sizes, group, "left").withColumn("_number", number % F.col("_size"))
+        numbered = _numbered(listed, group)
+    if group:
+        sizes = listed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        sized = join_lookup(df, sizes, group, "left")
+    else:
+        sized = df.withColumn("_size", F.lit(listed.count()).cast("long"))
+    sized = sized.withColumn("_number", F.when(F.col("_size") > 0, number % F.col("_size")))
     picked = sized.join(numbered, [*group, "_number"], "left")
     return picked.withColumnRenamed("_text", out).drop("_size", "_number")
 
@@ -85,9 +106,8 @@ def assign_topic(
     """
     number = draw_number(key, seed)
     own = _drawn(conversations, questions, ["category"], "question", number, "_own")
-    everything = questions.select(F.lit("all").alias("_any"), "question")
-    either = _drawn(own.withColumn("_any", F.lit("all")), everything, ["_any"], "question", number, "_all")
-    return either.withColumn("question", F.coalesce("_own", "_all")).drop("_own", "_all", "_any")
+    either = _drawn(own, questions, [], "question", number, "_all")
+    return either.withColumn("question", F.coalesce("_own", "_all")).drop("_own", "_all")
 
 
 def render_host_reaction(

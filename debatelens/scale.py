@@ -19,8 +19,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-#: Largest lookup side (in rows) that may be broadcast.
-MAX_BROADCAST_ROWS = 200_000
+#: Largest lookup side (in bytes of its values) that may be broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
 #: A key with more rows than this is never put into one window frame.
 MAX_ROWS_PER_KEY = 2_000_000
 #: Rows that the sample behind the hot-key list holds of a key at the limit.
@@ -72,15 +72,28 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def fits_bytes(df: DataFrame, max_bytes: int) -> bool:
+    """True when the values of ``df`` take at most ``max_bytes``; measured in one pass.
+
+    Texts count with their bytes, any other value with 16.
+    """
+    of = [
+        F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(16)
+        for f in df.schema
+    ]
+    size = df.agg(F.sum(sum(of[1:], of[0]).cast("long") + 16)).first()[0]
+    return (size or 0) <= max_bytes
+
+
 def join_lookup(
     df: DataFrame,
     lookup: DataFrame,
     on: str | list[str] | Column,
     how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a lookup table, broadcast only when its counted size allows it."""
-    side = F.broadcast(lookup) if fits(lookup, max_rows) else lookup
+    """Join a lookup table, broadcast only when its measured size allows it."""
+    side = F.broadcast(lookup) if fits_bytes(lookup, max_bytes) else lookup
     return df.join(side, on, how)
 
 

@@ -1,5 +1,7 @@
 """Draws: right candidates, fallbacks, the same for small and large lookup tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,10 +26,18 @@ def test_large_tables_draw_the_same(spark, rows, monkeypatch):
         ]
 
     small = draws()
-    monkeypatch.setattr(lookups, "MAX_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(lookups, "MAX_BROADCAST_BYTES", 1)
     assert draws() == small
 
 
+def test_large_tables_meet_no_single_task_or_hot_key(spark, rows, monkeypatch):
+    monkeypatch.setattr(lookups, "MAX_BROADCAST_BYTES", 1)
+    drawn = lookups.assign_topic(rows, fixtures.questions(spark, DATA), "s")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "NestedLoop" not in plan
+    assert not re.search(r"SortMergeJoin \[category#\d+\], ", plan)
+
+
 def test_prompts_belong_to_topic_and_mode(spark):
     convs = spark.createDataFrame(
         [(str(i), c, m) for i in range(60) for c, m in [("Politics", "neutral"), ("Chess", "neutral"), ("Chess", "odd")]],

@@ -144,7 +144,7 @@ def test_lookup_is_broadcast_only_when_small(spark, skewed):
     small = spark.range(10).withColumnRenamed("id", "message_id")
     broadcast = join_lookup(skewed, small, "message_id")
     assert broadcast._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
-    shuffled = join_lookup(skewed, small, "message_id", max_rows=5)
+    shuffled = join_lookup(skewed, small, "message_id", max_bytes=5)
     assert sorted(shuffled.collect(), key=repr) == sorted(broadcast.collect(), key=repr)
 
 
