@@ -131,11 +131,11 @@ def _anchors(rows: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def _passages(marked: DataFrame, least: int) -> DataFrame:
-    """Passages of shared anchors with their words, and single windows of crowded anchors
-    as 128 bits of their content."""
+    """Passages of shared anchors: with their words, or of crowded anchors as 128 bits of
+    the whole and of each window."""
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()),
-        ("key", pa.int64()), ("key2", pa.int64()), ("passage", pa.binary()),
+        ("key", pa.int64()), ("key2", pa.int64()), ("passage", pa.binary()), ("windows", pa.binary()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +149,74 @@ def _passages(marked: DataFrame, least: int) -> DataFrame:
                 words = texts[i].split()
                 for mark in marks.as_py():
                     first, last = mark["first"], mark["last"]
+                    passage = b" ".join(words[first : last + least])
                     if not mark["crowded"]:
-                        out.append((ids[i], hashes[i], first, mark["anchor"], None, b" ".join(words[first : last + least])))
+                        out.append((ids[i], hashes[i], first, mark["anchor"], None, passage, None))
                         continue
-                    for at in range(first, last + 1):
-                        half = np.frombuffer(xxh3_128_digest(b" ".join(words[at : at + least])), "<i8").tolist()
-                        out.append((ids[i], hashes[i], at, *half, None))
+                    windows = b"".join(xxh3_128_digest(b" ".join(words[at : at + least])) for at in range(first, last + 1))
+                    out.append((ids[i], hashes[i], first, *_halves(xxh3_128_digest(passage)), None, windows))
                 if len(out) >= 1 << 16:
                     yield _batch(out, schema)
                     out = []
             yield _batch(out, schema)
 
-    names = ", ".join(f"{f.name} {'binary' if f.name == 'passage' else 'int' if f.name == 'at' else 'long'}" for f in schema)
-    return marked.select("doc_id", "text_hash", "text", "marks").mapInArrow(run, names)
+    kind = "doc_id long, text_hash long, at int, key long, key2 long, passage binary, windows binary"
+    return marked.select("doc_id", "text_hash", "text", "marks").mapInArrow(run, kind)
+
+
+def _halves(digest: bytes) -> list[int]:
+    return np.frombuffer(digest, "<i8").tolist()
+
+
+def _cut(passages: DataFrame, every: int) -> DataFrame:
+    """Passages cut into stretches of ``every`` windows on average, or single windows.
+
+    A stretch begins at a window whose content says so, so that equal runs of windows are
+    cut alike wherever they stand.
+    """
+    names = ["doc_id", "text_hash", "at", "key", "key2", "windows"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            out = []
+            for doc_id, text_hash, at, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = np.frombuffer(windows, "<u8")[::2]
+                cuts = [0, *((first[1:] % every == 0).nonzero()[0] + 1).tolist(), len(first)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    part = windows[16 * i : 16 * j]
+                    key = part if j == i + 1 else xxh3_128_digest(part)
+                    out.append((doc_id, text_hash, at + i, *_halves(key), part))
+                if len(out) >= 1 << 16:
+                    yield _batch(out, schema)
+                    out = []
+            yield _batch(out, schema)
+
+    kind = "doc_id long, text_hash long, at int, key long, key2 long, windows binary"
+    return passages.select("doc_id", "text_hash", "at", "windows").mapInArrow(run, kind)
+
+
+def _crowded_spans(passages: DataFrame, least: int) -> DataFrame:
+    """Spans of crowded passages, by content instead of an automaton.
+
+    A passage whose whole content a smaller doc_id has goes as a whole. Of each content
+    the smallest doc_id stays to be compared in short stretches, and then window by
+    window, so copies cost one row and their small changes few.
+    """
+    spans = None
+    for every in (4, 1, 0):
+        low = passages.groupBy("key", "key2").agg(F.min("doc_id").alias("low"))
+        known = passages.join(low, ["key", "key2"])
+        end = F.col("at") + F.octet_length("windows") / 16 + (least - 1)
+        gone = known.where("low < doc_id")
+        gone = gone.select("doc_id", "text_hash", F.col("at").alias("start"), end.cast("int").alias("end"))
+        spans = gone if spans is None else spans.unionByName(gone)
+        if every:
+            passages = _cut(known.where("low = doc_id"), every)
+    return spans
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -231,10 +286,8 @@ def repeated_spans(
     kind = "doc_id long, text_hash long, start int, end int"
     few = passages.where("passage is not null").select("key", "doc_id", "text_hash", "at", "passage")
     near = few.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(run, kind)
-    many = passages.where("passage is null").select("key", "key2", "doc_id", "text_hash", "at")
-    least_id = many.groupBy("key", "key2").agg(F.min("doc_id").alias("low"))
-    wide = many.join(least_id, ["key", "key2"]).where("low < doc_id")
-    wide = wide.select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("at") + least).alias("end"))
+    many = passages.where("windows is not null").select("key", "key2", "doc_id", "text_hash", "at", "windows")
+    wide = _crowded_spans(many, least)
     spans = near.unionByName(wide).groupBy("doc_id", "text_hash")
     return spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
