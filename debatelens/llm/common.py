@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +73,3 @@ def key_runs(batches: Iterator, key: str) -> Iterator:
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
-
-def plain_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text.lower()).strip("_")
