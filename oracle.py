@@ -7,6 +7,7 @@ words.
 
 from __future__ import annotations
 
+# --- Fixed values: names and labels of the data model, for the second computation ---
 TOPICS = ["Politics", "Social Issues", "Religion", "Economy", "Technology", "Climate Change", "Human Rights", "Education"]
 LEVELS = ["none", "light", "strong"]
 MODES = ["neutral", "provocative", "extreme"]
@@ -336,6 +337,7 @@ def pick(options: str, key: str, seed: str) -> str:
 CONVERSATIONS = "convs AS (SELECT DISTINCT conversation_id, category, host_mode FROM named)"
 UUID = "md5('run-1|' || conversation_id)"
 UUID = f"concat_ws('-', {', '.join(f'substr({UUID}, {s}, {n})' for s, n in [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)])})"
+# --- Fixed values: escalation phrases ---
 PHRASES = [
     "idiot", "stupid", "nonsense", "shut up", "you don't understand", "propaganda", "hate", "ignorant", "fool",
     "trash", "insult", "disgrace", "moron", "dumb", "worthless", "clueless", "pathetic", "loser", "garbage",
