@@ -25,7 +25,7 @@ from debatelens.llm.common import as_bytes, own_names, stored
 LEAST = 50
 GRAM = 10
 #: Passages with one anchor that one automaton holds; anchors with more are cut by window.
-SHARD = 200
+SHARD = 4096
 
 
 class SuffixAutomaton:
