@@ -9,8 +9,12 @@ from debatelens.llm.common import own_names, stored
 SEED = "mix-1"
 #: Without given weights a source weighs its size to this power: 1 keeps shares, 0 levels them.
 TEMPERATURE = 0.7
-#: A source that would have to be repeated more often than this is an error.
+#: A total that asks for the whole table more often than this is an error; a source may have any rate.
 MOST_REPEATS = 100.0
+#: A larger rate is drawn in equal parts of at most this: exp(-rate) ends near 708.
+MOST_RATE = 700.0
+#: Copies of a row are made in arrays of this many.
+BLOCK = 10000
 
 
 def source_rates(
@@ -27,6 +31,8 @@ def source_rates(
     expected sizes have the proportions of the weights and add up to ``total`` times the
     size of ``docs``. Sources that given weights don't name get rate 0.
     """
+    if total > MOST_REPEATS:
+        raise ValueError(f"the table would have to be repeated more than {MOST_REPEATS:g} times")
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
     sizes = docs.select(F.col(source_col).cast("string").alias("source"), size.alias("size"))
     sizes = sizes.groupBy("source").agg(F.sum("size").alias("size"))
@@ -40,9 +46,7 @@ def source_rates(
     weighed = stored(weighed, "sizes")
     all_size, all_weight = weighed.agg(F.sum("size"), F.sum("weight")).first()
     rate = F.col("weight") / F.col("size") * (total * (all_size or 0) / all_weight if all_weight else 0.0)
-    limit = F.raise_error(F.lit(f"a source would have to be repeated more than {MOST_REPEATS:g} times"))
-    both = weighed.withColumn("rate", rate)
-    return both.select("source", "size", F.when(F.col("rate") > MOST_REPEATS, limit.cast("double")).otherwise(F.col("rate")).alias("rate"))
+    return weighed.select("source", "size", rate.alias("rate"))
 
 
 def _steps(rate: Column) -> Column:
@@ -79,24 +83,41 @@ def poisson_mix(
 
     The draw inverts the Poisson distribution whose mean is the source's rate, at a point
     that depends on the seed and the id only (on the text where the id is null), so a
-    task that runs again draws the same. Adds ``copy`` (from 1), ``n_copies`` and
+    task that runs again draws the same. A rate above ``MOST_RATE`` is the sum of draws
+    for equal parts of it, each with its number in the key. Adds ``copy`` (from 1), ``n_copies`` and
     ``shuffle_key``, by which rows are dealt out and sorted; without ``numbered`` only
     the columns of ``docs``. A null source is a source of its own, a null text has size
     1, rows with one id and one source are drawn alike. Columns that clash with new names
     keep theirs, the new ones get an underscore. An empty table gives no rows.
     """
     rates = source_rates(docs, weights, total, temperature, source_col, text_col)
-    table = stored(rates.select("source", _steps(F.col("rate")).alias("steps")), "rates")
+    parts = F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("long")
+    rates = rates.withColumn("parts", parts)
+    table = stored(rates.select("source", "parts", _steps(F.col("rate") / F.col("parts")).alias("steps")), "rates")
     copy, n_copies, order = own_names(docs, ["copy", "n_copies", "shuffle_key"])
-    key, name, of, steps = own_names(docs, ["draw_key", "draw_source", "rate_source", "rate_steps"])
+    helpers = ["draw_key", "draw_source", "rate_source", "rate_steps", "rate_parts", "copy_block"]
+    key, name, of, steps, parts, block = own_names(docs, helpers)
     base = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit("")))
     rows = docs.withColumns({key: base, name: F.col(source_col).cast("string")})
     # one small row per source: Spark broadcasts it by the size of the stored table, if that is small
-    rows = rows.join(table.select(F.col("source").alias(of), F.col("steps").alias(steps)), F.col(name).eqNullSafe(F.col(of)))
-    u = _draw(F.col(key))
-    rows = rows.withColumn(n_copies, F.size(F.filter(steps, lambda x: x <= u)).cast("long"))
-    rows = rows.where(F.col(n_copies) > 0).drop(steps, of, name)
-    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_copies))))
+    table = table.select(F.col("source").alias(of), F.col("parts").alias(parts), F.col("steps").alias(steps))
+    rows = rows.join(table, F.col(name).eqNullSafe(F.col(of)))
+
+    def count(key: Column) -> Column:
+        u = _draw(key)
+        return F.size(F.filter(steps, lambda x: x <= u)).cast("long")
+
+    def more(n: Column, part: Column) -> Column:
+        return n + count(F.concat_ws(":", F.lit("part"), part.cast("string"), F.col(key)))
+
+    first = count(F.col(key))
+    rest = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col(parts) - 1), F.lit(0).cast("long"), more)
+    rows = rows.withColumn(n_copies, F.when(F.col(parts) > 1, first + rest).otherwise(first))
+    rows = rows.where(F.col(n_copies) > 0).drop(steps, parts, of, name)
+    # one array of all copies could be too large
+    rows = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n_copies) - 1) / BLOCK))))
+    start = F.col(block) * BLOCK
+    rows = rows.withColumn(copy, F.explode(F.sequence(start + 1, F.least(start + BLOCK, F.col(n_copies))))).drop(block)
     rows = rows.withColumn(order, F.md5(F.concat_ws(":", F.col(key), F.col(copy).cast("string"))))
     mixed = rows.repartition(F.col(order)).sortWithinPartitions(order)
     return mixed.select(*docs.columns, *([copy, n_copies, order] if numbered else []))

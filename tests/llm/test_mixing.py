@@ -62,6 +62,44 @@ def test_nulls_repeats_and_too_many_repeats(spark):
         mixing.poisson_mix(docs, total=1000.0).count()
 
 
+def test_one_byte_source_beside_a_very_large_one(spark):
+    from pyspark.sql import functions as F
+
+    big = spark.range(20).select((-1 - F.col("id")).alias("doc_id"), F.expr("repeat('x', 999999)").alias("text"), F.lit("big").alias("source"))
+    tiny = spark.createDataFrame([(7, None, None), (8, "", "rare")], "doc_id long, text string, source string")
+    got = mixing.poisson_mix(big.union(tiny)).where("doc_id > 0").groupBy("doc_id", "n_copies").count().collect()
+    weight = 20000000.0**mixing.TEMPERATURE + 2
+    rate = 20000002 / weight
+    want = {i: draw(rate, f"{mixing.SEED}:{i}") for i in (7, 8)}
+    assert rate > 100 and {r.doc_id: r.n_copies for r in got} == want == {r.doc_id: r["count"] for r in got}
+
+
+def test_rates_beyond_the_exponential(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("tiny").alias("source"))
+    docs = docs.unionByName(spark.range(1000, 1002).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 1999999)").alias("text"), F.lit("big").alias("source")))
+    mixed = mixing.poisson_mix(docs, {"tiny": 1.0, "big": 4.0}, numbered=True).where("doc_id < 1000")
+    got = mixed.groupBy("doc_id", "n_copies").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last")).collect()
+    rate = 4000200 / 5 / 200
+    parts = math.ceil(rate / mixing.MOST_RATE)
+    assert len(got) == 200 and all(r.n_copies == r.n == r.copies == r["last"] for r in got)
+    for r in got:
+        keys = [f"{mixing.SEED}:{r.doc_id}"] + [f"part:{k}:{mixing.SEED}:{r.doc_id}" for k in range(1, parts)]
+        assert r.n_copies == sum(draw(rate / parts, k) for k in keys)
+    mean = sum(r.n for r in got) / 200
+    assert mean == pytest.approx(rate, rel=0.01)
+    assert sum((r.n - rate) ** 2 for r in got) / 200 == pytest.approx(rate, rel=0.4)
+
+
+def test_copies_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 3)
+    docs = spark.createDataFrame([(i, "x", "a", None, 1) for i in range(50)], SCHEMA)
+    rows = mixing.poisson_mix(docs, total=10.0).collect()
+    want = {i: draw(10.0, f"{mixing.SEED}:{i}") for i in range(50)}
+    assert sorted((r.doc_id, r["copy_"]) for r in rows) == [(i, c) for i, n in want.items() for c in range(1, n + 1)]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.poisson_mix(none).count() == 0
