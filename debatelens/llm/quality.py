@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from debatelens.llm.common import BLANKS, own_names, words_of
+from debatelens.llm.common import BLANKS, own_names, stored, words_of
 
 #: Documents with fewer words fail.
 LEAST_WORDS = 10
@@ -36,6 +36,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _language(lang_col: str) -> Column:
+    """Codes in lower case; null stays a group of its own."""
+    return F.lower(F.col(lang_col).cast("string"))
+
+
 def _histograms(df: DataFrame, text_col: str, lang_col: str, c: dict[str, str]) -> DataFrame:
     """Adds the words, the class counts and the common-word counts: each of the language's
     own, those listed for other languages only, and all other words."""
@@ -53,7 +58,7 @@ def _histograms(df: DataFrame, text_col: str, lang_col: str, c: dict[str, str])
     out = out.withColumn(c["found"], found)
     own = F.lit(None).cast("array<string>")
     for lang, ws in COMMON_WORDS.items():
-        own = F.when(F.col(lang_col) == lang, F.array(*[F.lit(w) for w in ws])).otherwise(own)
+        own = F.when(_language(lang_col) == lang, F.array(*[F.lit(w) for w in ws])).otherwise(own)
     out = out.withColumn(c["own"], own)
     # two uses each of "found" and "hits" keep the optimizer from moving them into the lambda
     hits = F.transform(c["own"], lambda x: F.size(F.filter(c["found"], lambda w: w == x)).cast("long"))
@@ -116,9 +121,10 @@ def _divergence(counts: Column, reference: Column) -> Column:
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, ref_words, ref_classes, ref_common): one row per language of ``COMMON_WORDS``
-    at most, from all documents of the language that pass the length guard."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(list(COMMON_WORDS)))
+    """(lang, ref_words, ref_classes, ref_common): one row per language, in lower case and
+    null among them, from all its documents that pass the length guard. ``ref_common`` is
+    null for languages without a list in ``COMMON_WORDS``."""
+    rows = docs.select(_language(lang_col).alias("lang"), F.col(text_col).alias("text"))
     names = _names(rows)
     rows = _histograms(rows, "text", "lang", names).withColumn("n", F.size(names["words"]))
     rows = rows.where(F.col("n") >= GUARD_WORDS)
@@ -131,7 +137,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         "lang",
         "ref_words",
         F.array(*[f"k{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
-        F.array(*[f"w{i}" for i in range(n_common)]).alias("ref_common"),
+        F.when(F.col("w0").isNotNull(), F.array(*[f"w{i}" for i in range(n_common)])).alias("ref_common"),
     )
 
 
@@ -144,24 +150,25 @@ def _names(df: DataFrame) -> dict[str, str]:
 
 def _scored(docs: DataFrame, text_col: str, lang_col: str, references: DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
     names = _names(docs)
-    references = language_references(docs, text_col, lang_col) if references is None else references
+    references = stored(language_references(docs, text_col, lang_col) if references is None else references, "references")
     out = _base(_histograms(docs, text_col, lang_col, names), text_col, names)
     # a filter on the verdict must not be pushed below the columns it is made of, where each
     # use would compute them again; it stops at a column that is not deterministic
     out = out.withColumn(names["here"], F.spark_partition_id())
     key = names["lang_key"]
-    small = references.where(F.col("lang").isin(list(COMMON_WORDS))).select(
+    small = references.where(F.col("ref_words") >= GUARD_REFERENCE).select(
         F.col("lang").alias(key),
         *[F.col(x).alias(f"{key}_{x}") for x in ("ref_words", "ref_classes", "ref_common")],
     )
-    # a row per language of COMMON_WORDS at most
-    out = out.join(F.broadcast(small), F.col(lang_col) == F.col(key), "left")
-    fit = (F.col(names["n_words"]) >= GUARD_WORDS) & (F.col(f"{key}_ref_words") >= GUARD_REFERENCE)
+    # a row per language: Spark broadcasts it by the size of the stored table, if that is small
+    out = out.join(small, _language(lang_col).eqNullSafe(F.col(key)), "left")
+    fit = (F.col(names["n_words"]) >= GUARD_WORDS) & F.col(f"{key}_ref_words").isNotNull()
+    listed = F.col(names["common"]).isNotNull() & F.col(f"{key}_ref_common").isNotNull()
     out = out.withColumns({
         names["base_failed"]: (F.col(names["n_words"]) < LEAST_WORDS)
         | (100 * F.col(names["n_repeat_words"]) > MOST_REPEATED * F.col(names["n_words"])),
         names["class_distance"]: F.when(fit, F.round(_divergence(F.col(names["classes"]), F.col(f"{key}_ref_classes")), 6)),
-        names["word_distance"]: F.when(fit, F.round(_divergence(F.col(names["common"]), F.col(f"{key}_ref_common")), 6)),
+        names["word_distance"]: F.when(fit & listed, F.round(_divergence(F.col(names["common"]), F.col(f"{key}_ref_common")), 6)),
     })
     far = (F.col(names["class_distance"]) > MOST_CLASS_DISTANCE) | (F.col(names["word_distance"]) > MOST_WORD_DISTANCE)
     kept = ~F.col(names["base_failed"]) & ~F.coalesce(far, F.lit(False)) & (F.col(names["here"]) >= 0)
@@ -177,9 +184,10 @@ def quality_scores(
     A document fails with few words or many repeated ones. Otherwise its histograms of
     character classes and of the language's common words are compared with those of its
     language (of all documents, or given as ``references``), and it fails when one of
-    the Jensen-Shannon distances is too large. Short documents, languages without a word
-    list and languages with little text have null distances and are not compared. A null
-    text counts as empty and fails. Repeated rows and null ids get a row each; other
+    the Jensen-Shannon distances is too large. Languages are told apart in lower case, a
+    null language is one of its own. Languages without a word list are compared by
+    character classes only; short documents and languages with little text have null
+    distances and are not compared. A null text counts as empty and fails. Repeated rows and null ids get a row each; other
     columns, whatever their names, are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))

@@ -132,6 +132,29 @@ def test_divergence_keeps_prose_and_rejects_noise(spark):
     assert got[0].class_distance == pytest.approx(want, abs=1e-6)
 
 
+def test_languages_without_a_list_or_a_code_are_compared_by_classes(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("aeioustrnl", k=6)) for _ in range(n))
+
+    langs = {0: "en", 1: "EN", 2: None, 3: "it", 4: "en-US", 5: "En-us"}
+    rows = [(100 * k + i, prose(60), lang) for k, lang in langs.items() for i in range(20)]
+    rows += [(1000 + k, " ".join("#%$&" + c * 3 for c in rng.choices("abcdefgh", k=20)) + prose(60).upper(), lang) for k, lang in langs.items()]
+    rows += [(2000, prose(60), "ru")]
+    docs = spark.createDataFrame([(*r, "x", None) for r in rows], DOCS)
+    got = {r.doc_id: r for r in quality.quality_scores(docs).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    for k, lang in langs.items():
+        assert all(got[100 * k + i].kept and got[100 * k + i].class_distance < 0.3 for i in range(20))
+        assert not got[1000 + k].kept and got[1000 + k].class_distance > 0.3
+        assert (got[100 * k].word_distance is not None) == (k < 2)
+    assert got[2000].kept and got[2000].class_distance is None and got[2000].word_distance is None
+    refs = {r.lang: r for r in quality.language_references(docs).collect()}
+    assert set(refs) == {"en", None, "it", "en-us", "ru"} and [x for x, r in refs.items() if r.ref_common] == ["en"]
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
 def test_native_operators_on_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality.quality_scores(none).count() == quality.keep_good(none).count() == licenses.scan_licenses(none).count() == 0
