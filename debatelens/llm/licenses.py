@@ -41,12 +41,16 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is free software": "gpl-free",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-terms-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-terms-later",
     "either version 3 of the license or at your option any later version": "gpl3-or-later",
     "either version 2 of the license or at your option any later version": "gpl2-or-later",
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
     "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
     "see the gnu general public license for more details": "gpl-details",
     "you should have received a copy of the gnu general public license along with this program": "gpl-received",
+    "if not see http www gnu org licenses": "gpl-see",
+    "if not see https www gnu org licenses": "gpl-see",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
@@ -68,6 +72,8 @@ RULES = [
     ("Apache-2.0", ["apache2-head-comply", "apache2-copy", "apache2-url", "apache2-basis", "apache2-see"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl3-or-later"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl2-or-later"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms-later"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms-later"]),
     ("GPL-3.0-or-later", ["gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl2-later"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),

@@ -56,6 +56,67 @@ def test_licences_notices_texts_and_order(spark):
     assert got[8] == (["mit-notice"], [], 0, 1)
 
 
+GPL = """Copyright (C) 2020 Someone
+
+This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_verbatim_notices_with_wrapped_lines(spark):
+    marks = [(a, b, v) for a in ":;" for b in ",;" for v in "23"]
+    got = scan(spark, [(i, GPL.format(*m)) for i, m in enumerate(marks)] + [(10, BSD), (11, BSD + BSD_NAMES), (12, APACHE)]
+        + [(13, "".join(f"# {x}\n" for x in GPL.format(":", ",", 3).splitlines()))])
+    for i, (_, _, version) in enumerate(marks):
+        assert got[i][1:] == ([f"GPL-{version}.0-or-later"], 1, 5)  # the copyright line; the sentences behind the grant
+    assert [got[i][1:3] for i in (10, 11, 12)] == [(["BSD-2-Clause"], 1), (["BSD-3-Clause"], 1), (["Apache-2.0"], 1)]
+    assert got[13][1] == ["GPL-3.0-or-later"]
+
+
 def test_longer_rules_use_their_sentences_up(spark):
     docs = spark.createDataFrame([(1, "A. B. A. C. B"), (1, "A. B"), (None, "B. A")], "doc_id long, text string")
     known, rules = {"a": "license-a", "b": "b", "c": "c"}, [("AB", ["license-a", "b"]), ("A", ["license-a"])]
