@@ -88,7 +88,7 @@ RULES = [
     ("CC-BY-ND-4.0", ["cc-by-nd4-note"]),
     ("CC-BY-4.0", ["cc-by4-note"]),
 ]
-#: A text without any of these has no sentence that could be known or look like a licence.
+#: A text without any of these has no sentence of ``SENTENCES`` and none that looks like a licence.
 HINTS = "(?i)licen[sc]e|copyright|permission|warrant|redistribut|gnu|program|compliance|obtain|version|neither|liable"
 #: An unknown sentence with one of these is reported as unknown.
 SUSPECT = "licen[sc]e|copyright"
@@ -129,7 +129,9 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
 
     parts = F.split(F.regexp_replace(text, ENDS, "$1" + MARK), MARK)
     found = F.flatten(F.transform(parts, one))
-    return F.when(text.rlike(HINTS), found).otherwise(F.array().cast("array<string>"))
+    # a caller's sentences need not hold a hint
+    looked = text.rlike(HINTS) if sentences == SENTENCES else text.isNotNull()
+    return F.when(looked, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(

@@ -126,6 +126,13 @@ def test_longer_rules_use_their_sentences_up(spark):
     assert got == [("1", ["AB"], 0), ("1", ["AB", "A"], 2), ("None", ["A"], 1)]
 
 
+def test_own_sentences_need_no_hint(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved."), (2, "Odd. This work is in the public domain"), (3, None)], "doc_id long, text string")
+    known = {"all rights reserved": "reserved", "this work is in the public domain": "public"}
+    got = licenses.scan_licenses(docs, sentences=known, rules=[("PD", ["public"])]).collect()
+    assert sorted((r.doc_id, r.sentences, r.licenses) for r in got) == [(1, ["reserved"], []), (2, ["public"], ["PD"]), (3, [], [])]
+
+
 def test_every_sentence_is_normal_and_hinted():
     import re
 
