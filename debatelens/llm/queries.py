@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from debatelens.llm import (
+    alignment,
+    decontamination,
     embeddings,
     licenses,
     mixing,
@@ -13,11 +15,15 @@ from debatelens.llm import (
     quality,
     sharding,
     simhash,
+    spelling,
     substring,
     warc,
 )
 from debatelens.scale import scratch_path
 
+#: Folder of the vocabulary files that the alignment reads.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,6 +108,30 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.counted_runs(_table(spark, sf_dir, "documents"), drop_every=97, least=5)
+    return spelling.variant_groups(runs.where("n >= 3"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    a = alignment.byte_bpe(spark, f"{tokenizers}/byte_bpe_50k.json")
+    b = alignment.pieces(spark, f"{tokenizers}/piece_bpe_32k.model")
+    found = alignment.align_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -113,4 +143,7 @@ QUERIES = {
     "op8_warc_source": op8_warc_source,
     "op9_simhash": op9_simhash,
     "op10_preference_format": op10_preference_format,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_decontamination": op12_decontamination,
+    "op13_token_alignment": op13_token_alignment,
 }
