@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,13 @@ from debatelens.llm.common import as_bytes, own_names, stored
 
 #: Pairs, the most frequent ones, whose counts every task looks up; the rest is joined.
 FREQUENT = 1 << 20
+#: Words whose tokens a task keeps.
+_WORDS_KEPT = 1 << 18
+#: Characters of the texts that are encoded at once.
+_AT_ONCE = 1 << 18
+# --- Fixed values: how a byte-level BPE cuts texts into words, and the characters that are cut here ---
+_BPE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xff]*"
 #: Different pairs that a task counts before it hands them on.
 _COUNTED = 1 << 19
 
@@ -32,17 +40,23 @@ class Tokenizer:
     """A tokenizer file that travels with the tasks.
 
     ``load`` makes (encode, token bytes) from the file's bytes: encode takes a list of texts
-    and gives a list of token ids for each, the token bytes are a list by id.
+    and gives for each its token ids, and whether they spell a space and the text; the token
+    bytes are a list by id.
     """
 
     content: bytes
-    load: Callable[[bytes], tuple[Callable[[list[str]], list[list[int]]], list[bytes]]]
+    load: Callable[[bytes], tuple[Callable[[list[str]], list[tuple[np.ndarray, bool]]], list[bytes]]]
 
 
 def _load_byte_bpe(content: bytes) -> tuple:
+    """A word of a text has the same tokens wherever it stands, so a task keeps those of the
+    words it has met. Texts with characters whose class might differ between libraries are
+    left to the tokenizer as a whole.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer as Loaded
 
     loaded = Loaded.from_buffer(content)
@@ -57,10 +71,28 @@ def _load_byte_bpe(content: bytes) -> tuple:
         known = all(c in byte for c in token)
         tokens[number] = bytes(byte[c] for c in token) if known else token.encode()
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in loaded.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    shown = {b: c for c, b in byte.items()}
+    model = loaded.model
 
-    return encode, tokens
+    class Known(dict):
+        def __missing__(self, word: str) -> list[int]:
+            if len(self) >= _WORDS_KEPT:
+                self.clear()
+            ids = [t.id for t in model.tokenize("".join(map(shown.__getitem__, word.encode())))]
+            if b"".join(map(tokens.__getitem__, ids)) != word.encode():
+                raise ValueError("the tokenizer does not keep bytes")
+            self[word] = ids
+            return ids
+
+    known, words, plain = Known(), regex.compile(_BPE_WORDS).findall, regex.compile(_PLAIN).fullmatch
+
+    def one(text: str) -> tuple[np.ndarray, bool]:
+        if plain(text):
+            return np.fromiter(chain.from_iterable(map(known.__getitem__, words(text))), np.int64), True
+        ids = loaded.encode(text, add_special_tokens=False).ids
+        return np.array(ids, np.int64), b"".join(map(tokens.__getitem__, ids)) == text.encode()
+
+    return (lambda texts: [one(" " + t) for t in texts]), tokens
 
 
 def _load_pieces(content: bytes) -> tuple:
@@ -74,7 +106,13 @@ def _load_pieces(content: bytes) -> tuple:
             tokens.append(bytes([int(piece[3:-1], 16)]))
         else:
             tokens.append(piece.replace("▁", " ").encode())
-    return (lambda texts: loaded.encode(texts, num_threads=1)), tokens
+
+    def encode(texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        found = loaded.encode(texts, num_threads=1)
+        spelt = (b"".join(map(tokens.__getitem__, ids)) == b" " + t.encode() for t, ids in zip(texts, found, strict=True))
+        return [(np.array(ids, np.int64), same) for ids, same in zip(found, spelt, strict=True)]
+
+    return encode, tokens
 
 
 def _content(spark: SparkSession, path: str) -> bytes:
@@ -158,15 +196,13 @@ class Groups:
         return np.repeat(self.a, each), self.b[np.repeat(start_b[self.group_a], each) + inner]
 
 
-def aligned(pair: _Pair, text: bytes, a: list[int], b: list[int]) -> Groups | None:
-    """The groups of a text's tokens; None if either does not spell a space and the text."""
-    whole = b" " + text
-    if b"".join(map(pair.bytes_a.__getitem__, a)) != whole or b"".join(map(pair.bytes_b.__getitem__, b)) != whole:
+def aligned(pair: _Pair, a: tuple[np.ndarray, bool], b: tuple[np.ndarray, bool]) -> Groups | None:
+    """The groups of a text's tokens; None if either kind does not spell a space and the text."""
+    if not (a[1] and b[1]):
         return None
-    tokens_a, tokens_b = np.array(a, np.int64), np.array(b, np.int64)
-    end_a, end_b = np.cumsum(pair.length_a[tokens_a]), np.cumsum(pair.length_b[tokens_b])
+    end_a, end_b = np.cumsum(pair.length_a[a[0]]), np.cumsum(pair.length_b[b[0]])
     both = np.intersect1d(end_a, end_b, assume_unique=True)
-    return Groups(tokens_a, tokens_b, np.searchsorted(both, end_a), np.searchsorted(both, end_b), len(both))
+    return Groups(a[0], b[0], np.searchsorted(both, end_a), np.searchsorted(both, end_b), len(both))
 
 
 def _written(pair: _Pair, g: Groups) -> str:
@@ -198,6 +234,17 @@ class _Packed:
         return a * self.width + b
 
 
+def _encoded(pair: _Pair, texts: list[bytes]) -> Iterator[tuple[bytes, tuple, tuple]]:
+    """Each text with its tokens, some texts at a time."""
+    start, size = 0, 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= _AT_ONCE or i == len(texts):
+            strings = [t.decode() for t in texts[start:i]]
+            yield from zip(texts[start:i], pair.encode_a(strings), pair.encode_b(strings), strict=True)
+            start, size = i, 0
+
+
 def _tokenised(rows: DataFrame, shipped: _Shipped) -> DataFrame:
     """For each row its counts, and its different links with how often it has them: those of
     equal tokens by their id of A alone (``same``), all others as packed pairs (``pairs``)."""
@@ -207,10 +254,9 @@ def _tokenised(rows: DataFrame, shipped: _Shipped) -> DataFrame:
         packed = _Packed(pair)
         for batch in batches:
             texts = as_bytes(batch, batch.schema.names[-1])
-            strings = [t.decode() for t in texts]
             out = []
-            for text, a, b in zip(texts, pair.encode_a(strings), pair.encode_b(strings), strict=True):
-                groups = aligned(pair, text, a, b) if text else None
+            for text, a, b in _encoded(pair, texts):
+                groups = aligned(pair, a, b) if text else None
                 if groups is None:
                     out.append((0, 0, 0, 0, "", b"", b"", b"", b""))
                     continue
@@ -220,7 +266,7 @@ def _tokenised(rows: DataFrame, shipped: _Shipped) -> DataFrame:
                 others, times = np.unique(packed.of(link_a[~equal], link_b[~equal]), return_counts=True)
                 digest = sha256(_written(pair, groups).encode()).hexdigest()
                 data = (x.astype(k).tobytes() for x, k in ((same, "<u4"), (same_times, "<u4"), (others, packed.kind), (times, "<u4")))
-                out.append((len(a), len(b), groups.n, len(link_a), digest, *data))
+                out.append((len(groups.a), len(groups.b), groups.n, len(link_a), digest, *data))
             columns = list(zip(*out, strict=True)) or [()] * len(_COLUMNS)
             arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS.items(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *_COLUMNS])
