@@ -9,10 +9,10 @@ vocabulary. Only pairs of the other groups are shuffled.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,54 @@ class Tokenizer:
     load: Callable[[bytes], tuple[Callable[[list[str]], list[tuple[np.ndarray, bool]]], list[bytes]]]
 
 
+def _checked(ids: list[int], tokens: list[bytes], text: str) -> tuple[np.ndarray, bool]:
+    return np.array(ids, np.int64), b"".join(map(tokens.__getitem__, ids)) == b" " + text.encode()
+
+
+class _Known:
+    """Ids of words that were met, as bytes; a word that its tokens do not spell has none."""
+
+    def __init__(self, learn: Callable[[list[str]], list[list[int]]], tokens: list[bytes]) -> None:
+        self.learn, self.tokens = learn, tokens
+        self.held: dict[str, bytes | None] = {}
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """For each list of words their ids one after another; None if some word has none."""
+        held = self.held
+        every = set().union(*texts)
+        if len(held) + len(every) > _WORDS_KEPT:
+            held.clear()
+        new = list(every.difference(held))
+        for word, ids in zip(new, self.learn(new), strict=True):
+            spelt = b"".join(map(self.tokens.__getitem__, ids)) == word.encode()
+            held[word] = array("i", ids).tobytes() if spelt else None
+        return [self._joined(words) for words in texts]
+
+    def _joined(self, words: list[str]) -> np.ndarray | None:
+        try:
+            return np.frombuffer(b"".join(map(self.held.__getitem__, words)), np.intc).astype(np.int64)
+        except TypeError:
+            return None
+
+
+def _encoder(known: _Known, words: Callable[[str], list[str]], whole: Callable[[str], list[int]]) -> Callable:
+    """Encodes texts of plain characters by their words, the others whole."""
+    import regex
+
+    plain = regex.compile(_PLAIN).fullmatch
+
+    def encode(texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        cut = [words(" " + t) if plain(t) else None for t in texts]
+        found = iter(known.ids([w for w in cut if w is not None]))
+        out = []
+        for text, own in zip(texts, cut, strict=True):
+            ids = None if own is None else next(found)
+            out.append(_checked(whole(text), known.tokens, text) if ids is None else (ids, True))
+        return out
+
+    return encode
+
+
 def _load_byte_bpe(content: bytes) -> tuple:
     """A word of a text has the same tokens wherever it stands, so a task keeps those of the
     words it has met. Texts with characters whose class might differ between libraries are
@@ -74,28 +122,19 @@ def _load_byte_bpe(content: bytes) -> tuple:
     shown = {b: c for c, b in byte.items()}
     model = loaded.model
 
-    class Known(dict):
-        def __missing__(self, word: str) -> list[int]:
-            if len(self) >= _WORDS_KEPT:
-                self.clear()
-            ids = [t.id for t in model.tokenize("".join(map(shown.__getitem__, word.encode())))]
-            if b"".join(map(tokens.__getitem__, ids)) != word.encode():
-                raise ValueError("the tokenizer does not keep bytes")
-            self[word] = ids
-            return ids
-
-    known, words, plain = Known(), regex.compile(_BPE_WORDS).findall, regex.compile(_PLAIN).fullmatch
+    def learn(new: list[str]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize("".join(map(shown.__getitem__, w.encode())))] for w in new]
 
-    def one(text: str) -> tuple[np.ndarray, bool]:
-        if plain(text):
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, words(text))), np.int64), True
-        ids = loaded.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.int64), b"".join(map(tokens.__getitem__, ids)) == text.encode()
-
-    return (lambda texts: [one(" " + t) for t in texts]), tokens
+    words = regex.compile(_BPE_WORDS).findall
+    whole = lambda text: loaded.encode(" " + text, add_special_tokens=False).ids
+    return _encoder(_Known(learn, tokens), words, whole), tokens
 
 
 def _load_pieces(content: bytes) -> tuple:
+    """If no piece goes on with a space behind another character, no token reaches over the
+    start of a run of spaces, so these stretches of a text are encoded one by one and kept.
+    """
+    import regex
     from sentencepiece import SentencePieceProcessor
 
     loaded = SentencePieceProcessor(model_proto=content)
@@ -106,13 +145,17 @@ def _load_pieces(content: bytes) -> tuple:
             tokens.append(bytes([int(piece[3:-1], 16)]))
         else:
             tokens.append(piece.replace("▁", " ").encode())
+    apart = not any(regex.search("[^▁]▁", loaded.id_to_piece(n)) for n in range(len(tokens)))
+    space = [loaded.piece_to_id("▁")]
 
-    def encode(texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        found = loaded.encode(texts, num_threads=1)
-        spelt = (b"".join(map(tokens.__getitem__, ids)) == b" " + t.encode() for t, ids in zip(texts, found, strict=True))
-        return [(np.array(ids, np.int64), same) for ids, same in zip(found, spelt, strict=True)]
+    def learn(new: list[str]) -> list[list[int]]:
+        # the model itself puts the first space
+        found = loaded.encode([w[1:] for w in new], num_threads=1)
+        return [space if w == " " else ids for w, ids in zip(new, found, strict=True)]
 
-    return encode, tokens
+    if not apart:
+        return (lambda texts: [_checked(loaded.encode(t), tokens, t) for t in texts]), tokens
+    return _encoder(_Known(learn, tokens), regex.compile(" +[^ ]*").findall, loaded.encode), tokens
 
 
 def _content(spark: SparkSession, path: str) -> bytes:
