@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..scale import MAX_ROWS_PER_KEY, cumulative_counts, with_group_values
+from ..scale import MAX_ROWS_PER_KEY, checkpoint_root, fits, ranked_chunks
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -16,36 +16,49 @@ def metrics_long(df: DataFrame, metrics: list[str], keep: list[str] | None = Non
     return typed.unpivot(keep, metrics, "metric", "value").where(F.col("value").isNotNull())
 
 
+def _quartiles(total: Column, number: Column) -> dict[str, Column]:
+    """Values at the lower and upper rank of each quartile, as aggregates over ranked rows."""
+    found = {}
+    for name, q in QUARTILES.items():
+        place = (total - 1) * F.lit(q)
+        for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
+            found[f"{name}_{end}"] = F.max(F.when(inside, number))
+    return found
+
+
+def _between(name: str) -> Column:
+    low, high, place = F.col(f"{name}_lo"), F.col(f"{name}_hi"), (F.col("count") - 1) * F.lit(QUARTILES[name])
+    return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+
 def box_summary(
     df: DataFrame, by: list[str], value: str, max_rows: int = MAX_ROWS_PER_KEY
 ) -> DataFrame:
     """Exact quartiles, whiskers at 1.5 IQR and outlier count of each group.
 
-    Works on distinct values with counts: a quartile is found by its rank, so no
-    group of values is ever held in one place.
+    Works on distinct values with counts: a quartile is found by its rank. Few distinct
+    values take one window per group; many are cut into range chunks, and no group is ever
+    put into one place.
     """
     known = df.where(F.col(value).isNotNull())
     for key in by:
         known = known.where(F.col(key).isNotNull())
-    number = F.col(value).cast("double")
-    ranked, small = cumulative_counts(known, by, value, {"n": F.count(F.lit(1))}, max_rows)
-    sized = with_group_values(ranked, by, {"count": F.sum("n")}, small)
-
-    def at_rank(rank: Column) -> Column:
-        inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, number))
-
-    places = {name: (F.col("count") - 1) * F.lit(q) for name, q in QUARTILES.items()}
-    ends = {}
-    for name, place in places.items():
-        ends |= {f"{name}_lo": at_rank(F.floor(place)), f"{name}_hi": at_rank(F.ceil(place))}
-
-    def between(name: str) -> Column:
-        low, high, place = F.col(f"{name}_lo"), F.col(f"{name}_hi"), places[name]
-        return (low + (high - low) * (place - F.floor(place))).alias(name)
-
-    placed = with_group_values(sized, by, ends, small).select(
-        *by, number.alias("_value"), "n", "count", *[between(name) for name in QUARTILES]
+    checkpoint_root(df.sparkSession)
+    # counted and then read again
+    distinct = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    if fits(distinct, max_rows):
+        group = W.partitionBy(*by)
+        below = F.sum("n").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+        ranked = distinct.withColumn("n_before", F.coalesce(below, F.lit(0)))
+        ranked = ranked.withColumn("count", F.sum("n").over(group))
+        number = F.col(value).cast("double")
+        ends = _quartiles(F.col("count"), number)
+        sized = ranked.select("*", *[e.over(group).alias(n) for n, e in ends.items()])
+    else:
+        sized = _ranked_in_chunks(distinct, by, value)
+    placed = sized.select(
+        *by, F.col(value).cast("double").alias("_value"), "n", "count", *[_between(name) for name in QUARTILES]
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_value") >= F.col("q1") - reach) & (F.col("_value") <= F.col("q3") + reach)
@@ -56,6 +69,65 @@ def box_summary(
     )
 
 
+def _ranked_in_chunks(distinct: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values with the count of their group and the values at its quartile ranks.
+
+    A group that lies in one chunk is finished there. Only the first and the last group of a
+    chunk can reach over its edge; for those the chunks' totals (two per chunk at most) give
+    the rank at which each chunk begins, and so the one chunk that holds a quartile. That is
+    the only one whose values are looked at for it.
+    """
+    spark = distinct.sparkSession
+    chunked = ranked_chunks(distinct, [*by, value], distinct.count())
+    key = F.struct(*by)
+    edges = chunked.groupBy("_chunk").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    over: dict[tuple, list[int]] = {}
+    for chunk, first, last in sorted(edges.collect()):
+        for group in {tuple(first), tuple(last)}:
+            over.setdefault(group, []).append(chunk)
+    wide = [(*group, chunk) for group, chunks in over.items() if len(chunks) > 1 for chunk in chunks]
+    names = T.StructType([*[f for f in distinct.schema if f.name in by], T.StructField("_chunk", T.IntegerType())])
+    names = T.StructType([names[b] for b in [*by, "_chunk"]])
+    # two rows per chunk at most
+    listed = F.broadcast(spark.createDataFrame(wide, names))
+    totals: dict[tuple, dict[int, int]] = {}
+    for row in chunked.join(listed, [*by, "_chunk"]).groupBy(*by, "_chunk").agg(F.sum("n")).collect():
+        totals.setdefault(tuple(row)[:-2], {})[row["_chunk"]] = row[-1]
+    offsets = []
+    for group, sizes in totals.items():
+        before = 0
+        for chunk in sorted(sizes):
+            offsets.append((*group, chunk, before, sum(sizes.values())))
+            before += sizes[chunk]
+    fields = [*names, T.StructField("_offset", T.LongType()), T.StructField("_whole", T.LongType())]
+    starts = F.broadcast(spark.createDataFrame(offsets, T.StructType(fields)))
+
+    here = W.partitionBy("_chunk", *by)
+    below = F.sum("n").over(here.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    local = chunked.withColumns({"_below": F.coalesce(below, F.lit(0)), "_here": F.sum("n").over(here)})
+    ranked = local.join(starts, [*by, "_chunk"], "left").withColumns(
+        {
+            "n_before": F.col("_below") + F.coalesce("_offset", F.lit(0)),
+            "count": F.coalesce("_whole", "_here"),
+        }
+    )
+    ends = _quartiles(F.col("count"), F.col(value).cast("double"))
+    sized = ranked.select("*", *[e.over(here).alias(n) for n, e in ends.items()])
+    # of a wide group each chunk knows the quartiles that lie in it; a few rows bring them together
+    reached = ranked.where(F.col("_whole").isNotNull()).groupBy(*by, "_chunk", "count").agg(
+        *[e.alias(n) for n, e in ends.items()]
+    )
+    known: dict[tuple, list] = {}
+    for row in reached.collect():
+        values = known.setdefault(tuple(row[b] for b in by), [None] * len(ends))
+        for i, name in enumerate(ends):
+            values[i] = row[name] if row[name] is not None else values[i]
+    fields = [*names.fields[:-1], *[T.StructField(f"_{n}", T.DoubleType()) for n in ends]]
+    wide_ends = F.broadcast(spark.createDataFrame([(*g, *v) for g, v in known.items()], T.StructType(fields)))
+    joined = sized.join(wide_ends, by, "left")
+    return joined.select(*by, value, "n", "count", *[F.coalesce(f"_{n}", n).alias(n) for n in ends])
+
+
 def _ranges(values: DataFrame) -> DataFrame:
     return values.groupBy("metric").agg(
         F.min("value").alias("lo"),
@@ -97,11 +169,15 @@ def histogram(df: DataFrame, metrics: list[str], bins: int = 30) -> DataFrame:
     )
 
 
+#: Grid points that one aggregation adds up; generated code takes about a hundred sums.
+_POINTS_AT_ONCE = 40
+
+
 def density(df: DataFrame, metrics: list[str], points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth n^(-1/5) · sd.
 
-    Equal values are counted first; the grid points are as many sums over the distinct
-    values, so no row is multiplied and each task hands on one row per metric.
+    Equal values are counted first. The grid is cut into blocks of points; a distinct value
+    goes to each block once, and each task hands on one row per metric and block.
     """
     values = metrics_long(df, metrics)
     ranges = _ranges(values).select(
@@ -114,19 +190,24 @@ def density(df: DataFrame, metrics: list[str], points: int = 200, cut: float = 3
     start, end = F.col("lo") - cut * F.col("bw"), F.col("hi") + cut * F.col("bw")
     step = (end - start) / (points - 1)
     distinct = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    size = min(points, _POINTS_AT_ONCE)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((points - 1) // size)))
     # ranges has one row per metric name
     placed = distinct.join(F.broadcast(ranges), "metric").select(
-        "metric", "total", "bw", "n", "value", start.alias("start"), step.alias("step")
+        "metric", "total", "bw", "n", "value", start.alias("start"), step.alias("step"), blocks.alias("block")
     )
+    place = F.col("block") * size
 
     def mass(point: int) -> Column:
-        z = (F.col("start") + point * F.col("step") - F.col("value")) / F.col("bw")
+        z = (F.col("start") + (place + point) * F.col("step") - F.col("value")) / F.col("bw")
         return F.sum(F.col("n") * F.exp(-z * z / 2))
 
-    keys = ["metric", "total", "bw", "start", "step"]
-    summed = placed.groupBy(*keys).agg(*[mass(i).alias(f"_{i}") for i in range(points)])
-    masses = F.array(*[f"_{i}" for i in range(points)])
+    keys = ["metric", "total", "bw", "start", "step", "block"]
+    summed = placed.groupBy(*keys).agg(*[mass(i).alias(f"_{i}") for i in range(size)])
+    masses = F.array(*[f"_{i}" for i in range(size)])
     scale = F.col("total") * F.col("bw") * F.sqrt(2 * F.pi())
-    return summed.select(*keys, F.posexplode(masses).alias("point", "mass")).select(
+    spread = summed.select(*keys, F.posexplode(masses).alias("within", "mass"))
+    spread = spread.withColumn("point", (place + F.col("within")).cast("int")).where(F.col("point") < points)
+    return spread.select(
         "metric", "point", (F.col("start") + F.col("point") * F.col("step")).alias("x"), (F.col("mass") / scale).alias("density")
     )

@@ -18,8 +18,9 @@ from ..functions.escalation import (
 )
 from ..functions.normal import is_blank
 from ..functions.reasons import reasons_text
+from ..scale import MAX_BROADCAST_BYTES
 from ..sources.messages import MESSAGE_SCHEMA, SIGNALS, ensure_columns
-from .lexicon import MAX_PLAN_WORDS, DEFAULT_VALENCE_RULES, ValenceRules, with_polarity, with_valence
+from .lexicon import DEFAULT_VALENCE_RULES, ValenceRules, with_lexicons
 from .models import Predictor, score_with_models
 
 
@@ -36,7 +37,7 @@ class Scorer:
     rule: EscalationRule = DEFAULT_RULE
     valence_rules: ValenceRules = DEFAULT_VALENCE_RULES
     toxic_label: str = V.TOXIC
-    max_words: int = MAX_PLAN_WORDS
+    max_bytes: int = MAX_BROADCAST_BYTES
 
 
 def apply_rule(df: DataFrame, rule: EscalationRule = DEFAULT_RULE) -> DataFrame:
@@ -50,16 +51,12 @@ def apply_rule(df: DataFrame, rule: EscalationRule = DEFAULT_RULE) -> DataFrame:
     )
 
 
-def enrich(df: DataFrame, scorer: Scorer, text: str = "message", id_col: str = "id") -> DataFrame:
+def enrich(df: DataFrame, scorer: Scorer, text: str = "message") -> DataFrame:
     """Score every row; the result has all signal columns, reasons as an array.
 
-    Without a shuffle as long as both lexicons fit into the plan, so it can run on
-    a stream as well.
+    The rows are laid out by their text once, for both lexicons.
     """
-    signals = with_valence(
-        df, scorer.valence, text, id_col, scorer.valence_rules, scorer.max_words
-    )
-    signals = with_polarity(signals, scorer.polarity, text, id_col, scorer.max_words)
+    signals = with_lexicons(df, scorer.valence, scorer.polarity, text, scorer.valence_rules, scorer.max_bytes)
     fallbacks = {p: None if p == "toxicity" else V.UNKNOWN for p in scorer.models}
     signals = score_with_models(signals, scorer.models, text, fallbacks, as_is={"toxicity"})
     if "toxicity_label" in signals.columns:
@@ -68,9 +65,9 @@ def enrich(df: DataFrame, scorer: Scorer, text: str = "message", id_col: str = "
     return judged.withColumn("sentiment_score", F.col("vader_compound"))
 
 
-def analyze_texts(df: DataFrame, scorer: Scorer, text: str = "message", id_col: str = "id") -> DataFrame:
+def analyze_texts(df: DataFrame, scorer: Scorer, text: str = "message") -> DataFrame:
     """Score typed texts; blank ones are left out, reasons come as one line."""
-    typed = enrich(df.where(~is_blank(text)), scorer, text, id_col)
+    typed = enrich(df.where(~is_blank(text)), scorer, text)
     return typed.withColumn("escalation_reason", F.array_join("escalation_reason", ", "))
 
 

@@ -1,27 +1,25 @@
 """Lexicon scores of whole message texts.
 
-The words of a text stay in one array, so the rules that look at neighbouring
-words need no window and no shuffle. A lexicon of counted, moderate size is put
-into the plan as a literal hash table, which makes scoring a plain projection. A
-larger one is joined on the words of the messages instead.
+The words of the different texts are exploded once and joined with the lexicon, which is
+broadcast when its measured size allows it. Words that the lexicon or the rules know come
+back as one short list per text, and the rules run over that list only. Every size of
+lexicon takes this way; on a stream it runs batch by batch.
 """
 
 from __future__ import annotations
 
-import json
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
+from ..scale import MAX_BROADCAST_BYTES
+from .terms import words
+from .texts import join_words, per_text
 
-#: Largest lexicon (in words) carried inside the plan.
-MAX_PLAN_WORDS = 50_000
-_WORDS_PER_SLOT = 16
-#: Least number of copies of each entry of a lexicon that is joined.
-_SALTS = 32
+#: Lexicon means are added up in whole numbers of this size.
+_UNIT = 1e10
 
 
 @dataclass(frozen=True)
@@ -48,79 +46,9 @@ class ValenceRules:
 
 DEFAULT_VALENCE_RULES = ValenceRules()
 
-
-def plan_lookup(entries: dict[str, dict[str, float]], fields: list[str]) -> Callable[[Column], Column]:
-    """Word → struct of its values, from a hash table written into the plan."""
-    slots = max(1, len(entries) // _WORDS_PER_SLOT)
-    table: list[dict] = [{} for _ in range(slots)]
-    for word, value in entries.items():
-        table[zlib.crc32(word.encode()) % slots][word] = value
-    entry = ",".join(f"`{f}`:double" for f in fields)
-    slot_maps = F.from_json(F.lit(json.dumps(table)), f"array<map<string,struct<{entry}>>>")
-
-    def lookup(word: Column) -> Column:
-        slot = (F.crc32(word) % slots + 1).cast("int")
-        return F.try_element_at(F.element_at(slot_maps, slot), word)
-
-    return lookup
-
-
-def with_lookup(
-    df: DataFrame,
-    lexicon: DataFrame,
-    words: Callable[[Column], Column],
-    fields: list[str],
-    text: str = "message",
-    max_words: int = MAX_PLAN_WORDS,
-    marks: dict[str, dict[str, float]] | None = None,
-) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """The table and a word → values function that holds on its rows.
-
-    ``lexicon`` has a ``word`` column and value columns; of a repeated word the largest
-    values count, null words are left out. ``marks`` adds further values to some words.
-    ``fields`` names all values, ``words`` gives the words of a text column.
-    """
-    marks = marks or {}
-    own = [f for f in fields if f in lexicon.columns]
-    entries = lexicon.where(F.col("word").isNotNull()).groupBy("word")
-    entries = entries.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in own])
-    rows = entries.limit(max_words + 1).collect()
-    if len(rows) <= max_words:
-        table = {r["word"]: {f: r[f] for f in own} for r in rows}
-        for word, values in marks.items():
-            table[word] = table.get(word, {}) | values
-        return df, plan_lookup(table, fields)
-    values = F.struct(*fields)
-    if marks:
-        schema = "word string, " + ", ".join(f"{f} double" for f in fields)
-        marked = [(word, *[values.get(f) for f in fields]) for word, values in marks.items()]
-        added = df.sparkSession.createDataFrame(marked, schema)
-        entries = (
-            entries.unionByName(added, allowMissingColumns=True)
-            .groupBy("word")
-            .agg(*[F.max(f).alias(f) for f in fields])
-        )
-    # each text is looked up once, whatever the ids of its rows; its distinct words are
-    # salted, so that a word of most texts goes to many tasks
-    salts = max(_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = df.withColumn("_text", F.md5(text))
-    texts = keyed.where(F.col("_text").isNotNull()).select("_text", text).dropDuplicates(["_text"])
-    used = texts.select(
-        "_text",
-        F.explode(F.array_distinct(words(F.col(text)))).alias("word"),
-        F.pmod(F.xxhash64("_text"), F.lit(salts)).alias("_salt"),
-    )
-    copies = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    found = (
-        used.join(entries.withColumn("_salt", F.explode(copies)), ["word", "_salt"])
-        .groupBy("_text")
-        # one text's own words, so the list is bounded by the text of one row
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", values))).alias("_found"))
-    )
-    return keyed.join(found, "_text", "left").drop("_text"), lambda word: F.try_element_at(F.col("_found"), word)
-
-
 _BLANKS = r"[\s\p{Z}]+"
+#: Found in texts with a word of two characters or more.
+_ANY_WORD = r"[^\s\p{Z}]{2}"
 # --- Fixed values: punctuation cut from the start or the end of a plain word ---
 _EDGE = r"""^[.!?,;:'"-]|[.!?,;:'"-]$"""
 _PUNCTUATION = r"""(?:[.,;:'"-]|!{1,3}|\?{1,3}|\?!\?!?|!\?!\??)"""
@@ -130,14 +58,113 @@ _EDGED = f"^(?:{_PLAIN}{_PUNCTUATION}|{_PUNCTUATION}{_PLAIN})$"
 _SHOUT = r"\p{Lu}(?:[^\p{Ll}\s\p{Z}]|(?<=[^\p{Ll}\s\p{Z}]\p{Lu}))"
 
 
+def _tokens(text: Column | str) -> Column:
+    return F.filter(F.split(text, _BLANKS), lambda t: F.length(t) > 1)
+
+
+def _bare(token: Column) -> Column:
+    """A token without the punctuation at one of its edges."""
+    return F.when(token.rlike(_EDGE), F.regexp_replace(token, _EDGED, "$1$2")).otherwise(token)
+
+
 def valence_words(text: Column | str = "message") -> Column:
     """Tokens between blanks, longer than one character, without edge punctuation."""
+    return F.transform(_tokens(text), _bare)
+
+
+def _entries(lexicon: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per word; of a repeated word the largest values count, null words are left out."""
+    known = lexicon.where(F.col("word").isNotNull()).groupBy("word")
+    return known.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in fields])
+
+
+# words that the rules ask for by name
+_SO, _LEAST, _AT, _KIND, _OF = range(1, 6)
+_NAMED = {"so": _SO, "this": _SO, "least": _LEAST, "at": _AT, "very": _AT, "kind": _KIND, "of": _OF}
+_FIELDS = ["valence", "strength", "negates", "never", "named", "turns", "idiom", "weakens"]
+
 
-    def bare(token: Column) -> Column:
-        return F.when(token.rlike(_EDGE), F.regexp_replace(token, _EDGED, "$1$2")).otherwise(token)
+def _marks(rules: ValenceRules) -> dict[str, dict[str, float]]:
+    """What the rules know of single words and of phrases, next to the lexicon."""
+    marks: dict[str, dict[str, float]] = {}
 
-    tokens = F.filter(F.split(text, _BLANKS), lambda t: F.length(t) > 1)
-    return F.transform(tokens, bare)
+    def mark(word: str, **values: float) -> None:
+        marks[word] = marks.get(word, {}) | values
+
+    for word in rules.negators:
+        mark(word, negates=1.0)
+    for listed, strength in [(rules.boosters_up, rules.booster), (rules.boosters_down, -rules.booster)]:
+        for word in listed:
+            mark(word, **({"weakens": 1.0} if " " in word else {"strength": strength}))
+    for phrase, value in rules.idioms.items():
+        mark(phrase, idiom=value)
+    for word, number in _NAMED.items():
+        mark(word, named=number)
+    mark("never", never=1.0)
+    mark(rules.contrast, turns=1.0)
+    return marks
+
+
+def _valence_entries(lexicon: DataFrame, rules: ValenceRules) -> DataFrame:
+    """Lexicon words, marked words and phrases as keys of one table."""
+    fields = _FIELDS[1:]
+    schema = "word string, " + ", ".join(f"{f} double" for f in fields)
+    marked = [(w, *[None if (x := m.get(f)) is None else float(x) for f in fields]) for w, m in _marks(rules).items()]
+    marks = lexicon.sparkSession.createDataFrame(marked, schema)
+    # a phrase is matched as a run of words, never as one lexicon word
+    return _entries(lexicon.where(~F.col("word").contains(" ")), ["valence"]).join(marks, "word", "full")
+
+
+def _phrase_runs(lowered: Column, rules: ValenceRules) -> Column:
+    """(at, n, word) of the runs of n words that begin like a phrase of the rules."""
+    phrases = [p.split() for p in _marks(rules) if " " in p]
+    starts = sorted({p[0] for p in phrases})
+    sizes = sorted({len(p) for p in phrases})
+    places = F.filter(F.sequence(F.lit(0), F.size(lowered)), lambda i: F.get(lowered, i).isin(starts))
+
+    def runs(i: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(lowered, i + 1, n), " ").alias("word"))
+                for n in sizes
+            ]
+        )
+
+    return F.filter(F.flatten(F.transform(places, runs)), lambda r: r["at"] + r["n"] <= F.size(lowered))
+
+
+def _known_words(
+    lexicon: DataFrame, rules: ValenceRules, max_bytes: int
+) -> Callable[[DataFrame], DataFrame]:
+    """Per text with known words: these (``_known``, in order), and how many words it has."""
+
+    def find(texts: DataFrame) -> DataFrame:
+        read = texts.select("_text", "_said", _tokens("_said").alias("_tokens"))
+        size = F.size("_tokens").alias("_n")
+        # capitals count only where other words are not in capitals
+        quiet = F.exists("_tokens", lambda t: (F.upper(t) != t) | (F.lower(t) == t))
+        mixed = (F.col("_said").rlike(_SHOUT) & quiet).alias("_mixed")
+        single = read.select("_text", size, mixed, F.posexplode("_tokens").alias("at", "raw"))
+        single = single.select("_text", "_n", "_mixed", "at", F.lit(1).alias("n"), F.lower(_bare(F.col("raw"))).alias("word"), "raw")
+        if any(" " in p for p in _marks(rules)):
+            lowered = read.withColumn("_lowered", F.transform("_tokens", lambda t: F.lower(_bare(t))))
+            runs = lowered.select("_text", size, mixed, F.explode(_phrase_runs(F.col("_lowered"), rules)).alias("r"))
+            runs = runs.select("_text", "_n", "_mixed", "r.at", "r.n", "r.word", F.lit("").alias("raw"))
+            single = single.unionByName(runs)
+        entries = _valence_entries(lexicon, rules).withColumn("listed", F.lit(True))
+        met = join_words(single, entries, "left", max_bytes)
+        not_form = (F.col("n") == 1) & F.col("word").contains("n't")
+        met = met.where(F.col("listed").isNotNull() | not_form)
+        unknown = F.coalesce(*[F.col(f) for f in ("valence", "strength", "negates", "never")]).isNull()
+        shout = F.col("_mixed") & (F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw"))
+        met = met.withColumn("negates", F.when(unknown & not_form, 1.0).otherwise(F.col("negates")))
+        met = met.withColumn("loud", shout)
+        item = F.struct("at", "n", *_FIELDS, "loud")
+        return met.groupBy("_text").agg(
+            F.array_sort(F.collect_list(item)).alias("_known"), F.max("_n").alias("_n")
+        )
+
+    return find
 
 
 def _occurrences(text: Column, mark: str) -> Column:
@@ -155,150 +182,93 @@ def _punctuation_emphasis(text: Column, rules: ValenceRules) -> Column:
     return marks * rules.exclamation + asked
 
 
-def _shifted(value: Column, i: Column, distance: int, rules: ValenceRules) -> Column:
+def _before(place: Column, distance: int) -> Column:
+    """The known word ``distance`` words before the one at ``place`` of the list, if any."""
+    at = F.get("_single", place)["at"] - distance
+    earlier = [F.get("_single", place - step) for step in range(1, distance + 1)]
+    return F.coalesce(*[F.when(k["at"] == at, k) for k in earlier])
+
+
+def _shifted(value: Column, place: Column, distance: int, rules: ValenceRules) -> Column:
     """Value of a lexicon word after the booster or negation ``distance`` words before it.
 
     A word of the lexicon at that place changes nothing, nor does an unmarked one.
     """
-    hit = F.get("_hits", i - distance)
-    loud = F.coalesce(F.get("_loud", i - distance), F.lit(False))
-    shout = F.when(loud, F.when(value > 0, rules.capitals).otherwise(-rules.capitals)).otherwise(0.0)
+    hit = _before(place, distance)
+    shout = F.when(hit["loud"], F.when(value > 0, rules.capitals).otherwise(-rules.capitals)).otherwise(0.0)
     strength = F.when(value < 0, -hit["strength"]).otherwise(hit["strength"])
     moved = value + F.coalesce((strength + shout) * rules.distance_damping[distance - 1], F.lit(0.0))
     turned = F.when(hit["negates"].isNotNull(), rules.negation).otherwise(1.0)
     # "never so good" strengthens instead of turning the meaning
-    so = [F.get("_words", i - d).isin("so", "this") for d in range(1, distance)]
-    if distance == 2:
-        turned = F.when(hit["never"].isNotNull() & so[0], 1.5).otherwise(turned)
-    if distance == 3:
-        turned = F.when(hit["never"].isNotNull() & (so[0] | so[1]), 1.25).otherwise(turned)
+    if distance > 1:
+        so = F.lit(False)
+        for d in range(1, distance):
+            so = so | F.coalesce(_before(place, d)["named"] == _SO, F.lit(False))
+        turned = F.when(hit["never"].isNotNull() & so, {2: 1.5, 3: 1.25}[distance]).otherwise(turned)
     result = F.when(hit.isNull(), value).when(hit["valence"].isNull(), moved * turned).otherwise(value)
     if distance < 3:
         return result
-    return F.when(
-        F.col("_phrases") & (i >= 3) & hit["valence"].isNull(), _with_phrases(result, i, rules)
-    ).otherwise(result)
+    phrased = F.col("_phrases").isNotNull() & (F.get("_single", place)["at"] >= 3) & hit["valence"].isNull()
+    return F.when(phrased & value.isNotNull(), _with_phrases(result, place, rules)).otherwise(result)
 
 
-def _two_word_boosters(rules: ValenceRules) -> list[str]:
-    return [b for b in [*rules.boosters_up, *rules.boosters_down] if " " in b]
-
-
-def _may_hold_phrase(lowered: Column, rules: ValenceRules) -> Column:
-    """False when the text lacks a word of every idiom and two-word booster."""
-    held = F.lit(False)
-    for phrase in [*rules.idioms, *_two_word_boosters(rules)]:
-        last, *others = sorted(phrase.split(), key=len, reverse=True)
-        found = lowered.contains(last)
-        for word in others:
-            found = found & lowered.contains(word)
-        held = held | found
-    return held
-
-
-def _with_phrases(value: Column, i: Column, rules: ValenceRules) -> Column:
+def _with_phrases(value: Column, place: Column, rules: ValenceRules) -> Column:
     """Value after idioms around the word, which replace it, and two-word boosters."""
-    three, two, one, zero, next1, next2 = [F.get("_words", i + d) for d in (-3, -2, -1, 0, 1, 2)]
-
-    def said(*parts: Column) -> Column:
-        spaced = [part for word in parts for part in (F.lit(" "), word)]
-        return F.concat(*spaced[1:])
-
-    if rules.idioms:
-        known = F.create_map(*[F.lit(x) for item in rules.idioms.items() for x in item])
-        places = [(zero, next1, next2), (zero, next1), (one, zero), (two, one, zero), (two, one),
-                  (three, two, one), (three, two)]
-        value = F.coalesce(*[F.try_element_at(known, said(*p)) for p in places], value)
-    pairs = _two_word_boosters(rules)
-    if pairs:
-        weak = said(three, two).isin(pairs) | said(two, one).isin(pairs)
-        value = value - F.when(weak, rules.booster).otherwise(0.0)
-    return value
+    at = F.get("_single", place)["at"]
 
+    def said(shift: int, n: int, what: str) -> Column:
+        here = F.filter("_phrases", lambda p: (p["at"] == at + shift) & (p["n"] == n) & p[what].isNotNull())
+        return F.get(here, F.lit(0))[what]
 
-_FIELDS = ["valence", "strength", "negates", "never"]
-
-
-def _word_marks(rules: ValenceRules) -> dict[str, dict[str, float]]:
-    """What the rules know of single words, next to the lexicon."""
-    marks: dict[str, dict[str, float]] = {w: {"negates": 1.0} for w in rules.negators}
-    for listed, strength in [(rules.boosters_up, rules.booster), (rules.boosters_down, -rules.booster)]:
-        for word in listed:
-            marks[word] = marks.get(word, {}) | {"strength": strength}
-    marks["never"] = marks.get("never", {}) | {"never": 1.0}
-    return marks
+    places = [(0, 3), (0, 2), (-1, 2), (-2, 3), (-2, 2), (-3, 3), (-3, 2)]
+    value = F.coalesce(*[said(shift, n, "idiom") for shift, n in places], value)
+    weak = said(-3, 2, "weakens").isNotNull() | said(-2, 2, "weakens").isNotNull()
+    return value - F.when(weak, rules.booster).otherwise(0.0)
 
 
-def with_valence(
-    df: DataFrame,
-    lexicon: DataFrame,
-    text: str = "message",
-    id_col: str = "id",
-    rules: ValenceRules = DEFAULT_VALENCE_RULES,
-    max_words: int = MAX_PLAN_WORDS,
-    prefix: str = "vader_",
-) -> DataFrame:
-    """Add compound, neg, neu and pos of each text by a (word, valence) lexicon.
-
-    ``_words`` and ``_hits`` (what is known of each word) lie side by side; the rules
-    only visit the places ``_at`` of lexicon words.
-    """
-    lowered = F.col("_lowered")
-    source, lookup = with_lookup(
-        df, lexicon, lambda t: valence_words(F.lower(t)), _FIELDS, text, max_words, _word_marks(rules)
-    )
-    source = source.withColumn("_lowered", F.lower(text))
+def _valence_columns(read: DataFrame, text: str, rules: ValenceRules, prefix: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with ``_known`` and ``_n``, with helper columns, and the four scores from them."""
     nothing = F.lit(None).cast("double")
-    not_form = F.struct(*[(F.lit(1.0) if f == "negates" else nothing).alias(f) for f in _FIELDS])
-    shouts = F.transform(valence_words(text), lambda t: (F.upper(t) == t) & (F.lower(t) != t))
-    read = source.withColumn("_words", valence_words(lowered)).withColumns(
-        {
-            "_hits": F.transform("_words", lambda w: F.coalesce(lookup(w), F.when(w.contains("n't"), not_form))),
-            "_shouts": F.when(F.col(text).rlike(_SHOUT), shouts),
-            "_phrases": _may_hold_phrase(lowered, rules),
-            "_contrast": F.array_position("_words", rules.contrast) - 1,
-        }
-    )
-    places = F.transform(
-        "_hits", lambda h, i: F.when(h["valence"].isNotNull() & h["strength"].isNull(), i)
-    )
-    # capitals count only where other words are not in capitals
-    loud = F.when(F.array_contains("_shouts", False), F.col("_shouts"))
-    found = read.withColumns({"_loud": loud, "_at": F.array_compact(places)})
-
-    def own_value(i: Column) -> Column:
-        valence = F.get("_hits", i)["valence"]
-        emphasis = F.when(F.get("_loud", i), F.signum(valence) * rules.capitals)
-        of_kind = (F.get("_words", i) == "kind") & (F.get("_words", i + 1) == "of")
-        return F.when(of_kind, nothing).otherwise(valence + F.coalesce(emphasis, F.lit(0.0)))
-
-    def settled(v: Column, i: Column) -> Column:
-        two = F.get("_words", i - 2)
-        least = (
-            (F.get("_words", i - 1) == "least")
-            & F.get("_hits", i - 1)["valence"].isNull()
-            & (two.isNull() | ~two.isin(["at", "very"]))
-        )
+    phrases = F.filter("_known", lambda k: k["n"] > 1)
+    split = read.withColumn("_single", F.filter("_known", lambda k: k["n"] == 1))
+    split = split.withColumn("_phrases", F.when(F.size(phrases) > 0, phrases))
+    # the rules visit the places of lexicon words that are no boosters
+    places = F.transform("_single", lambda k, j: F.when(k["valence"].isNotNull() & k["strength"].isNull(), j))
+    turns = F.transform(F.filter("_single", lambda k: k["turns"].isNotNull()), lambda k: k["at"])
+    found = split.withColumns({"_at": F.array_compact(places), "_contrast": F.get(turns, F.lit(0))})
+
+    def own_value(j: Column) -> Column:
+        k, after = F.get("_single", j), F.get("_single", j + 1)
+        emphasis = F.when(k["loud"], F.signum(k["valence"]) * rules.capitals)
+        of_kind = (k["named"] == _KIND) & (after["named"] == _OF) & (after["at"] == k["at"] + 1)
+        return F.when(of_kind, nothing).otherwise(k["valence"] + F.coalesce(emphasis, F.lit(0.0)))
+
+    def settled(v: Column, j: Column) -> Column:
+        at, before = F.get("_single", j)["at"], _before(j, 1)
+        least = (before["named"] == _LEAST) & before["valence"].isNull()
+        least = least & ~F.coalesce(_before(j, 2)["named"] == _AT, F.lit(False))
         turned = v * F.when(least, rules.negation).otherwise(1.0)
-        at = F.col("_contrast")
-        side = F.when((at < 0) | (i == at), 1.0).when(i < at, rules.before_but).otherwise(rules.after_but)
+        here = F.col("_contrast")
+        side = F.when(here.isNull() | (at == here), 1.0).when(at < here, rules.before_but).otherwise(rules.after_but)
         return F.coalesce(turned * side, F.lit(0.0))
 
     def neighbours(distance: int) -> Callable[[Column, Column], Column]:
-        return lambda v, i: _shifted(v, i, distance, rules)
+        return lambda v, j: _shifted(v, j, distance, rules)
 
     scored = found.withColumn("_values", F.transform("_at", own_value))
     for distance in (1, 2, 3):
         scored = scored.withColumn("_values", F.zip_with("_values", "_at", neighbours(distance)))
-    scored = scored.withColumn("_values", F.zip_with("_values", "_at", settled))
+    none = F.array().cast("array<double>")
+    scored = scored.withColumn("_values", F.coalesce(F.zip_with("_values", "_at", settled), none))
 
     zero = F.lit(0.0)
+    n = F.coalesce("_n", F.when(F.col(text).rlike(_ANY_WORD), 1).otherwise(0))
     totals = scored.withColumns(
         {
             "_sum": F.aggregate("_values", zero, lambda a, x: a + x),
             "_pos": F.aggregate("_values", zero, lambda a, x: a + F.when(x > 0, x + 1).otherwise(0.0)),
             "_neg": F.aggregate("_values", zero, lambda a, x: a + F.when(x < 0, 1 - x).otherwise(0.0)),
-            "_neu": (F.size("_words") - F.size(F.filter("_values", lambda x: x != 0))).cast("double"),
+            "_neu": (n - F.size(F.filter("_values", lambda x: x != 0))).cast("double"),
             "_marks": _punctuation_emphasis(F.col(text), rules),
         }
     )
@@ -312,40 +282,81 @@ def with_valence(
     whole = F.nullif(F.col("_pos") + F.col("_neg") + F.col("_neu"), F.lit(0.0))
     raw_compound = F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + rules.alpha)
     present = F.col(text).isNotNull()
+    scores = {f"{prefix}compound": F.when(present, F.round(raw_compound, 4))}
+    for name in ("neg", "neu", "pos"):
+        scores[f"{prefix}{name}"] = F.when(present, F.round(F.coalesce(F.col(f"_{name}") / whole, zero), 3))
+    return pushed, scores
 
-    def part(name: str) -> Column:
-        share = F.coalesce(F.col(name) / whole, zero)
-        return F.when(present, F.round(share, 3))
 
-    return pushed.select(
-        *[c for c in df.columns if c not in {f"{prefix}{p}" for p in ("compound", "neg", "neu", "pos")}],
-        F.when(present, F.round(raw_compound, 4)).alias(f"{prefix}compound"),
-        part("_neg").alias(f"{prefix}neg"),
-        part("_neu").alias(f"{prefix}neu"),
-        part("_pos").alias(f"{prefix}pos"),
-    )
+_MOODS = ["polarity", "subjectivity"]
+
+
+def _mood_sums(lexicon: DataFrame, max_bytes: int) -> Callable[[DataFrame], DataFrame]:
+    """Per text with words of the lexicon: their number, and the sums of their values in
+    whole units, which come out the same in any order."""
+
+    def find(texts: DataFrame) -> DataFrame:
+        entries = _entries(lexicon, _MOODS)
+        entries = entries.select("word", *[F.round(F.col(m) * _UNIT).cast("long").alias(m) for m in _MOODS])
+        listed = texts.select("_text", F.explode(words("_said")).alias("word"))
+        met = join_words(listed, entries, "inner", max_bytes).groupBy("_text")
+        return met.agg(F.count("*").alias("_hits"), *[F.sum(m).alias(f"_{m}") for m in _MOODS])
+
+    return find
+
+
+def _mood_columns(text: str, prefix: str) -> dict[str, Column]:
+    def mean(name: str) -> Column:
+        share = F.coalesce(F.col(f"_{name}").cast("double") / (F.col("_hits") * _UNIT), F.lit(0.0))
+        return F.when(F.col(text).isNotNull(), share)
+
+    return {f"{prefix}{m}": mean(m) for m in _MOODS}
+
+
+def _scored(df: DataFrame, read: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    return read.select(*[c for c in df.columns if c not in scores], *[c.alias(n) for n, c in scores.items()])
+
+
+def with_valence(
+    df: DataFrame,
+    lexicon: DataFrame,
+    text: str = "message",
+    rules: ValenceRules = DEFAULT_VALENCE_RULES,
+    prefix: str = "vader_",
+    max_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Add compound, neg, neu and pos of each text by a (word, valence) lexicon.
+
+    Of a repeated lexicon word the largest valence counts; a null text has null scores.
+    ``df`` is a table, not a stream; see ``streaming.ingest`` for those.
+    """
+    found = per_text(df, text, [_known_words(lexicon, rules, max_bytes)])
+    return _scored(df, *_valence_columns(found, text, rules, prefix))
 
 
 def with_polarity(
     df: DataFrame,
     lexicon: DataFrame,
     text: str = "message",
-    id_col: str = "id",
-    max_words: int = MAX_PLAN_WORDS,
     prefix: str = "textblob_",
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add the mean polarity and subjectivity of the words found in the lexicon, else 0."""
-    from .terms import words
+    """Add the mean polarity and subjectivity of the words found in the lexicon, else 0.
 
-    fields = ["polarity", "subjectivity"]
-    source, lookup = with_lookup(df, lexicon, words, fields, text, max_words)
-    found = F.filter(F.transform(words(text), lookup), lambda v: v.isNotNull())
-    read = source.withColumn("_hits", found)
+    Lexicon values count to ten places.
+    """
+    return _scored(df, per_text(df, text, [_mood_sums(lexicon, max_bytes)]), _mood_columns(text, prefix))
 
-    def mean(name: str) -> Column:
-        total = F.aggregate("_hits", F.lit(0.0), lambda a, v: a + v[name])
-        share = F.coalesce(total / F.nullif(F.size("_hits"), F.lit(0)), F.lit(0.0))
-        return F.when(F.col(text).isNotNull(), share).alias(f"{prefix}{name}")
 
-    kept = [c for c in df.columns if c not in {f"{prefix}{f}" for f in fields}]
-    return read.select(*kept, *[mean(f) for f in fields])
+def with_lexicons(
+    df: DataFrame,
+    valence: DataFrame,
+    polarity: DataFrame,
+    text: str = "message",
+    rules: ValenceRules = DEFAULT_VALENCE_RULES,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Add the scores of ``with_valence`` and ``with_polarity``; the rows move once for both."""
+    found = per_text(df, text, [_known_words(valence, rules, max_bytes), _mood_sums(polarity, max_bytes)])
+    read, scores = _valence_columns(found, text, rules, "vader_")
+    return _scored(df, read, scores | _mood_columns(text, "textblob_"))

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from .. import values as V
 from ..functions import escalation as E, normal as N
 from ..functions.reasons import parse_reasons
-from ..operators import cluster, distributions, enrich, lexicon, lookups, models, normalize
+from ..operators import cluster, distributions, enrich, lexicon, lookups, models, normalize, phrases
 from ..operators import reasons, stats, terms, turns
 from ..operators.crosstab import counts
 from ..scale import scratch_path
-from ..sources import fixtures, messages as M
+from ..sources import fixtures, messages as M, store
 from ..sources.fixtures import hash_predictor
 from ..sources.transcripts import read_transcripts
 from . import reports
@@ -60,6 +60,17 @@ def append_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six_places(scan_messages(M.read_messages(spark, path)))
 
 
+def append_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends, each numbered in the order of its messages."""
+    path = scratch_path(spark, "numbered-messages")
+    rows = load(spark, sf_dir).select([f.name for f in M.MESSAGE_SCHEMA])
+    host = F.col("speaker").eqNullSafe(F.lit(V.HOST))
+    by_time = rows.withColumnRenamed("id", "source_id")
+    for part in (by_time.where(host), by_time.where(~host)):
+        store.append_numbered(part, path, ["timestamp", "source_id"])
+    return M.read_messages(spark, path).select("id", "source_id", "conversation_id", "speaker", "timestamp")
+
+
 def ingest_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = load(spark, sf_dir)
     rows = enrich.ingest_conversations(
@@ -84,6 +95,15 @@ def backfill_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six_places(done.select("id", "sentiment_score", "distilbert_label", *enrich.BACKFILLED))
 
 
+def backfill_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table, scored in place and read back."""
+    path = scratch_path(spark, "backfilled")
+    M.append_messages(scan_messages(load(spark, sf_dir)), path)
+    store.backfill_table(spark, path, fixtures.scorer(spark, sf_dir))
+    done = M.read_messages(spark, path)
+    return six_places(done.select("id", "host_mode", "sentiment_score", "distilbert_label", *enrich.BACKFILLED))
+
+
 def write_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = reports.rate1000_by_mode_topic(load(spark, sf_dir))
     path = scratch_path(spark, "report")
@@ -154,6 +174,14 @@ def lexicon_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("message")
 
 
+def lexicon_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published rules with all their word lists, on texts into which idioms, boosters
+    and negations were put at places that depend on the message."""
+    msgs = load(spark, sf_dir)
+    put = fixtures.with_phrases_put_in(msgs.select("id", "message"))
+    return lexicon.with_valence(put, fixtures.valence_lexicon(spark, sf_dir)).drop("message")
+
+
 def lexicon_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = load(spark, sf_dir).select("id", "message")
     return six_places(lexicon.with_polarity(msgs, fixtures.polarity_lexicon(spark, sf_dir)).drop("message"))
@@ -185,6 +213,18 @@ def escalation_keywords(msgs: DataFrame) -> DataFrame:
     )
 
 
+def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of a table, found in every message."""
+    msgs = load(spark, sf_dir).select("id", "message")
+    found = phrases.with_phrases(msgs, fixtures.phrase_table(spark, sf_dir))
+    return found.select(
+        "id",
+        (F.size("phrases") > 0).alias("flagged"),
+        F.size("phrases").alias("n"),
+        F.array_join("phrases", "|").alias("phrases"),
+    )
+
+
 def keyword_or_toxic(msgs: DataFrame) -> DataFrame:
     flag = E.phrase_or_toxic(phrases=[*V.ESCALATION_PHRASES, "thing"])
     return msgs.select("id", flag.alias("flagged"))
@@ -317,6 +357,19 @@ def scored_rate1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six_places(reports.rate1000_by_mode_topic(scored))
 
 
+def mann_whitney_small(msgs: DataFrame) -> DataFrame:
+    """The rank test inside each conversation, which has few messages of a level."""
+    bots = cluster.with_signed_scores(normalize.main_bots(msgs))
+    tested = stats.mann_whitney(bots, SIGNED, by=["conversation_id"])
+    return tested.select("conversation_id", "metric", "n1", "n2", "u", "p")
+
+
+def collocations_by_bot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word cloud terms with collocations, stop words from a table."""
+    stop = spark.createDataFrame([(w,) for w in fixtures.STOP_WORDS], "word string")
+    return terms.collocations(bots_text(load(spark, sf_dir)), ["speaker"], stop)
+
+
 def bots_text(msgs: DataFrame) -> DataFrame:
     return normalize.procon_bots(msgs).select("speaker", "message")
 
@@ -326,9 +379,11 @@ QUERIES: dict[str, Query] = {
     "scan_messages": lambda s, d: scan_messages(load(s, d)),
     "scan_scored_text": on_messages(M.scan_scored_text),
     "append_messages": append_messages,
+    "append_numbered": append_numbered,
     "ingest_conversations": ingest_conversations,
     "ensure_columns": on_messages(ensure_columns),
     "backfill_unscored": backfill_unscored,
+    "backfill_table": backfill_table,
     "write_report_csv": write_report_csv,
     "rounded_mode_table": rounded_mode_table,
     "latest_messages": on_messages(latest_messages),
@@ -363,6 +418,7 @@ QUERIES: dict[str, Query] = {
     ),
     # scoring
     "lexicon_compound": lexicon_compound,
+    "lexicon_default_rules": lexicon_default_rules,
     "lexicon_polarity": lexicon_polarity,
     "model_scores": model_scores,
     "model_fallback": model_fallback,
@@ -373,6 +429,7 @@ QUERIES: dict[str, Query] = {
     ),
     "escalation_reasons": on_messages(escalation_reasons),
     "escalation_keywords": on_messages(escalation_keywords),
+    "phrase_table": phrase_table,
     "keyword_or_toxic": on_messages(keyword_or_toxic),
     "enrich_messages": enrich_messages,
     "analyze_texts": analyze_texts,
@@ -412,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "label_share_distilbert": on_messages(lambda m: reports.label_share(m, "distilbert_label")),
     "level_share_by_turn": on_messages(reports.level_share_by_turn),
     "level_trend_ci": on_messages(reports.level_trend_ci),
+    "level_trend_bootstrap": on_messages(reports.level_trend_bootstrap),
     "sentiment_histogram": on_messages(lambda m: distributions.histogram(signed_bots(m), SIGNED)),
     "sentiment_density": on_messages(lambda m: distributions.density(signed_bots(m), SIGNED)),
     # reasons
@@ -446,9 +504,11 @@ QUERIES: dict[str, Query] = {
     "bigram_freq_by_bot": on_messages(
         lambda m: terms.bigram_frequencies(bots_text(m), ["speaker"], fixtures.STOP_WORDS)
     ),
+    "collocations_by_bot": collocations_by_bot,
     # statistics
     "mann_whitney": on_messages(lambda m: stats.mann_whitney(signed_bots(m), SIGNED).drop("p")),
     "mann_whitney_p": on_messages(lambda m: stats.mann_whitney(signed_bots(m), SIGNED).select("metric", "p")),
+    "mann_whitney_small": on_messages(mann_whitney_small),
     "kmeans_sentiment": on_messages(
         lambda m: cluster.in_nearest_cluster(signed_bots(m)).select("id", "nearest")
     ),

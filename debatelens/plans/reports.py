@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import values as V
-from ..functions.normal import event_time, labels_agree, message_length
+from ..functions.normal import event_time, labels_agree, level_ordinal, message_length
+from ..operators.bootstrap import bootstrap_band
 from ..operators.crosstab import counts, long_shares, rate1000, shares, to_long
 from ..operators.distributions import box_summary, metrics_long
 from ..operators.normalize import (
@@ -179,6 +180,12 @@ def level_trend_ci(msgs: DataFrame) -> DataFrame:
     )
 
 
+def level_trend_bootstrap(msgs: DataFrame) -> DataFrame:
+    """Mean level per turn and speaker with the bootstrap band of the trend chart."""
+    turns = _numbered(main_bots(msgs), "speaker", "escalation").withColumn("level", level_ordinal())
+    return bootstrap_band(turns, ["turn", "speaker"], "level").withColumnRenamed("mean", "mean_level")
+
+
 # --- pro/con reports ---
 
 

@@ -274,14 +274,3 @@ def cumulative_counts(
         *[(F.col(f"_{b}") + F.col(b)).alias(b) for b in before.values()],
     )
     return spread, False
-
-
-def with_group_values(
-    df: DataFrame, by: Sequence[str], values: dict[str, Column], one_window: bool
-) -> DataFrame:
-    """Add aggregates of each group to its rows: by a window over small groups, which
-    keeps their partitioning, else by an aggregation joined back."""
-    if one_window:
-        whole = W.partitionBy(*by)
-        return df.select("*", *[e.over(whole).alias(n) for n, e in values.items()])
-    return df.join(df.groupBy(*by).agg(*[e.alias(n) for n, e in values.items()]), list(by))

@@ -52,6 +52,32 @@ def valence_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("word", ((F.col("value") % 79 - 39) / 10.0).alias("valence"))
 
 
+#: Word runs that the published rules know, put into texts by the query on the default rules.
+PUT_IN = ["the bomb", "bad ass", "yeah right", "kiss of death", "kind of", "sort of", "just enough", "never so",
+          "isn't", "very", "at least", "least", "but", "hardly", "REALLY"]
+
+
+def with_phrases_put_in(df: DataFrame, text: str = "message") -> DataFrame:
+    """Texts in which every word whose hash asks for it is followed by one of ``PUT_IN``."""
+    blank, number = F.lit(" "), lambda w: hash_number(w, 1)
+    put = F.transform(
+        F.split(text, " "),
+        lambda w: F.when(number(w) % 5 == 0, F.concat(w, blank, _listed(PUT_IN, number(w)))).otherwise(w),
+    )
+    return df.withColumn(text, F.array_join(put, " "))
+
+
+def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one to three words of the passages, as far as their hash asks for it."""
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    listed = F.split(F.lower(F.col("text")), " ")
+    places = F.sequence(F.lit(1), F.size(listed))
+    runs = F.flatten(F.transform(places, lambda i: F.transform(
+        F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.array_join(F.slice(listed, i, n), " "))))
+    each = passages.select(F.explode(runs).alias("phrase")).distinct()
+    return each.where((hash_number(F.col("phrase"), 1) % 3 == 0) & F.col("phrase").rlike(r"[\p{L}\p{N}_]"))
+
+
 def polarity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the passages' words, for the same reason."""
     known = benchmark_words(spark, sf_dir, keep=9, value=13, other=17).where("keep % 2 = 0")
@@ -122,7 +148,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("item_id")
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.lower(_listed(V.TOPICS[3:], item)).alias("topic"),
-        F.concat(F.lit("claim "), F.col("item_id").cast("string")).alias("claim"),
+        F.concat(F.lit("claim "), F.col("item_id").cast("string"), F.lit(": "), F.col("text")).alias("claim"),
     )
 
 
@@ -130,7 +156,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("item_id")
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         _listed(V.TOPICS[:7], item).alias("category"),
-        F.concat(F.lit("question "), F.col("item_id").cast("string")).alias("question"),
+        F.concat(F.lit("question "), F.col("item_id").cast("string"), F.lit(": "), F.col("text")).alias("question"),
     )
 
 
@@ -140,7 +166,7 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     strategy = _listed(V.STRATEGIES, item)
     mode = F.when(item % 3 == 0, F.lit(None).cast("string")).otherwise(_listed(V.MODES, item))
     text = F.concat(
-        F.col("item_id").cast("string"), F.lit(" on {category}: '{statement}', says "), strategy
+        F.col("item_id").cast("string"), F.lit(" on {category}: '{statement}', says "), strategy, F.lit(", "), F.col("text")
     )
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         strategy.alias("strategy"), mode.alias("host_mode"), text.alias("template")

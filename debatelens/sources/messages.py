@@ -73,10 +73,15 @@ def scan_scored_text(msgs: DataFrame) -> DataFrame:
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType = MESSAGE_SCHEMA) -> DataFrame:
-    """Add each missing column with its type as nulls; columns present stay untouched."""
-    present = set(df.columns)
+    """Add each missing column with its type as nulls; columns present stay untouched.
+
+    Names are compared as the session compares them, by default without case.
+    """
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    known = str if sensitive else str.lower
+    present = {known(c) for c in df.columns}
     missing = [
-        F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in present
+        F.lit(None).cast(f.dataType).alias(f.name) for f in schema if known(f.name) not in present
     ]
     return df.select("*", *missing)
 

@@ -1,30 +1,41 @@
 """Scoring of messages as they arrive.
 
-The scoring is row-wise, so the batch functions run unchanged on a stream; there is
-no state and no watermark. The lexicons must fit into the plan.
+Each micro-batch is scored by the batch functions, so a stream takes lexicons of any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.enrich import Scorer, ingest_conversations
 
 
+def batch_writer(scorer: Scorer, path: str) -> Callable[[DataFrame, int], None]:
+    """Writes one micro-batch, scored, under its number; written again it takes its own place."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = ingest_conversations(batch, scorer, "category", "host_mode", "api")
+        (
+            rows.withColumn("batch", F.lit(number).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch", "host_mode")
+            .parquet(path)
+        )
+
+    return write
+
+
 def scored_stream(
     arriving: DataFrame, scorer: Scorer, path: str, checkpoint: str
 ) -> DataStreamWriter:
-    """Writer that appends arriving messages, scored, to the message table.
+    """Writer that adds arriving messages, scored, to the message table.
 
     ``arriving`` carries id, conversation_id, speaker, message, timestamp, category,
-    host_mode and api.
+    host_mode and api. The table is laid out by batch and host mode. A batch that is run
+    again after a failure replaces what its first run wrote, so each message counts once.
     """
-    rows = ingest_conversations(arriving, scorer, "category", "host_mode", "api")
-    return (
-        rows.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("host_mode")
-    )
+    return arriving.writeStream.foreachBatch(batch_writer(scorer, path)).option("checkpointLocation", checkpoint)

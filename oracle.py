@@ -7,6 +7,10 @@ words.
 
 from __future__ import annotations
 
+from math import exp, factorial
+
+from debatelens import values as V
+
 # --- Fixed values: names and labels of the data model, for the second computation ---
 TOPICS = ["Politics", "Social Issues", "Religion", "Economy", "Technology", "Climate Change", "Human Rights", "Education"]
 LEVELS = ["none", "light", "strong"]
@@ -201,6 +205,9 @@ def trend(extra: str) -> str:
         FROM turns) GROUP BY turn, speaker HAVING count(o) > 0"""
 
 
+# chances of at most 0, 1, 2 ... copies under a Poisson distribution of mean one
+POISSON = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(13)]
+
 # --- words and lexicons ---
 WORDS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
 CLOUD = (
@@ -244,8 +251,27 @@ def _lags() -> str:
     )
 
 
-def valence_ctes(source: str) -> list[str]:
+FIXTURE_RULES = {
+    "up": ["and", "der", "le", "los"], "down": ["in", "die", "de", "en"], "negators": ["of", "nicht", "qui", "no", "not"],
+    "idioms": {}, "contrast": "with",
+}
+# --- Fixed values: word lists of the published valence method (Hutto & Gilbert 2014) ---
+DEFAULT_RULES = {
+    "up": V.BOOSTERS_UP, "down": V.BOOSTERS_DOWN, "negators": V.NEGATORS, "idioms": V.IDIOMS, "contrast": "but",
+}
+PUT_IN = ["the bomb", "bad ass", "yeah right", "kiss of death", "kind of", "sort of", "just enough", "never so",
+          "isn't", "very", "at least", "least", "but", "hardly", "REALLY"]
+
+
+def valence_ctes(source: str, rules: dict | None = None) -> list[str]:
     """Lexicon scores of (id, message) rows, as relation ``vader``."""
+    rules = rules or FIXTURE_RULES
+    idiom = "CASE {} " + " ".join(f"WHEN {quoted([p])} THEN {v}::DOUBLE" for p, v in rules["idioms"].items()) + " END"
+    places = ["word next_word second_word", "word next_word", "w1 word", "w2 w1 word", "w2 w1", "w3 w2 w1", "w3 w2"]
+    runs = [p.replace(" ", " || ' ' || ") for p in places]
+    pairs = [b for b in rules["down"] + rules["up"] if " " in b]
+    weak = f"CASE WHEN w3 || ' ' || w2 IN ({quoted(pairs)}) OR w2 || ' ' || w1 IN ({quoted(pairs)}) THEN 0.293e0 ELSE 0 END"
+    said = f"coalesce({', '.join(idiom.format(r) for r in runs)}, v3) - {weak}" if rules["idioms"] else "v3"
     return [
         BENCH_WORDS,
         VALENCE,
@@ -255,17 +281,19 @@ def valence_ctes(source: str) -> list[str]:
         t2 AS (SELECT id, pos, regexp_replace(regexp_replace(raw0, '^{_PUNCT}{_PLAIN}$', '\1'),
             '^{_PLAIN}{_PUNCT}$', '\1') AS raw FROM t1),
         t3 AS (SELECT id, pos, lower(raw) AS word, upper(raw) = raw AND lower(raw) <> raw AS capitals,
-            CASE WHEN lower(raw) IN ('and', 'der', 'le', 'los') THEN 0.293e0
-                 WHEN lower(raw) IN ('in', 'die', 'de', 'en') THEN -0.293e0 ELSE 0e0 END AS strength,
-            lower(raw) IN ('of', 'nicht', 'qui', 'no', 'not') OR contains(lower(raw), 'n''t') AS negates FROM t2),
+            CASE WHEN lower(raw) IN ({quoted(rules["up"])}) THEN 0.293e0
+                 WHEN lower(raw) IN ({quoted(rules["down"])}) THEN -0.293e0 ELSE 0e0 END AS strength,
+            lower(raw) IN ({quoted(rules["negators"])}) OR contains(lower(raw), 'n''t') AS negates FROM t2),
         t4 AS (SELECT t3.*, valence.valence AS lex FROM t3 LEFT JOIN valence USING (word)),
         t5 AS (SELECT *, {_lags()}, lead(word) OVER (PARTITION BY id ORDER BY pos) AS next_word,
+            lead(word, 2) OVER (PARTITION BY id ORDER BY pos) AS second_word,
             count(*) FILTER (capitals) OVER (PARTITION BY id) BETWEEN 1 AND count(*) OVER (PARTITION BY id) - 1 AS mixed,
-            min(pos) FILTER (word = 'with') OVER (PARTITION BY id) AS turn_at FROM t4),
+            min(pos) FILTER (word = '{rules["contrast"]}') OVER (PARTITION BY id) AS turn_at FROM t4),
         t6 AS (SELECT *, lex + CASE WHEN mixed AND capitals THEN sign(lex) * 0.733e0 ELSE 0 END AS v0 FROM t5),
         t7 AS (SELECT *, {_step(1, "1e0")} FROM t6),
         t8 AS (SELECT *, {_step(2, "0.95e0")} FROM t7),
-        t9 AS (SELECT *, {_step(3, "0.9e0")} FROM t8),
+        t9 AS (SELECT * REPLACE (CASE WHEN w3 IS NOT NULL AND l3 IS NULL AND v3 IS NOT NULL THEN {said} ELSE v3 END AS v3)
+            FROM (SELECT *, {_step(3, "0.9e0")} FROM t8)),
         ta AS (SELECT id, pos, CASE WHEN lex IS NULL OR strength <> 0 OR (word = 'kind' AND next_word = 'of') THEN 0e0
             ELSE v3 * CASE WHEN w1 = 'least' AND l1 IS NULL AND coalesce(w2 NOT IN ('at', 'very'), true) THEN -0.74e0 ELSE 1e0 END
               * CASE WHEN turn_at IS NULL OR pos = turn_at THEN 1e0 WHEN pos < turn_at THEN 0.5e0 ELSE 1.5e0 END
@@ -293,7 +321,8 @@ def polarity_ctes(source: str, bench: bool = True) -> list[str]:
         *([BENCH_WORDS] if bench else []),
         POLARITY,
         f"""b0 AS (SELECT id, unnest({WORDS.format(c='message')}) AS word FROM {source}),
-        b1 AS (SELECT id, avg(polarity) AS polarity, avg(subjectivity) AS subjectivity
+        b1 AS (SELECT id, sum(round(polarity * 1e10)::BIGINT)::DOUBLE / (count(*) * 1e10) AS polarity,
+            sum(round(subjectivity * 1e10)::BIGINT)::DOUBLE / (count(*) * 1e10) AS subjectivity
             FROM b0 JOIN polarity USING (word) GROUP BY id),
         blob AS (SELECT s.id, coalesce(polarity, 0e0) AS textblob_polarity, coalesce(subjectivity, 0e0) AS textblob_subjectivity
             FROM {source} s LEFT JOIN b1 USING (id))""",
@@ -388,6 +417,25 @@ RANKS = """ranked AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value)
   us AS (SELECT *, r1 - n1 * (n1 + 1) / 2e0 AS u, n1 * n2 / 2e0 AS mean,
     sqrt(n1 * n2 / 12e0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1e0)))) AS sigma FROM sums)"""
 
+
+
+def rank_p(keys: str) -> str:
+    """Two-sided p of ``us``: by counting rank sums for few values without ties (``exact``),
+    else the tail of the normal curve by Simpson's rule up to 12 (``smooth``)."""
+    return f"""few AS (SELECT *, least(n1, n2) AS m, greatest(u, n1 * n2 - u) AS larger FROM us WHERE n1 > 0 AND n2 > 0),
+        counted AS (SELECT * FROM few WHERE m <= 8 AND ties = 0),
+        ways(k, j, s, c) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::DOUBLE UNION ALL
+          SELECT k + 1, j + d, s + d * (k + 1), sum(c) FROM ways, (VALUES (0), (1)) t(d)
+          WHERE k < (SELECT max(n1 + n2) FROM counted) AND j + d <= 8 GROUP BY 1, 2, 3),
+        exact AS (SELECT {keys}, least(1, 2 * sum(c) FILTER (s - m * (m + 1) / 2 >= larger) / sum(c)) AS p
+          FROM counted JOIN ways ON k = n1 + n2 AND j = m GROUP BY {keys}),
+        smooth AS (SELECT {keys}, least(1, 2 * any_value(12 - z) / 4000 / 3 / sqrt(2 * pi()) * sum(
+            CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+            * exp(-(z + (12 - z) * i / 4000e0) * (z + (12 - z) * i / 4000e0) / 2))) AS p
+          FROM (SELECT *, (larger - mean - 0.5e0) / nullif(sigma, 0) AS z FROM few WHERE m > 8 OR ties > 0)
+            CROSS JOIN (SELECT unnest(range(4001)) AS i) WHERE z IS NOT NULL GROUP BY {keys})"""
+
+
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in SIGNED)
 
 
@@ -412,6 +460,10 @@ ORACLE: dict[str, str] = {
     "scan_messages": q(f"SELECT {', '.join(COLUMNS)} FROM msgs"),
     "scan_scored_text": q("SELECT escalation, message FROM msgs WHERE message IS NOT NULL"),
     "append_messages": q(f"SELECT {', '.join(f'round({c}, 6) AS {c}' if c in DOUBLES else c for c in COLUMNS)} FROM msgs"),
+    "append_numbered": q(
+        """SELECT row_number() OVER (ORDER BY speaker IS DISTINCT FROM 'Host', timestamp NULLS FIRST, id) AS id,
+          id AS source_id, conversation_id, speaker, timestamp FROM msgs"""
+    ),
     "ingest_conversations": q(
         f"""SELECT m.id, {UUID} AS conversation_id, speaker, timestamp, {title('category')} AS category, host_mode, api,
           {", ".join(f"round(CASE WHEN speaker IS DISTINCT FROM 'Host' THEN rich.{c} END, 6) AS {c}" if 'score' in c or 'blob' in c or 'vader' in c
@@ -436,6 +488,17 @@ ORACLE: dict[str, str] = {
         + " FROM msgs m JOIN rich USING (id)",
         *enriched("msgs"),
     ),
+    "backfill_table": q(
+        "SELECT id, m.host_mode, round(m.sentiment_score, 6) AS sentiment_score, m.distilbert_label, "
+        + ", ".join(
+            (f"round(CASE WHEN {{u}} THEN rich.{c} ELSE m.{c} END, 6) AS {c}" if "label" not in c and c != "escalation"
+             else f"CASE WHEN {{u}} THEN rich.{c} ELSE m.{c} END AS {c}").replace(
+                "{u}", "(m.textblob_polarity IS NULL OR m.vader_compound IS NULL OR m.transformer_label IS NULL)")
+            for c in BACKFILLED
+        )
+        + " FROM msgs m JOIN rich USING (id)",
+        *enriched("msgs"),
+    ),
     "write_report_csv": q(
         f"SELECT host_mode, category, {rounded(LEVELS)} FROM rates", rates("main_bots", MODE_AXES | TOPIC_AXES)
     ),
@@ -480,6 +543,12 @@ ORACLE: dict[str, str] = {
     "message_preview": q("SELECT id, message[1:60] AS preview FROM msgs"),
     "nonblank_messages": q(f"SELECT id FROM msgs WHERE trim(message, '{BLANKS}') <> ''"),
     "lexicon_compound": q("SELECT * FROM vader", *valence_ctes("msgs")),
+    "lexicon_default_rules": q(
+        "SELECT * FROM vader",
+        f"""put AS (SELECT id, array_to_string(list_transform(string_split(message, ' '), lambda w: CASE WHEN {hex4('w', 1)} % 5 = 0
+          THEN w || ' ' || [{quoted(PUT_IN)}][{hex4('w', 1)} % {len(PUT_IN)} + 1] ELSE w END), ' ') AS message FROM msgs)""",
+        *valence_ctes("put", DEFAULT_RULES),
+    ),
     "lexicon_polarity": q(
         f"SELECT id, {rounded(['textblob_polarity', 'textblob_subjectivity'])} FROM blob", *polarity_ctes("msgs")
     ),
@@ -498,6 +567,23 @@ ORACLE: dict[str, str] = {
     "escalation_keywords": q(
         f"SELECT id, {phrase(PHRASES)} AS flagged, {phrase(['the thing', 'thing', 'of the', 'die', 'in the', 'la'])} AS listed FROM msgs"
     ),
+    "phrase_table": q(
+        r"""SELECT m.id, CASE WHEN message IS NOT NULL THEN count(phrase) > 0 END AS flagged,
+          CASE WHEN message IS NOT NULL THEN count(phrase)::INTEGER END AS n,
+          CASE WHEN message IS NOT NULL THEN coalesce(string_agg(phrase, '|' ORDER BY phrase), '') END AS phrases
+        FROM msgs m LEFT JOIN found USING (id) GROUP BY m.id, message""",
+        r"""listed AS (SELECT string_split(lower(text), ' ') AS l FROM benchmark),
+        runs AS (SELECT DISTINCT array_to_string(l[i:i + n - 1], ' ') AS phrase
+          FROM listed, unnest(range(1, len(l) + 1)) t(i), unnest([1, 2, 3]) u(n)),
+        """ + f"phrases AS (SELECT phrase FROM runs WHERE {hex4('phrase', 1)} % 3 = 0" + r""" AND regexp_matches(phrase, '[\p{L}\p{N}_]')),
+        told AS (SELECT *, regexp_replace(phrase, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g') AS marked,
+          regexp_matches(phrase, '^[\p{L}\p{N}_].*[\p{L}\p{N}_]$|^[\p{L}\p{N}_]$') AS plain FROM phrases),
+        heard AS MATERIALIZED (SELECT id, lower(message) AS said,
+          regexp_replace(lower(message), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g') AS marked FROM msgs),
+        near AS MATERIALIZED (SELECT id, said, phrase, plain FROM heard h JOIN told t ON contains(h.marked, t.marked)),
+        found AS (SELECT id, phrase FROM near WHERE plain OR CASE WHEN NOT plain THEN regexp_matches(said,
+          '(^|[^\p{L}\p{N}_])' || regexp_escape(phrase) || '([^\p{L}\p{N}_]|$)') END)""",
+    ),
     "keyword_or_toxic": q(
         f"SELECT id, {phrase([*PHRASES, 'thing'])} OR coalesce(toxicity_label = 'TOXIC' AND toxicity_score > 0.9, false) "
         "AS flagged FROM msgs"
@@ -591,6 +677,19 @@ ORACLE: dict[str, str] = {
               "round(avg(o) + 1.96e0 * stddev_samp(o) / sqrt(count(o)), 6) AS ci_high"),
         turns("main_bots"),
     ),
+    "level_trend_bootstrap": q(
+        """SELECT turn, speaker, count(DISTINCT id) AS n, round(avg(o) FILTER (first), 6) AS mean_level,
+          round(any_value(low), 6) AS ci_low, round(any_value(high), 6) AS ci_high
+        FROM drawn LEFT JOIN ends USING (turn, speaker) GROUP BY turn, speaker""",
+        turns("main_bots"),
+        f"""drawn AS (SELECT turn, speaker, id, o, b = 0 AND i = 0 AS first, b * 4 + i AS replicate,
+            {" + ".join(f"(u >= {step!r}::DOUBLE)::INTEGER" for step in POISSON)} AS w
+          FROM (SELECT *, ('0x' || substr(md5('band|' || id || '|' || b), 8 * i + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+            FROM (SELECT turn, speaker, id, CASE escalation WHEN 'none' THEN 0 WHEN 'light' THEN 1 WHEN 'strong' THEN 2 END AS o
+              FROM turns), unnest(range(50)) t(b), unnest(range(4)) s(i)) WHERE o IS NOT NULL),
+        means AS (SELECT turn, speaker, replicate, sum(w * o) / sum(w)::DOUBLE AS mean FROM drawn WHERE w > 0 GROUP BY ALL),
+        ends AS (SELECT turn, speaker, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY ALL)""",
+    ),
     "sentiment_histogram": q(
         """SELECT metric, bin::INTEGER AS bin, round(lo + bin * (hi - lo) / 30, 6) AS bin_low,
           round(lo + (bin + 1) * (hi - lo) / 30, 6) AS bin_high, count(value) AS n
@@ -695,6 +794,37 @@ ORACLE: dict[str, str] = {
         pairs AS (SELECT speaker, a || ' ' || b AS bigram FROM next WHERE b IS NOT NULL
           AND a NOT IN ({quoted(STOP)}) AND b NOT IN ({quoted(STOP)}))""",
     ),
+    "collocations_by_bot": q(
+        """SELECT speaker, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY n DESC, term)::INTEGER AS rank
+          FROM terms) WHERE rank <= 200""",
+        f"""lists AS (SELECT id, speaker, {CLOUD} AS l FROM procon_bots),
+        spread AS (SELECT id, speaker, unnest(l) AS a, generate_subscripts(l, 1) AS pos FROM lists),
+        next AS (SELECT speaker, a, lead(a) OVER (PARTITION BY id ORDER BY pos) AS b FROM spread),
+        known AS (SELECT speaker, a AS word, count(*) AS n FROM next WHERE a NOT IN ({quoted(STOP)}) GROUP BY ALL),
+        bigrams AS (SELECT speaker, a || ' ' || b AS word, count(*) AS n FROM next WHERE b IS NOT NULL
+          AND a NOT IN ({quoted(STOP)}) AND b NOT IN ({quoted(STOP)}) GROUP BY ALL)""",
+        *[
+            f"""{source}_forms AS (SELECT a.*, coalesce(b.word, a.word) AS form FROM {source} a LEFT JOIN {source} b
+              ON a.speaker = b.speaker AND a.word LIKE '%s' AND a.word NOT LIKE '%ss' AND b.word = left(a.word, length(a.word) - 1)),
+            {source}_counts AS (SELECT speaker, form, sum(n)::BIGINT AS n FROM {source}_forms GROUP BY ALL)"""
+            for source in ("known", "bigrams")
+        ],
+        """totals AS (SELECT speaker, sum(n)::DOUBLE AS total FROM known_counts GROUP BY ALL),
+        met AS (SELECT p.speaker, p.form AS bigram, p.n, f1.form AS one, f2.form AS two, p.n::DOUBLE AS c12, s1.n::DOUBLE AS c1, s2.n::DOUBLE AS c2, total AS t
+          FROM bigrams_counts p JOIN known_forms f1 ON f1.speaker = p.speaker AND f1.word = split_part(p.form, ' ', 1)
+          JOIN known_forms f2 ON f2.speaker = p.speaker AND f2.word = split_part(p.form, ' ', 2)
+          JOIN known_counts s1 ON s1.speaker = p.speaker AND s1.form = f1.form
+          JOIN known_counts s2 ON s2.speaker = p.speaker AND s2.form = f2.form JOIN totals ON totals.speaker = p.speaker),
+        chances AS (SELECT *, c2 / t AS p, c12 / c1 AS p1, (c2 - c12) / (t - c1) AS p2 FROM met WHERE t > c1 AND t > c2),
+        kept AS (SELECT * FROM chances WHERE -2 * (
+          ln(greatest(p, 1e-10)) * c12 + ln(greatest(1 - p, 1e-10)) * (c1 - c12)
+          + ln(greatest(p, 1e-10)) * (c2 - c12) + ln(greatest(1 - p, 1e-10)) * (t - c1 - (c2 - c12))
+          - ln(greatest(p1, 1e-10)) * c12 - ln(greatest(1 - p1, 1e-10)) * (c1 - c12)
+          - ln(greatest(p2, 1e-10)) * (c2 - c12) - ln(greatest(1 - p2, 1e-10)) * (t - c1 - (c2 - c12))) > 30),
+        terms AS (SELECT speaker, term, sum(n)::BIGINT AS n FROM (
+            SELECT speaker, form AS term, n FROM known_counts UNION ALL SELECT speaker, one, -n FROM kept UNION ALL SELECT speaker, two, -n FROM kept)
+          GROUP BY ALL HAVING sum(n) > 0 UNION ALL SELECT speaker, bigram, n FROM kept)""",
+    ),
     "mann_whitney": q(
         """SELECT metric, n1, n2, round(u, 6) AS u, round((greatest(u, n1 * n2 - u) - mean - 0.5e0) / sigma, 6) AS z,
           'tested' AS note FROM us""",
@@ -702,17 +832,22 @@ ORACLE: dict[str, str] = {
         melt("signed", SIGNED, "escalation"),
         RANKS,
     ),
-    # two-sided tail of the normal curve by Simpson's rule up to 12
+    "mann_whitney_small": q(
+        """SELECT conversation_id, metric, n1, n2, round(u, 6) AS u, round(coalesce(e.p, s.p), 6) AS p
+        FROM us LEFT JOIN exact e USING (conversation_id, metric) LEFT JOIN smooth s USING (conversation_id, metric)""",
+        SIGN.format(source="main_bots"),
+        melt("signed", SIGNED, "conversation_id, escalation"),
+        RANKS.replace("PARTITION BY metric", "PARTITION BY conversation_id, metric").replace("SELECT metric, count", "SELECT conversation_id, metric, count")
+        .replace("GROUP BY metric", "GROUP BY conversation_id, metric").replace("r1 - n1 * (n1 + 1) / 2e0 AS u", "CASE WHEN n1 > 0 AND n2 > 0 THEN r1 - n1 * (n1 + 1) / 2e0 END AS u"),
+        rank_p("conversation_id, metric"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "mann_whitney_p": q(
-        """SELECT metric, round(least(1, 2 * any_value(12 - z) / 4000 / 3 / sqrt(2 * pi()) * sum(
-            CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
-            * exp(-(z + (12 - z) * i / 4000e0) * (z + (12 - z) * i / 4000e0) / 2))), 6) AS p
-        FROM (SELECT metric, (greatest(u, n1 * n2 - u) - mean - 0.5e0) / sigma AS z FROM us)
-          CROSS JOIN (SELECT unnest(range(4001)) AS i) GROUP BY metric""",
+        "SELECT metric, round(coalesce(e.p, s.p), 6) AS p FROM us LEFT JOIN exact e USING (metric) LEFT JOIN smooth s USING (metric)",
         SIGNED_BOTS,
         melt("signed", SIGNED, "escalation"),
         RANKS,
-    ),
+        rank_p("metric"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "seeded_sample": q(
         f"""SELECT id, {rounded(SIGNED)} FROM signed WHERE {" AND ".join(f"{c} IS NOT NULL" for c in SIGNED)}
         ORDER BY md5('42|' || id::VARCHAR), id LIMIT 100""",
@@ -745,16 +880,16 @@ ORACLE: dict[str, str] = {
         f"SELECT conversation_id, coalesce({pick('c.l', 'conversation_id', 'claim')}, 'This topic has no relevant data.') AS claim "
         "FROM convs LEFT JOIN c ON lower(convs.category) = c.topic",
         CONVERSATIONS,
-        f"""c AS (SELECT lower([{quoted(TOPICS[3:])}][item_id % 5 + 1]) AS topic, list('claim ' || item_id ORDER BY 'claim ' || item_id) AS l
+        f"""c AS (SELECT lower([{quoted(TOPICS[3:])}][item_id % 5 + 1]) AS topic, list('claim ' || item_id || ': ' || text ORDER BY 'claim ' || item_id || ': ' || text) AS l
           FROM benchmark GROUP BY 1)""",
     ),
     "assign_topic": q(
         f"SELECT conversation_id, coalesce({pick('t.l', 'conversation_id', 'topic')}, {pick('a.l', 'conversation_id', 'topic')}) "
         "AS question FROM convs LEFT JOIN t USING (category) CROSS JOIN a",
         CONVERSATIONS,
-        f"""t AS (SELECT [{quoted(TOPICS[:7])}][item_id % 7 + 1] AS category, list('question ' || item_id ORDER BY 'question ' || item_id) AS l
+        f"""t AS (SELECT [{quoted(TOPICS[:7])}][item_id % 7 + 1] AS category, list('question ' || item_id || ': ' || text ORDER BY 'question ' || item_id || ': ' || text) AS l
           FROM benchmark GROUP BY 1),
-        a AS (SELECT list('question ' || item_id ORDER BY 'question ' || item_id) AS l FROM benchmark)""",
+        a AS (SELECT list('question ' || item_id || ': ' || text ORDER BY 'question ' || item_id || ': ' || text) AS l FROM benchmark)""",
     ),
     "render_host_reaction": q(
         f"""SELECT id, drawn.strategy, md5(replace(replace(coalesce({pick('o.l', 'id', 'reaction')}, {pick('e.l', 'id', 'reaction')}),
@@ -769,7 +904,7 @@ ORACLE: dict[str, str] = {
         tpl AS (SELECT ['fact_check', 'false_claim', 'bot_comparison', 'follow_up', 'redirect'][item_id % 5 + 1] AS strategy,
           CASE WHEN item_id % 3 <> 0 THEN ['neutral', 'provocative', 'extreme'][item_id % 3 + 1] END AS host_mode,
           item_id::VARCHAR || ' on {category}: ''{statement}'', says ' ||
-            ['fact_check', 'false_claim', 'bot_comparison', 'follow_up', 'redirect'][item_id % 5 + 1] AS t FROM benchmark),
+            ['fact_check', 'false_claim', 'bot_comparison', 'follow_up', 'redirect'][item_id % 5 + 1] || ', ' || text AS t FROM benchmark),
         o AS (SELECT strategy, host_mode, list(t ORDER BY t) AS l FROM tpl WHERE host_mode IS NOT NULL GROUP BY 1, 2),
         e AS (SELECT strategy, list(t ORDER BY t) AS l FROM tpl WHERE host_mode IS NULL GROUP BY 1)""",
     ),
