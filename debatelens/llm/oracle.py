@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from debatelens.llm import licenses, mixing, quality, warc
+from debatelens.llm import decontamination, licenses, mixing, quality, warc
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '')"
@@ -26,17 +26,19 @@ MIXING = f"""
 WITH RECURSIVE sizes AS (
   SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents GROUP BY source
 ), weighed AS (SELECT source, size, pow(size::DOUBLE, {mixing.TEMPERATURE}) AS weight FROM sizes),
-rates AS (SELECT source, weight / size * (1.0::DOUBLE * sum(size) OVER () / sum(weight) OVER ()) AS rate FROM weighed),
-steps(source, rate, k, p, f) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+whole AS (SELECT source, weight / size * (1.0::DOUBLE * sum(size) OVER () / sum(weight) OVER ()) AS rate FROM weighed),
+rates AS (SELECT source, parts, rate / parts AS rate FROM (SELECT *, greatest(ceil(rate / {mixing.MOST_RATE}), 1)::BIGINT AS parts FROM whole)),
+steps(source, parts, rate, k, p, f) AS (
+  SELECT source, parts, rate, 0, exp(-rate), exp(-rate) FROM rates
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM steps
+  SELECT source, parts, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM steps
   WHERE k < ceil(rate + 10 * sqrt(rate) + 20)
-), tables AS (SELECT source, list(f ORDER BY k) AS fs FROM steps GROUP BY source),
+), tables AS (SELECT source, parts, list(f ORDER BY k) AS fs FROM steps GROUP BY source, parts),
 keyed AS (SELECT *, '{mixing.SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '') AS key FROM documents),
 drawn AS (SELECT *, ('0x' || substr(md5(key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM keyed),
 counted AS (
-  SELECT d.*, len(list_filter(fs, lambda x: x <= u))::BIGINT AS n_copies
+  SELECT d.*, (len(list_filter(fs, lambda x: x <= u)) + coalesce(list_sum(list_transform(range(1, parts), lambda part:
+    len(list_filter(fs, lambda x: x <= ('0x' || substr(md5('part:' || part || ':' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)))), 0))::BIGINT AS n_copies
   FROM drawn d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT counted.* EXCLUDE (key, u), copy, md5(key || ':' || copy) AS shuffle_key
@@ -213,6 +215,59 @@ FROM s
 """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# CRC-32 bit by bit, lowest bit first, over the bytes of '<doc_id>:<run>'
+SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS prefix,
+    unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), counted AS (SELECT prefix, run, count(*) AS n, hex(encode(prefix || run)) AS code FROM runs GROUP BY ALL),
+bytes AS (SELECT * EXCLUDE code, list_transform(range(length(code) // 2),
+  lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT) AS bs FROM counted),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bs,
+  lambda b: list_transform(range(8), lambda k: (b >> k::BIGINT) & 1)))),
+  lambda c, bit: xor(c >> 1, (xor(c, bit) & 1) * 3988292384))) AS h FROM bytes),
+vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 <> 0 THEN run
+    ELSE substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), edited AS (SELECT word, n, i, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) AS replaced,
+  substr(word, 1, i - 1) || substr(word, i + 1) AS shorter FROM vocabulary, unnest(range(1, length(word) + 1)) t(i)),
+links AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM edited a JOIN edited b ON a.replaced = b.replaced AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM edited a JOIN vocabulary v ON a.shorter = v.word
+  UNION SELECT v.word, a.word, a.n FROM edited a JOIN vocabulary v ON a.shorter = v.word
+), best AS (SELECT word, count(*) AS n_near, list({{'near': near, 'n': near_n}} ORDER BY near_n DESC, near)[1] AS b FROM links GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN b.near END AS form,
+  CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.at AND e.form IS NULL
+"""
+
+ITEM_WORDS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, coalesce({ITEM_WORDS}, []) AS ws FROM documents),
+b AS (SELECT item_id, {ITEM_WORDS} AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS k
+  FROM (SELECT *, least({decontamination.WINDOW}, len(ws)) AS m FROM b WHERE len(ws) > 0), unnest(range(1, len(ws) - m + 2)) t(i)),
+places AS (SELECT doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') AS k
+  FROM d, (SELECT DISTINCT m FROM windows), unnest(range(1, len(ws) - m + 2)) t(i)),
+hits AS (SELECT doc_id, i, m, item_id FROM places JOIN windows USING (m, k)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, m)) t(j) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+  string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING,
     "op3_poisson_mix": MIXING,
@@ -221,4 +276,6 @@ ORACLE: dict[str, str] = {
     "op7_quality_divergence": _quality(),
     "op8_warc_source": WARC,
     "op10_preference_format": _preferences(),
+    "op11_spelling_variants": SPELLING,
+    "op12_decontamination": CONTAMINATION,
 }

@@ -77,9 +77,10 @@ def shard_plan(sizes: DataFrame, shards: int = SHARDS, lots: int = LOTS) -> tupl
     for m in MEASURES:
         large = large | (F.col(m) > F.lit((totals[m] or 0) / lots))
     # at most 3 * lots groups can exceed a lot's share of something
-    big = [tuple(r) for r in groups.where(large).select(*same, *MEASURES).collect()]
+    big = sorted(tuple(r) for r in groups.where(large).select(*same, *MEASURES).collect())
     small = groups.where(~large).groupBy(F.pmod("text_hash", F.lit(lots)).cast("int").alias("lot"))
-    rest = [tuple(r) for r in small.agg(*[F.sum(m) for m in MEASURES]).collect()]
+    # in a fixed order, so that things of one size are always placed alike
+    rest = sorted(tuple(r) for r in small.agg(*[F.sum(m) for m in MEASURES]).collect())
     room = max(1, (totals["bytes"] or 0) / shards)
     keys, vectors, listed = [], [], []
     for *key, size, tokens, rows in big:

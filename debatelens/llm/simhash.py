@@ -154,7 +154,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BU
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     few = keyed.where(F.col("n") <= bucket).select("key", "fp")
-    near = few.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(run, "a long, b long")
+    # a count of its own: the rows are few, but each takes long
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = few.repartition(tasks, "key").sortWithinPartitions("key", "fp").mapInPandas(run, "a long, b long")
 
     flips = [0]
     for r in range(1, max_bits // 2 + 1):
@@ -187,7 +189,9 @@ def simhash_groups(
     prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     values = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "values")
-    of = connected_components(fingerprint_links(values.select("fp"), max_bits))
+    # read several times by the first round
+    links = stored(fingerprint_links(values.select("fp"), max_bits), "pairs")
+    of = connected_components(links)
     group = F.coalesce("component", "fp")
     labelled = values.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", group.alias("component"))
     # the members of a group are combined before each shuffle, then read their group's first

@@ -91,27 +91,39 @@ def parse_headers(data: bytes) -> dict[str, str]:
     return found
 
 
+def _length(headers: dict[str, str]) -> int | None:
+    """Content-Length as a number; None if it is missing or is none."""
+    value = headers.get("content-length", "")
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
 class _Plain:
-    """The record at the file's position, uncompressed."""
+    """Uncompressed records from the file's position on."""
 
     def __init__(self, file: io.BufferedReader) -> None:
         self.file = file
 
-    def until(self, mark: bytes) -> bytes:
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """The bytes up to the mark and with it, or all, or ``most`` if it is not in them."""
         data = bytearray()
-        while mark not in data[-len(mark) - 2 :]:
-            line = self.file.readline()
+        while mark not in data[-len(mark) - 2 :] and (most is None or len(data) < most):
+            line = self.file.readline() if most is None else self.file.readline(most - len(data))
             if not line:
-                return bytes(data)
+                break
             data += line
         return bytes(data)
 
     def take(self, n: int) -> bytes:
         return self.file.read(n)
 
-    def close(self, left: int) -> None:
-        """Go behind the record, of which ``left`` bytes were not read."""
-        self.file.seek(left, io.SEEK_CUR)
+    def skip(self, n: int) -> None:
+        self.file.seek(n, io.SEEK_CUR)
+
+    def ended(self) -> bool:
+        return not self.file.peek(1)
+
+    def close(self) -> None:
+        pass
 
 
 class _Member:
@@ -120,10 +132,10 @@ class _Member:
     CHUNK = 1 << 14
 
     def __init__(self, file: io.BufferedReader) -> None:
-        self.file, self.start, self.length = file, file.tell(), 0
+        self.file, self.start, self.length, self.whole, self.at = file, file.tell(), 0, -1, 0
         head = file.read(12 + _EXTRA_SIZE)
         if len(head) >= 12 and head[3] & 4 and struct.unpack_from("<H", head, 10)[0] >= _EXTRA_SIZE and head[12:14] == b"sl":
-            self.length = struct.unpack_from(_EXTRA, head, 12)[2]
+            _, _, self.length, self.whole = struct.unpack_from(_EXTRA, head, 12)
         self.unpacker = zlib.decompressobj(31)
         self.data = bytearray(self.unpacker.decompress(head))
         self.fed = len(head)
@@ -138,11 +150,13 @@ class _Member:
         self.data += self.unpacker.decompress(chunk)
         return True
 
-    def until(self, mark: bytes) -> bytes:
-        while (at := self.data.find(mark)) < 0:
-            if not self._more():
-                at = len(self.data)
-                break
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """The bytes up to the mark and with it, or all, or ``most`` if it is not in them."""
+        seen = 0
+        while (at := self.data.find(mark, max(0, seen - len(mark) + 1), most)) < 0:
+            seen = len(self.data)
+            if (most is not None and seen >= most) or not self._more():
+                return self.take(len(self.data) if most is None else most)
         return self.take(at + len(mark))
 
     def take(self, n: int) -> bytes:
@@ -150,44 +164,73 @@ class _Member:
             pass
         part = bytes(self.data[:n])
         del self.data[:n]
+        self.at += len(part)
         return part
 
-    def close(self, left: int) -> None:
-        if self.length:
-            self.file.seek(self.start + self.length)
+    def skip(self, n: int) -> None:
+        if self.at + n + 4 == self.whole:  # the member's only or last record
+            self.at = self.whole
             return
-        while self._more():  # the member doesn't tell its length
-            self.data.clear()
-        self.file.seek(self.start + self.fed - len(self.unpacker.unused_data))
+        while n > 0 and (part := self.take(min(n, self.CHUNK))):
+            n -= len(part)
+
+    def ended(self) -> bool:
+        return self.at == self.whole or not (self.data or self._more())
+
+    def close(self) -> None:
+        if self.length and self.at == self.whole:
+            self.file.seek(self.start + self.length)
+        else:
+            self.file.seek(self.start + self.fed - len(self.unpacker.unused_data))
+
+
+def _record(part, headers: dict, left: int, payload: bool) -> tuple[int, bytes | None, int]:
+    """(payload bytes, payload, bytes of the block that were not read) of one record."""
+    inner, size = b"", left
+    if "application/http" in headers.get("content-type", ""):
+        inner = part.until(b"\r\n\r\n", left)
+        left -= len(inner)
+        if inner.endswith(b"\r\n\r\n"):
+            stated = _length(parse_headers(inner))
+            size = stated if headers.get("warc-type") == "revisit" and stated is not None else left
+            inner = b""
+    if not payload:
+        return size, None, left
+    return size, inner + part.take(left), 0
 
 
 def read_records(file: io.BufferedReader, wanted, payload: bool, http: bool) -> Iterator[tuple[dict, int | None, bytes | None]]:
     """(headers, payload bytes, payload) of the records whose headers are ``wanted``.
 
-    The payload's length is that of the HTTP message if the block holds one, which a
-    revisit names without having it. Neither is looked at unless asked for.
+    Records may lie in the file plainly, each in its own gzip member, or several in one. The
+    payload's length is that of what the block holds behind the HTTP headers, if it has any;
+    a revisit has the length that its HTTP headers name. Neither length nor payload is looked
+    at unless asked for.
+
+    Malformed input: a record without a readable Content-Length has neither payload nor its
+    length, and reading goes on at the next line that begins a record. A block without an end
+    of its HTTP headers is payload as a whole. An HTTP length that is no number, or in a
+    response any, is not believed. A file cut off inside a record gives the bytes that are
+    there. Damaged gzip data are an error.
     """
     while head := file.peek(2)[:2]:
         part = _Member(file) if head == b"\x1f\x8b" else _Plain(file)
-        lines = part.until(b"\r\n\r\n")
-        if not lines.strip():  # blank lines between records
-            continue
-        headers = parse_headers(lines[lines.find(b"WARC/") :])
-        left = int(headers.get("content-length", 0))
-        size = body = None
-        if wanted(headers) and (http or payload):
-            message = "application/http" in headers.get("content-type", "")
-            size = left
-            if message:
-                inner = part.until(b"\r\n\r\n")
-                left -= len(inner)
-                size = int(parse_headers(inner).get("content-length", left))
-            if payload:
-                body = part.take(left)
-                left = 0
-        if wanted(headers):
-            yield headers, size, body
-        part.close(left + 4 if isinstance(part, _Plain) else left)
+        while not part.ended():
+            lines = part.until(b"\r\n\r\n")
+            start = 0 if lines.startswith(b"WARC/") else lines.find(b"\nWARC/") + 1
+            if not lines.startswith(b"WARC/", start):  # blank lines between records, or what is no record
+                continue
+            headers = parse_headers(lines[start:])
+            left = _length(headers)
+            size = body = None
+            if wanted(headers):
+                if left is not None and (http or payload):
+                    size, body, left = _record(part, headers, left, payload)
+                yield headers, size, body
+            part.skip(left or 0)
+            if isinstance(part, _Plain) and file.peek(2)[:2] == b"\x1f\x8b":
+                break
+        part.close()
 
 
 # --- the data source ---------------------------------------------------------------

@@ -49,7 +49,7 @@ def test_shares_follow_given_weights(spark):
     assert mixing.poisson_mix(docs, {"small": 1.0}).select("source").distinct().collect() == [("small",)]
 
 
-def test_nulls_repeats_and_too_many_repeats(spark):
+def test_nulls_repeats_and_many_repeats(spark):
     rows = [(None, None, None, None, 1), (None, "a", None, None, 1), (1, "", "s", None, 1), (1, "", "s", None, 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     mixed = mixing.poisson_mix(docs, total=20.0, numbered=False)
@@ -58,8 +58,18 @@ def test_nulls_repeats_and_too_many_repeats(spark):
     for r in mixed.collect():
         got[r.doc_id, r.text] = got.get((r.doc_id, r.text), 0) + 1
     assert set(got) == {(None, None), (None, "a"), (1, "")} and got[1, ""] % 2 == 0
-    with pytest.raises(Exception, match="repeated more than"):
-        mixing.poisson_mix(docs, total=1000.0).count()
+    n = mixing.poisson_mix(docs, total=1000.0).count()
+    assert 3000 < n < 5000
+
+
+def test_many_sources_are_joined_spread_by_key(spark):
+    rows = [(i, "x" * (i % 7), None if i % 50 == 0 else f"s{i % 40}", None, 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    small, large = (mixing.poisson_mix(docs, total=3.0, most_broadcast=b) for b in (1 << 20, 1))
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
+    assert large.columns == small.columns
+    plan = mixing.poisson_mix(docs, total=3.0, most_broadcast=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan
 
 
 def test_one_byte_source_beside_a_very_large_one(spark):

@@ -1,8 +1,12 @@
 """Shards: what the law and the groups demand."""
 
+import math
+import re
 import zlib
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import DATA
@@ -21,6 +25,78 @@ def check(rows, texts, shards, near):
         assert slots == list(range(len(slots)))
 
 
+def plain_shards(rows, shards, lots, part_of):
+    """doc_id -> shard, one thing after the other, for (doc_id, text)."""
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text or "", []).append(i)
+
+    def measures(text, n):
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]", text) if w]
+        return n * (len(text.encode()) + 1), n * len(words), n
+
+    total = [sum(m) for m in zip(*(measures(t, len(ids)) for t, ids in groups.items()), strict=True)]
+    room = max(1, total[0] / shards)
+    large, lot_sums, things = {}, {}, []
+    for text, ids in groups.items():
+        data, own = text.encode(), measures(text, len(ids))
+        value = xxhash.xxh64_intdigest(data, 42)
+        if any(m > t / lots for m, t in zip(own, total, strict=True)):
+            parts = max(1, math.ceil(sharding.PARTS * own[0] / room)) if own[0] > room else 1
+            signed = value - (1 << 64) if value >> 63 else value
+            large[text] = (signed, zlib.crc32(data), len(data) + 1, own, parts)
+        else:
+            lot = (value - (1 << 64) if value >> 63 else value) % lots
+            lot_sums[lot] = tuple(a + b for a, b in zip(lot_sums.get(lot, (0, 0, 0)), own, strict=True))
+    for text, (*key, own, parts) in sorted(large.items(), key=lambda x: x[1][:3]):
+        things += [((text, k), [m / parts for m in own]) for k in range(parts)]
+    things += [((lot, None), list(own)) for lot, own in sorted(lot_sums.items())]
+    share = [[v / t * shards if t else 0.0 for v, t in zip(own, total, strict=True)] for _, own in things]
+    left = [[1 + sharding.SLACK, 1.0, 1.0] for _ in range(shards)]
+    at = {}
+    for i in sorted(range(len(things)), key=lambda i: (-((share[i][0] + share[i][1]) + share[i][2]), i)):
+        fitting = [s for s in range(shards) if left[s][0] >= share[i][0]]
+        if fitting:
+            best = max(fitting, key=lambda s: (sum(a * b for a, b in zip(left[s], share[i], strict=True)), -s))
+        else:
+            best = max(range(shards), key=lambda s: (left[s][0], -s))
+        at[things[i][0]] = best
+        left[best] = [a - b for a, b in zip(left[best], share[i], strict=True)]
+    out = {}
+    for text, ids in groups.items():
+        for i in ids:
+            if text in large:
+                out[i, text] = at[text, part_of(i, large[text][4]) if large[text][4] > 1 else 0]
+            else:
+                value = xxhash.xxh64_intdigest(text.encode(), 42)
+                out[i, text] = at[(value - (1 << 64) if value >> 63 else value) % lots, None]
+    return out
+
+
+def test_query_equals_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = plain_shards([tuple(r) for r in docs], 8, sharding.LOTS, None)
+    got = {r.doc_id: r.shard for r in entry.queries()["op5_vector_sharding"](spark, DATA).collect()}
+    assert got == {i: s for (i, _), s in want.items()}
+
+
+def test_lots_and_parted_groups_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 50, int(k)))) for i, k in enumerate(rng.integers(0, 30, 700))]
+    rows += [(1000 + i, "a group of copies") for i in range(400)] + [(2000, None), (2001, "ä ö ü " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    part = {
+        (r.doc_id, n): r[f"p{n}"]
+        for r in docs.select("doc_id", *[sharding._part(F.lit(n)).alias(f"p{n}") for n in range(1, 40)]).collect()
+        for n in range(1, 40)
+    }
+    want = plain_shards(rows, 5, 60, lambda i, n: part[i, n])
+    sizes = sharding.document_sizes(docs)
+    got = sharding.looked_up(sizes, *sharding.shard_plan(sizes, 5, 60), 60).collect()
+    texts = dict(rows)
+    assert {(r.doc_id, texts[r.doc_id] or ""): r.shard for r in got} == want
+
+
 def test_query_keeps_the_law(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     rows = entry.queries()["op5_vector_sharding"](spark, DATA).collect()

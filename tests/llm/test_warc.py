@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,59 @@ def test_empty_table_unknown_column_and_leftovers(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         spark.read.format("warc").schema("wrong string").load(path).count()
     assert stored(df, "w").count() == 0
+
+
+def http(body, length=None, end=b"\r\n\r\n"):
+    stated = len(body) if length is None else length
+    return b"HTTP/1.1 200 OK\r\nContent-Length: " + str(stated).encode() + end + body
+
+
+def records(data, payload=True):
+    file = io.BufferedReader(io.BytesIO(data), 64)
+    found = warc.read_records(file, lambda h: h.get("warc-type") != "warcinfo", payload, True)
+    return [(h["warc-record-id"], size, body) for h, size, body in found]
+
+
+def made(name, block, kind="response"):
+    return warc.record({"WARC-Type": kind, "WARC-Record-ID": name, "Content-Type": "application/http"}, block)
+
+
+def test_archive_in_one_gzip_stream():
+    bodies = [b"one", b"", b"x" * 100_000, b"WARC/1.1\r\n\r\n", b"last"]
+    plain = made("info", b"a: b", "warcinfo") + b"".join(made(str(i), http(b)) for i, b in enumerate(bodies))
+    want = [(str(i), len(b), b) for i, b in enumerate(bodies)]
+    cut = plain.index(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: 3")
+    for data in (plain, gzip.compress(plain), warc.member(plain), gzip.compress(plain[:cut]) + gzip.compress(plain[cut:]),
+                 warc.member(plain[:cut]) + gzip.compress(plain[cut:]), plain[:cut] + gzip.compress(plain[cut:])):
+        assert records(data) == want
+        assert records(data, payload=False) == [(i, n, None) for i, n, _ in want]
+
+
+def test_lengths_that_are_wrong_or_no_numbers():
+    for stated in ("x", "", "-3", "999", "2", "٣", "1e3"):
+        data = made("a", http(b"abc", stated)) + made("b", http(b"", "700" if stated == "999" else stated), "revisit") + made("c", http(b"z"))
+        later = 700 if stated == "999" else 2 if stated == "2" else 0
+        for packed in (data, gzip.compress(data)):
+            assert records(packed) == [("a", 3, b"abc"), ("b", later, b""), ("c", 1, b"z")]
+
+
+def test_records_that_are_malformed():
+    good = made("good", http(b"body"))
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: bad\r\n"
+    for bad in (head + b"\r\nsome\r\n\r\nblock\r\n\r\n", head + b"Content-Length: ten\r\n\r\n0123456789\r\n\r\n"):
+        for data in (bad + good, gzip.compress(bad + good), gzip.compress(bad) + warc.member(good)):
+            assert records(data) == [("bad", None, None), ("good", 4, b"body")]
+    open_end = made("open", http(b"no end of headers", end=b"\r\n"))
+    assert records(open_end + good) == [("open", len(http(b"no end of headers", end=b"\r\n")), http(b"no end of headers", end=b"\r\n")), ("good", 4, b"body")]
+    whole = made("cut", http(b"0123456789"))
+    ((name, size, body),) = records(whole[:-8])
+    assert (name, body) == ("cut", b"012345") and size == 10
+    assert records(b"") == [] and records(b"junk\r\n\r\n" + good) == [("good", 4, b"body")]
+
+
+def test_one_stream_archive_through_the_source(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    plain = b"".join(made(f"<{i}>", http(b"x" * i, "x")) for i in range(40))
+    (tmp_path / "a" / "one.warc.gz").write_bytes(gzip.compress(plain))
+    rows = warc.read_warc(spark, str(tmp_path / "a"), ["record_id", "payload_bytes"]).collect()
+    assert {r.record_id: r.payload_bytes for r in rows} == {f"<{i}>": i for i in range(40)}
