@@ -169,8 +169,8 @@ def histogram(df: DataFrame, metrics: list[str], bins: int = 30) -> DataFrame:
     )
 
 
-#: Grid points that one aggregation adds up; generated code takes about a hundred sums.
-_POINTS_AT_ONCE = 40
+#: Grid points that one aggregation adds up; more of them take longer to compile than to compute.
+_POINTS_AT_ONCE = 20
 
 
 def density(df: DataFrame, metrics: list[str], points: int = 200, cut: float = 3.0) -> DataFrame:

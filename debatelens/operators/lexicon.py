@@ -50,7 +50,7 @@ _BLANKS = r"[\s\p{Z}]+"
 #: Found in texts with a word of two characters or more.
 _ANY_WORD = r"[^\s\p{Z}]{2}"
 # --- Fixed values: punctuation cut from the start or the end of a plain word ---
-_EDGE = r"""^[.!?,;:'"-]|[.!?,;:'"-]$"""
+_EDGES = """.!?,;:'"-"""
 _PUNCTUATION = r"""(?:[.,;:'"-]|!{1,3}|\?{1,3}|\?!\?!?|!\?!\??)"""
 _PLAIN = r"([^!-/:-@\[-`{-~]{2,}+)"
 _EDGED = f"^(?:{_PLAIN}{_PUNCTUATION}|{_PUNCTUATION}{_PLAIN})$"
@@ -64,7 +64,9 @@ def _tokens(text: Column | str) -> Column:
 
 def _bare(token: Column) -> Column:
     """A token without the punctuation at one of its edges."""
-    return F.when(token.rlike(_EDGE), F.regexp_replace(token, _EDGED, "$1$2")).otherwise(token)
+    # looked at before the pattern is, which most words don't need
+    edged = F.lit(_EDGES).contains(F.substring(token, 1, 1)) | F.lit(_EDGES).contains(F.substring(token, -1, 1))
+    return F.when(edged, F.regexp_replace(token, _EDGED, "$1$2")).otherwise(token)
 
 
 def valence_words(text: Column | str = "message") -> Column:
@@ -140,15 +142,18 @@ def _known_words(
 
     def find(texts: DataFrame) -> DataFrame:
         read = texts.select("_text", "_said", _tokens("_said").alias("_tokens"))
-        size = F.size("_tokens").alias("_n")
         # capitals count only where other words are not in capitals
         quiet = F.exists("_tokens", lambda t: (F.upper(t) != t) | (F.lower(t) == t))
-        mixed = (F.col("_said").rlike(_SHOUT) & quiet).alias("_mixed")
-        single = read.select("_text", size, mixed, F.posexplode("_tokens").alias("at", "raw"))
+        # below the explode, so that they are found once per text
+        read = read.select(
+            "_text", "_tokens", F.size("_tokens").alias("_n"), (F.col("_said").rlike(_SHOUT) & quiet).alias("_mixed")
+        )
+        single = read.select("_text", "_n", "_mixed", F.posexplode("_tokens").alias("at", "raw"))
         single = single.select("_text", "_n", "_mixed", "at", F.lit(1).alias("n"), F.lower(_bare(F.col("raw"))).alias("word"), "raw")
         if any(" " in p for p in _marks(rules)):
             lowered = read.withColumn("_lowered", F.transform("_tokens", lambda t: F.lower(_bare(t))))
-            runs = lowered.select("_text", size, mixed, F.explode(_phrase_runs(F.col("_lowered"), rules)).alias("r"))
+            runs = lowered.withColumn("_runs", _phrase_runs(F.col("_lowered"), rules))
+            runs = runs.select("_text", "_n", "_mixed", F.explode("_runs").alias("r"))
             runs = runs.select("_text", "_n", "_mixed", "r.at", "r.n", "r.word", F.lit("").alias("raw"))
             single = single.unionByName(runs)
         entries = _valence_entries(lexicon, rules).withColumn("listed", F.lit(True))
@@ -161,7 +166,7 @@ def _known_words(
         met = met.withColumn("loud", shout)
         item = F.struct("at", "n", *_FIELDS, "loud")
         return met.groupBy("_text").agg(
-            F.array_sort(F.collect_list(item)).alias("_known"), F.max("_n").alias("_n")
+            F.sort_array(F.collect_list(item)).alias("_known"), F.max("_n").alias("_n")
         )
 
     return find

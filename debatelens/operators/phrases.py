@@ -74,7 +74,7 @@ def _found_phrases(phrases: DataFrame, max_bytes: int) -> Callable[[DataFrame],
             & _stands(F.col("after"), f["trail"], F.startswith(F.col("after"), f["trail"]), F.col("ends")),
         )
         each = met.select("_text", F.explode(fitting).alias("form"))
-        return each.groupBy("_text").agg(F.array_sort(F.collect_set("form.phrase")).alias("_phrases"))
+        return each.groupBy("_text").agg(F.sort_array(F.collect_set("form.phrase")).alias("_phrases"))
 
     return find
 
