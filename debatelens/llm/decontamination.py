@@ -232,7 +232,7 @@ def _rows_found(
     whole = once.groupBy("key", "text_hash").agg(
         F.first("copies").alias("copies"),
         F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.flatten(F.collect_list("matches")).alias("matches"),
     )
     return whole, False
@@ -279,8 +279,8 @@ def benchmark_matches(
         ),
         lambda a: a["n"],
     )
-    names = F.array_sort(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item"]))))
-    return found.select(F.col("key").alias("doc_id"), "n_words", hit.alias("n_hit"), names.alias("items"), F.array_sort("matches").alias("matches"))
+    names = F.sort_array(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item"]))))
+    return found.select(F.col("key").alias("doc_id"), "n_words", hit.alias("n_hit"), names.alias("items"), F.sort_array("matches").alias("matches"))
 
 
 def decontaminate(
