@@ -106,18 +106,14 @@ FROM named
 
 
 def _quality() -> str:
-    lists = ", ".join(f"{_quoted(k)}: {v!r}" for k, v in quality.COMMON_WORDS.items())
-    listed = sorted({w for ws in quality.COMMON_WORDS.values() for w in ws})
-    forms = ", ".join(_quoted(w) for w in sorted({*listed, *(w.capitalize() for w in listed)}))
     rests, counts = "r0 AS (SELECT *, coalesce(text, '') AS x0 FROM w)", []
     for i, cut in enumerate(quality.CLASSES):
         rests += f",\nr{i + 1} AS (SELECT *, regexp_replace(x{i}, '{cut}', '', 'g') AS x{i + 1} FROM r{i})"
         counts.append(f"length(x{i}) - length(x{i + 1})")
     last = len(quality.CLASSES)
     counts.append(f"length(x{last})")
-    n_common = len(next(iter(quality.COMMON_WORDS.values()))) + 2
     sums = ", ".join(f"sum(classes[{i + 1}])" for i in range(last + 1))
-    common = ", ".join(f"sum(common[{i + 1}])" for i in range(n_common))
+    common = ", ".join(f"sum(common[{i + 1}])" for i in range(quality.COMMON + 1))
 
     def part(a: str, b: str) -> str:
         return f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
@@ -128,18 +124,21 @@ def _quality() -> str:
         return f"round(sqrt(greatest(list_sum(list_transform(range(1, len({x}) + 1), lambda i: {each})), 0)), 6)"
 
     return f"""
-WITH w AS (SELECT doc_id, text, lang, {WORDS} AS ws, MAP {{{lists}}}[lang] AS own FROM documents),
+WITH said AS (SELECT doc_id, text, lower(lang) AS lang, {WORDS} AS ws FROM documents),
+often AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place
+  FROM (SELECT lang, unnest(list_transform(ws, lambda x: lower(x))) AS word FROM said) GROUP BY lang, word),
+lists AS (SELECT lang, list(word ORDER BY place) AS own FROM often WHERE place <= {quality.COMMON} GROUP BY lang),
+w AS (SELECT s.*, own FROM said s LEFT JOIN lists l ON s.lang IS NOT DISTINCT FROM l.lang),
 {rests},
 hist AS (
   SELECT doc_id, text, lang, ws, [{', '.join(counts)}] AS classes,
-    list_transform(own, lambda o: len(list_filter(ws, lambda x: x IN ({forms}) AND lower(x) = o))) AS hits,
-    len(list_filter(ws, lambda x: x IN ({forms}))) AS listed
+    list_transform(own, lambda o: len(list_filter(ws, lambda x: lower(x) = o))) AS hits
   FROM r{last}
-), full_hist AS (SELECT *, list_concat(hits, [listed - list_sum(hits), len(ws) - listed]) AS common FROM hist),
+), full_hist AS (SELECT *, list_concat(hits, [len(ws) - list_sum(hits)]) AS common FROM hist),
 refs AS (
-  SELECT lang, sum(len(ws)) AS ref_words, [{sums}] AS ref_classes, [{common}] AS ref_common
-  FROM full_hist WHERE len(ws) >= {quality.GUARD_WORDS} AND hits IS NOT NULL GROUP BY lang
-),
+  SELECT lang, sum(len(ws)) AS ref_words, [{sums}] AS ref_classes, ([{common}])[1:max(len(common))] AS ref_common
+  FROM full_hist WHERE len(ws) >= {quality.GUARD_WORDS} GROUP BY lang
+), far AS (SELECT *, list_transform(ref_common, lambda x, i: CASE WHEN i = len(ref_common) THEN 1 ELSE 0 END) AS nothing FROM refs),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM w, unnest(range(1, len(ws) - 3)) t(i)),
 twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN twice USING (doc_id, k), unnest(range(0, 5)) t(j) GROUP BY doc_id),
@@ -153,11 +152,14 @@ base AS (
 ), scored AS (
   SELECT b.*, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
     CASE WHEN n_words >= {quality.GUARD_WORDS} AND ref_words >= {quality.GUARD_REFERENCE} THEN {distance('classes', 'ref_classes')} END AS class_distance,
-    CASE WHEN n_words >= {quality.GUARD_WORDS} AND ref_words >= {quality.GUARD_REFERENCE} THEN {distance('common', 'ref_common')} END AS word_distance
-  FROM base b LEFT JOIN refs r ON b.lang = r.lang
+    CASE WHEN n_words >= {quality.GUARD_WORDS} AND ref_words >= {quality.GUARD_REFERENCE} THEN {distance('common', 'ref_common')} END AS word_distance,
+    CASE WHEN n_words >= {quality.GUARD_WORDS} AND ref_words >= {quality.GUARD_REFERENCE} THEN round(sqrt(
+      pow({quality.FOREIGN} * {distance('nothing', 'ref_common').removeprefix('round').removesuffix(', 6)') + ')'}, 2)
+      + (len(ref_common) - 1) / (8 * ln(2) * n_words)), 6) END AS word_limit
+  FROM base b LEFT JOIN far r ON b.lang IS NOT DISTINCT FROM r.lang
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
-  NOT base_failed AND NOT coalesce(class_distance > {quality.MOST_CLASS_DISTANCE} OR word_distance > {quality.MOST_WORD_DISTANCE}, false) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, word_limit,
+  NOT base_failed AND NOT coalesce(class_distance > {quality.MOST_CLASS_DISTANCE} OR word_distance > word_limit, false) AS kept
 FROM scored
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from debatelens.llm.common import BLANKS, own_names, stored, words_of
 
@@ -15,17 +15,13 @@ WINDOW = 5
 GUARD_WORDS = 50
 #: A language with fewer words in all gives no reference.
 GUARD_REFERENCE = 1000
-#: Largest Jensen-Shannon distances (0 to 1) from the language that a document may have.
+#: Largest Jensen-Shannon distance (0 to 1) of character classes from the language.
 MOST_CLASS_DISTANCE = 0.3
-MOST_WORD_DISTANCE = 0.6
-
-# Frequent words of each language, any case of the first letter.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "for", "with"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "las"],
-}
+#: Words of a language that are compared: the most frequent ones of all its documents.
+COMMON = 30
+#: Part of the distance that a text without any of them has, from which on a text is foreign.
+FOREIGN = 0.5
+
 #: Character classes, taken from a text one after the other; what is left is the last class.
 CLASSES = [r"[a-z]+", BLANKS, r"[A-Z]+", r"[0-9]+", r"[#*$%&|<>]+", r"[\x00-\x7F]+"]
 
@@ -41,9 +37,21 @@ def _language(lang_col: str) -> Column:
     return F.lower(F.col(lang_col).cast("string"))
 
 
-def _histograms(df: DataFrame, text_col: str, lang_col: str, c: dict[str, str]) -> DataFrame:
-    """Adds the words, the class counts and the common-word counts: each of the language's
-    own, those listed for other languages only, and all other words."""
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = COMMON) -> DataFrame:
+    """(lang, own): the ``most`` most frequent words of each language, in lower case, from all
+    texts; ties go by the word. Each task adds up its words before the shuffle, and hands on
+    no more than ``most`` of a language afterwards."""
+    rows = docs.select(_language(lang_col).alias("lang"), F.explode(words_of(F.lower(F.col(text_col)))).alias("word"))
+    counts = rows.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = W.partitionBy("lang").orderBy(F.desc("n"), "word")
+    first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    listed = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("own"))
+    return listed.select("lang", F.transform("own", lambda x: x["word"]).alias("own"))
+
+
+def _histograms(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
+    """Adds the words, the class counts and the counts of the words in ``own``, with all other
+    words at the end; texts without such a list have none."""
     out = df.withColumn(c["words"], words_of(F.col(text_col)))
     rest = [F.coalesce(F.col(text_col), F.lit(""))]
     for i, cut in enumerate(CLASSES):
@@ -51,21 +59,19 @@ def _histograms(df: DataFrame, text_col: str, lang_col: str, c: dict[str, str])
         rest.append(F.col(c[f"rest{i}"]))
     counts = [F.length(a) - F.length(b) for a, b in zip(rest, rest[1:], strict=False)] + [F.length(rest[-1])]
     out = out.withColumn(c["classes"], F.transform(F.array(*counts), lambda x: x.cast("long")))
-    listed = {w for ws in COMMON_WORDS.values() for w in ws}
-    forms = sorted(listed | {w.capitalize() for w in listed})
     out = out.drop(*[c[f"rest{i}"] for i in range(len(CLASSES))])
-    found = F.transform(F.filter(c["words"], lambda w: w.isin(forms)), F.lower)
-    out = out.withColumn(c["found"], found)
-    own = F.lit(None).cast("array<string>")
-    for lang, ws in COMMON_WORDS.items():
-        own = F.when(_language(lang_col) == lang, F.array(*[F.lit(w) for w in ws])).otherwise(own)
-    out = out.withColumn(c["own"], own)
-    # two uses each of "found" and "hits" keep the optimizer from moving them into the lambda
-    hits = F.transform(c["own"], lambda x: F.size(F.filter(c["found"], lambda w: w == x)).cast("long"))
-    out = out.withColumns({c["hits"]: hits, c["listed"]: F.size(c["found"]).cast("long")})
-    own, listed, n = _sum(F.col(c["hits"])), F.col(c["listed"]), F.size(c["words"]).cast("long")
-    common = F.concat(c["hits"], F.array(listed - own, n - listed))
-    return out.withColumn(c["common"], common).drop(c["found"], c["own"], c["hits"], c["listed"])
+    # every word between blanks of its own, so that its copies are found by what they take away
+    blank = F.lit(" ")
+    out = out.withColumn(c["spaced"], F.concat(blank, F.lower(F.array_join(c["words"], "  ")), blank))
+    size = F.octet_length(c["spaced"])
+
+    def copies(word: Column) -> Column:
+        left = F.octet_length(F.replace(F.col(c["spaced"]), F.concat(blank, word, blank), F.lit("")))
+        return ((size - left) / (F.octet_length(word) + 2)).cast("long")
+
+    out = out.withColumn(c["hits"], F.transform(c["own"], copies))
+    common = F.concat(c["hits"], F.array(F.size(c["words"]).cast("long") - _sum(F.col(c["hits"]))))
+    return out.withColumn(c["common"], common).drop(c["spaced"], c["hits"], c["own"])
 
 
 def _base(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
@@ -120,84 +126,97 @@ def _divergence(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(both, F.lit(0.0)))
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, ref_words, ref_classes, ref_common): one row per language, in lower case and
-    null among them, from all its documents that pass the length guard. ``ref_common`` is
-    null for languages without a list in ``COMMON_WORDS``."""
-    rows = docs.select(_language(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    names = _names(rows)
-    rows = _histograms(rows, "text", "lang", names).withColumn("n", F.size(names["words"]))
-    rows = rows.where(F.col("n") >= GUARD_WORDS)
-    classes, common = F.col(names["classes"]), F.col(names["common"])
-    n_common = len(next(iter(COMMON_WORDS.values()))) + 2
-    sums = [F.sum(classes[i]).alias(f"k{i}") for i in range(len(CLASSES) + 1)]
-    sums += [F.sum(common[i]).alias(f"w{i}") for i in range(n_common)]
-    totals = rows.groupBy("lang").agg(F.sum("n").alias("ref_words"), *sums)
-    return totals.select(
-        "lang",
-        "ref_words",
-        F.array(*[f"k{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
-        F.when(F.col("w0").isNotNull(), F.array(*[f"w{i}" for i in range(n_common)])).alias("ref_common"),
-    )
-
-
 def _names(df: DataFrame) -> dict[str, str]:
-    wanted = ["words", "classes", "found", "own", "hits", "listed", "common", "lines", "windows", "pairs", "at"]
+    wanted = ["words", "classes", "spaced", "own", "hits", "common", "lines", "windows", "pairs", "at", "lang_key"]
     wanted += [f"rest{i}" for i in range(len(CLASSES))] + BASE
-    wanted += ["here", "lang_key", "base_failed", "class_distance", "word_distance", "kept"]
     return dict(zip(wanted, own_names(df, wanted), strict=True))
 
 
-def _scored(docs: DataFrame, text_col: str, lang_col: str, references: DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
-    names = _names(docs)
-    references = stored(language_references(docs, text_col, lang_col) if references is None else references, "references")
-    out = _base(_histograms(docs, text_col, lang_col, names), text_col, names)
-    # a filter on the verdict must not be pushed below the columns it is made of, where each
-    # use would compute them again; it stops at a column that is not deterministic
-    out = out.withColumn(names["here"], F.spark_partition_id())
+def _measured(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` (with ``text`` and ``lang``) with the base counts and both histograms instead of
+    the text: one narrow row each, made in one pass over the texts."""
+    names = _names(rows)
     key = names["lang_key"]
-    small = references.where(F.col("ref_words") >= GUARD_REFERENCE).select(
-        F.col("lang").alias(key),
-        *[F.col(x).alias(f"{key}_{x}") for x in ("ref_words", "ref_classes", "ref_common")],
-    )
+    lists = lists.select(F.col("lang").alias(key), F.col("own").alias(names["own"]))
     # a row per language: Spark broadcasts it by the size of the stored table, if that is small
-    out = out.join(small, _language(lang_col).eqNullSafe(F.col(key)), "left")
-    fit = (F.col(names["n_words"]) >= GUARD_WORDS) & F.col(f"{key}_ref_words").isNotNull()
-    listed = F.col(names["common"]).isNotNull() & F.col(f"{key}_ref_common").isNotNull()
+    out = rows.join(lists, F.col("lang").eqNullSafe(F.col(key)), "left").drop(key)
+    out = _base(_histograms(out, "text", names), "text", names)
+    kept = [F.col(c) for c in rows.columns if c != "text"]
+    return out.select(*kept, *[F.col(names[b]).alias(b) for b in BASE], F.col(names["classes"]).alias("classes"), F.col(names["common"]).alias("common"))
+
+
+def references_of(measured: DataFrame) -> DataFrame:
+    """(lang, ref_words, ref_classes, ref_common, farthest): one row per language from all its
+    measured documents that pass the length guard; ``farthest`` is the distance of a text
+    without any of the language's common words."""
+    rows = measured.where(F.col("n_words") >= GUARD_WORDS)
+    sums = [F.sum(F.col("classes")[i]).alias(f"k{i}") for i in range(len(CLASSES) + 1)]
+    # a small language has fewer words in its list
+    sums += [F.sum(F.coalesce(F.get("common", F.lit(i)), F.lit(0))).alias(f"w{i}") for i in range(COMMON + 1)]
+    totals = rows.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), F.max(F.size("common")).alias("bins"), *sums)
+    common = F.slice(F.array(*[f"w{i}" for i in range(COMMON + 1)]), 1, F.col("bins"))
+    refs = totals.select(
+        "lang",
+        "ref_words",
+        F.array(*[f"k{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
+        common.alias("ref_common"),
+    )
+    nothing = F.transform("ref_common", lambda x, i: F.when(i == F.size("ref_common") - 1, 1).otherwise(0).cast("long"))
+    return refs.withColumn("farthest", _divergence(nothing, F.col("ref_common")))
+
+
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``references_of`` the documents, in lower case and with null as a language of its own."""
+    rows = docs.select(_language(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return references_of(_measured(rows, stored(common_words(rows), "common-words")))
+
+
+def _judged(measured: DataFrame) -> DataFrame:
+    """The measured rows with distances, the word limit and the verdict."""
+    references = stored(references_of(measured), "references").where(F.col("ref_words") >= GUARD_REFERENCE)
+    references = references.withColumnRenamed("lang", "ref_lang")
+    out = measured.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    fit = (F.col("n_words") >= GUARD_WORDS) & F.col("ref_words").isNotNull()
+    # what drawing so few words from the language itself would give in the mean
+    drawn = (F.size("ref_common") - 1) / (8 * F.log(F.lit(2.0)) * F.col("n_words"))
+    limit = F.sqrt(F.pow(FOREIGN * F.col("farthest"), F.lit(2.0)) + drawn)
     out = out.withColumns({
-        names["base_failed"]: (F.col(names["n_words"]) < LEAST_WORDS)
-        | (100 * F.col(names["n_repeat_words"]) > MOST_REPEATED * F.col(names["n_words"])),
-        names["class_distance"]: F.when(fit, F.round(_divergence(F.col(names["classes"]), F.col(f"{key}_ref_classes")), 6)),
-        names["word_distance"]: F.when(fit & listed, F.round(_divergence(F.col(names["common"]), F.col(f"{key}_ref_common")), 6)),
+        "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
+        "class_distance": F.when(fit, F.round(_divergence(F.col("classes"), F.col("ref_classes")), 6)),
+        "word_distance": F.when(fit, F.round(_divergence(F.col("common"), F.col("ref_common")), 6)),
+        "word_limit": F.when(fit, F.round(limit, 6)),
     })
-    far = (F.col(names["class_distance"]) > MOST_CLASS_DISTANCE) | (F.col(names["word_distance"]) > MOST_WORD_DISTANCE)
-    kept = ~F.col(names["base_failed"]) & ~F.coalesce(far, F.lit(False)) & (F.col(names["here"]) >= 0)
-    drop = [names["here"], key, f"{key}_ref_words", f"{key}_ref_classes", f"{key}_ref_common", names["classes"], names["common"]]
-    return out.withColumn(names["kept"], kept).drop(*drop), names
+    far = (F.col("class_distance") > MOST_CLASS_DISTANCE) | (F.col("word_distance") > F.col("word_limit"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 
-def quality_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the base counts, the two distances, the verdict.
+def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of ``docs``: doc_id, the base counts, two distances, the limit of the
+    second one, the verdict.
 
     A document fails with few words or many repeated ones. Otherwise its histograms of
     character classes and of the language's common words are compared with those of its
-    language (of all documents, or given as ``references``), and it fails when one of
-    the Jensen-Shannon distances is too large. Languages are told apart in lower case, a
-    null language is one of its own. Languages without a word list are compared by
-    character classes only; short documents and languages with little text have null
-    distances and are not compared. A null text counts as empty and fails. Repeated rows and null ids get a row each; other
-    columns, whatever their names, are ignored. An empty table gives no rows.
+    language, both taken from all documents, and it fails when a Jensen-Shannon distance is
+    too large: of classes by a constant, of words by half the distance of a text that has no
+    common word, and what few words may differ by chance. Languages are told apart in lower
+    case, a null language is one of its own; short documents and languages with little text
+    have null distances and are not compared. A null text counts as empty and fails. Repeated
+    rows and null ids get a row each; other columns, whatever their names, are ignored. An
+    empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    out, _ = _scored(rows, "text", "lang", references)
-    return out.select("doc_id", *BASE, "base_failed", "class_distance", "word_distance", "kept")
-
-
-def keep_good(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None
-) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged."""
-    out, names = _scored(docs, text_col, lang_col, references)
-    return out.where(F.col(names["kept"])).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _language(lang_col).alias("lang"))
+    measured = stored(_measured(rows, stored(common_words(rows), "common-words")), "measured")
+    return _judged(measured).select("doc_id", *BASE, "base_failed", "class_distance", "word_distance", "word_limit", "kept")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that pass, unchanged; repeated rows pass or fail alike."""
+    key = [F.col(id_col).cast("string").alias("key"), F.xxhash64(F.col(text_col)).alias("text_hash")]
+    rows = docs.select(*key, F.col(text_col).alias("text"), _language(lang_col).alias("lang"))
+    measured = stored(_measured(rows, stored(common_words(rows), "common-words")), "measured")
+    good = _judged(measured).where("kept").select("key", "text_hash", "lang").distinct()
+    hashed, *own = own_names(docs, ["text_hash", "good_key", "good_hash", "good_lang"])
+    good = good.toDF(*own)
+    same = F.col(id_col).cast("string").eqNullSafe(F.col(own[0])) & (F.col(hashed) == F.col(own[1]))
+    same = same & _language(lang_col).eqNullSafe(F.col(own[2]))
+    return docs.withColumn(hashed, F.xxhash64(F.col(text_col))).join(good, same, "left_semi").drop(hashed)

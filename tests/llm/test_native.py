@@ -200,7 +200,7 @@ def test_divergence_keeps_prose_and_rejects_noise(spark):
     assert got[0].class_distance == pytest.approx(want, abs=1e-6)
 
 
-def test_languages_without_a_list_or_a_code_are_compared_by_classes(spark):
+def test_every_language_value_has_references(spark):
     rng = random.Random(3)
 
     def prose(n):
@@ -216,13 +216,57 @@ def test_languages_without_a_list_or_a_code_are_compared_by_classes(spark):
     for k, lang in langs.items():
         assert all(got[100 * k + i].kept and got[100 * k + i].class_distance < 0.3 for i in range(20))
         assert not got[1000 + k].kept and got[1000 + k].class_distance > 0.3
-        assert (got[100 * k].word_distance is not None) == (k < 2)
+        assert got[100 * k].word_distance is not None
     assert got[2000].kept and got[2000].class_distance is None and got[2000].word_distance is None
     refs = {r.lang: r for r in quality.language_references(docs).collect()}
-    assert set(refs) == {"en", None, "it", "en-us", "ru"} and [x for x, r in refs.items() if r.ref_common] == ["en"]
+    assert set(refs) == {"en", None, "it", "en-us", "ru"} and all(len(r.ref_common) == quality.COMMON + 1 for r in refs.values())
     assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+VOCABULARY = {
+    "en": "the of and to a in is that for with was on as by at from this be it an",
+    "fr": "de la le et les des en un une que est pour qui dans a par plus pas au sur",
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch",
+}
+
+
+def natural(rng, lang, n):
+    """Text with the share of frequent words that languages have."""
+    often = VOCABULARY[lang].split()
+    weights = [1 / (k + 2) for k in range(len(often))]
+    return " ".join(
+        rng.choices(often, weights)[0] if rng.random() < 0.4 else "".join(rng.choices("aeioustrnldm", k=rng.randint(3, 9)))
+        for _ in range(n)
+    )
+
+
+def test_texts_in_another_language_go_and_others_stay(spark):
+    rng = random.Random(8)
+    rows, foreign = [], set()
+    for lang in VOCABULARY:
+        rows += [(len(rows) + k, natural(rng, lang, rng.choice([60, 150, 400])), lang) for k in range(300)]
+    for lang in ("fr", "de"):
+        for _ in range(50):
+            foreign.add(len(rows))
+            rows.append((len(rows), natural(rng, lang, rng.choice([60, 150, 400])), "en"))
+    wordless = len(rows)
+    rows.append((wordless, " ".join("".join(rng.choices("aeioustrnldm", k=6)) for _ in range(300)), "en"))
+    docs = spark.createDataFrame([(*r, "x", None) for r in rows], DOCS)
+    got = {r.doc_id: r for r in quality.quality_scores(docs).collect()}
+    gone = {i for i, r in got.items() if not r.kept}
+    assert len(gone & foreign) >= 90 and wordless in gone
+    assert len(gone - foreign - {wordless}) <= 9
+    assert all(got[i].word_distance > got[i].word_limit for i in gone & foreign)
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(got) - gone
+
+
+def test_common_words_of_every_language(spark):
+    rows = [(1, "The the THE cat", "EN"), (2, "cat dog", "en"), (3, "x " * 40 + "y", None), (4, None, "fr"), (5, "b a", "de")]
+    docs = spark.createDataFrame([(*r, "x", None) for r in rows], DOCS)
+    got = {r.lang: r.own for r in quality.common_words(docs, most=2).collect()}
+    assert got == {"en": ["the", "cat"], None: ["x", "y"], "de": ["a", "b"]}
+
+
 def test_native_operators_on_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality.quality_scores(none).count() == quality.keep_good(none).count() == licenses.scan_licenses(none).count() == 0
