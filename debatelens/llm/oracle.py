@@ -69,18 +69,24 @@ def _licenses() -> str:
     def plain(x: str) -> str:
         return f"trim(regexp_replace(translate({x}, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
 
-    steps, hits = "found0 AS (SELECT doc_id, ids, tokens AS left0 FROM tokens)", []
+    steps, hits = "found0 AS (SELECT doc_id, ids, spdx, tokens AS left0 FROM tokens)", []
     for i, (name, ids) in enumerate(licenses.RULES):
         wanted = _quoted("".join(f"<{x}>" for x in ids))
         steps += f",\nfound{i + 1} AS (SELECT *, replace(left{i}, {wanted}, '<>') AS left{i + 1} FROM found{i})"
         hits.append(f"CASE WHEN contains(left{i}, {wanted}) THEN {i} END")
     names = ", ".join(_quoted(name) for name, _ in licenses.RULES)
+    bare = f"regexp_replace(text, {_quoted(licenses.SPDX)}, '', 'g')"
+    bare = f"regexp_replace(regexp_replace({bare}, {_quoted(licenses.COMMENT)}, '\\1', 'g'), {_quoted(licenses.VERSION)}, '\\1\\2', 'g')"
+    spdx = f"regexp_replace(x, {_quoted(licenses.SPDX_EXCEPTION)}, ' ', 'g')"
+    spdx = f"flatten(list_transform(regexp_extract_all(text, {_quoted(licenses.SPDX)}, 1), lambda x: string_split_regex({spdx}, {_quoted(licenses.SPDX_BETWEEN)})))"
+    words = ", ".join(map(_quoted, licenses.SPDX_WORDS))
+    spdx = f"list_filter({spdx}, lambda x: regexp_matches(x, {_quoted(licenses.SPDX_NAME)}) AND x NOT IN ({words}))"
     last = f"left{len(licenses.RULES)}"
     return f"""
 WITH names AS (SELECT [{names}] AS names),
 parts AS (
   SELECT doc_id, i, part, MAP {{{known}}} AS known
-  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?:;])[\\x20\\x09-\\x0D]+|\\n[\\x20\\x09\\x0D]*\\n', '\\1' || chr(1), 'g'), chr(1)) AS ps
+  FROM (SELECT doc_id, string_split(regexp_replace({bare}, '([.!?:;])[\\x20\\x09-\\x0D]+|\\n[\\x20\\x09\\x0D]*\\n', '\\1' || chr(1), 'g'), chr(1)) AS ps
         FROM documents WHERE text IS NOT NULL),
   unnest(range(1, len(ps) + 1)) t(i), unnest([ps[i]]) u(part)
 ), looked AS (
@@ -91,12 +97,12 @@ parts AS (
 ), ids AS (
   SELECT doc_id, i, CASE WHEN whole IS NOT NULL THEN [whole] WHEN len(each) > 0 THEN each WHEN suspect THEN ['unknown'] END AS ids FROM looked
 ), tokens AS (
-  SELECT d.doc_id, coalesce(flatten(list(ids ORDER BY i) FILTER (ids IS NOT NULL)), []) AS ids,
+  SELECT d.doc_id, coalesce(any_value({spdx}), []) AS spdx, coalesce(flatten(list(ids ORDER BY i) FILTER (ids IS NOT NULL)), []) AS ids,
     coalesce(array_to_string(list_transform(flatten(list(ids ORDER BY i) FILTER (ids IS NOT NULL)), lambda x: '<' || x || '>'), ''), '') AS tokens
   FROM documents d LEFT JOIN ids USING (doc_id) GROUP BY d.doc_id
 ), {steps},
 hit AS (SELECT *, list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) AS hits FROM found{len(licenses.RULES)}),
-named AS (SELECT hit.*, list_transform(hits, lambda h: names[h + 1]) AS found FROM hit, names)
+named AS (SELECT hit.*, list_concat(list_transform(hits, lambda h: names[h + 1]), spdx) AS found FROM hit, names)
 SELECT doc_id, array_to_string(ids, ',') AS sentences,
   array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ',') AS licenses,
   len(list_filter(ids, lambda x: x = 'unknown'))::BIGINT AS n_unknown,

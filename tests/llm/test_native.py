@@ -117,6 +117,74 @@ def test_verbatim_notices_with_wrapped_lines(spark):
     assert got[13][1] == ["GPL-3.0-or-later"]
 
 
+LGPL = GPL.replace("program is free", "library is free").replace("GNU General", "GNU Lesser General").replace("version {2}", "version 2.1")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain worldwide.
+"""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+NOTICES = {
+    "MIT": MIT, "Apache-2.0": APACHE, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + BSD_NAMES, "GPL-3.0-or-later": GPL.format(":", ",", 3),
+    "LGPL-2.1-or-later": LGPL.format(";", ";", 0), "AGPL-3.0-or-later": AGPL.format(":", ",", 3), "MPL-2.0": MPL, "ISC": ISC,
+    "Zlib": ZLIB, "Unlicense": UNLICENSE, "CC0-1.0": CC0, "EPL-2.0": EPL,
+}
+
+
+def test_notices_bare_and_in_comments(spark):
+    def commented(mark, text):
+        return "".join(f"{mark} {line}\n" if line else f"{mark}\n" for line in text.splitlines())
+
+    rows, want = [], {}
+    for name, text in NOTICES.items():
+        forms = [text, "code();\n" + text, "/*\n" + commented(" *", text) + " */\nint x;"]
+        forms += [commented(mark, text) + "\ncode" for mark in ("#", "//", "--", ";;", "%")]
+        for form in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+    got = scan(spark, rows)
+    assert {i: g[1] for i, g in got.items()} == {i: [name] for i, name in want.items()}
+    plain, hashed = got[0], got[3]
+    assert plain == hashed
+
+
+def test_spdx_lines(spark):
+    got = scan(spark, [
+        (1, "// SPDX-License-Identifier: MIT\nint x;"), (2, "# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT\n"),
+        (3, "/* SPDX-License-Identifier: Apache-2.0 AND LicenseRef-own */"), (4, "SPDX-License-Identifier: NOASSERTION"),
+        (5, "SPDX-License-Identifier: MIT\n" + MIT), (6, "SPDX-License-Identifier:\nMIT"), (7, "The SPDX-License-Identifier is missing."),
+    ])
+    assert [got[i][1] for i in range(1, 8)] == [
+        ["MIT"], ["GPL-2.0-only", "MIT"], ["Apache-2.0", "LicenseRef-own"], [], ["MIT"], [], [],
+    ]
+    assert [got[i][2] for i in range(1, 8)] == [0, 0, 0, 0, 1, 0, 1]
+
+
 def test_longer_rules_use_their_sentences_up(spark):
     docs = spark.createDataFrame([(1, "A. B. A. C. B"), (1, "A. B"), (None, "B. A")], "doc_id long, text string")
     known, rules = {"a": "license-a", "b": "b", "c": "c"}, [("AB", ["license-a", "b"]), ("A", ["license-a"])]
