@@ -97,6 +97,19 @@ def _length(headers: dict[str, str]) -> int | None:
     return int(value) if value.isascii() and value.isdigit() else None
 
 
+_GZIP = b"\x1f\x8b"
+
+
+def _head(file: io.BufferedReader) -> bytes:
+    """The next two bytes, as far as there are any; the file's position stays."""
+    seen = file.peek(2)[:2]
+    if len(seen) == 1:  # the buffer ends here, the file need not
+        at = file.tell()
+        seen = file.read(2)
+        file.seek(at)
+    return seen
+
+
 class _Plain:
     """Uncompressed records from the file's position on."""
 
@@ -120,7 +133,7 @@ class _Plain:
         self.file.seek(n, io.SEEK_CUR)
 
     def ended(self) -> bool:
-        return not self.file.peek(1)
+        return _head(self.file) in (b"", _GZIP)
 
     def close(self) -> None:
         pass
@@ -213,8 +226,8 @@ def read_records(file: io.BufferedReader, wanted, payload: bool, http: bool) ->
     response any, is not believed. A file cut off inside a record gives the bytes that are
     there. Damaged gzip data are an error.
     """
-    while head := file.peek(2)[:2]:
-        part = _Member(file) if head == b"\x1f\x8b" else _Plain(file)
+    while head := _head(file):
+        part = _Member(file) if head == _GZIP else _Plain(file)
         while not part.ended():
             lines = part.until(b"\r\n\r\n")
             start = 0 if lines.startswith(b"WARC/") else lines.find(b"\nWARC/") + 1
@@ -228,8 +241,6 @@ def read_records(file: io.BufferedReader, wanted, payload: bool, http: bool) ->
                     size, body, left = _record(part, headers, left, payload)
                 yield headers, size, body
             part.skip(left or 0)
-            if isinstance(part, _Plain) and file.peek(2)[:2] == b"\x1f\x8b":
-                break
         part.close()
 
 
