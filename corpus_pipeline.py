@@ -13,30 +13,35 @@ from debatelens.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go."""
+    """Documents that fail the rules go. A null text or one without words fails; rows with a
+    null id and repeated rows are judged by their text and language like any other."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: the smallest id, a null id only where a group
+    has no other; of repeated rows one. Texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document holds are cut out; a
-    document that loses all its words goes."""
+    document that loses all its words goes, one that had none stays. Rows with a null id
+    neither lose words nor take any, repeated rows get the same result."""
     left = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for, in a global shuffle."""
+    """Each document as often as its source's weight asks for, in a global shuffle. A null
+    source is one of its own; a null id is drawn by its text, repeated rows are drawn alike."""
     return mixing.poisson_mix(docs, numbered=False)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences with their texts."""
+    """Training sequences with their texts; see ``packing.pack_documents`` for null ids, texts
+    without words and repeated rows."""
     return packing.pack_documents(docs)
 
 
