@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from debatelens.llm.common import stored
+
 TRAINED = "assistant"
 #: A turn without a role.
 NO_ROLE = "unknown"
@@ -110,7 +112,8 @@ def with_other_reply(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     its last assistant's turn answered as in its neighbour (the id that differs in the
     lowest bit). Without such a neighbour the turn is left out of the rejected side."""
     rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("pair_id"), "turn", "role", "text")
-    convs = rows.groupBy("pair_id").agg(turn_list().alias("chosen"))
+    # grouped once, for the conversations and for their replies
+    convs = stored(rows.groupBy("pair_id").agg(turn_list().alias("chosen")), "conversations")
     at = F.filter(F.transform("chosen", lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull())
     convs = convs.withColumn("last", F.array_max(at))
     replies = convs.where("last is not null").select(
