@@ -9,10 +9,10 @@ vocabulary. Only pairs of the other groups are shuffled.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,7 @@ class _Known:
 
     def __init__(self, learn: Callable[[list[str]], list[list[int]]], tokens: list[bytes]) -> None:
         self.learn, self.tokens = learn, tokens
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.held: dict[str, bytes | None] = {}
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray | None]:
@@ -66,11 +67,24 @@ class _Known:
         if len(held) + len(every) > _WORDS_KEPT:
             held.clear()
         new = list(every.difference(held))
-        for word, ids in zip(new, self.learn(new), strict=True):
-            spelt = b"".join(map(self.tokens.__getitem__, ids)) == word.encode()
-            held[word] = array("i", ids).tobytes() if spelt else None
+        if new:
+            self._keep(new)
         return [self._joined(words) for words in texts]
 
+    def _keep(self, new: list[str]) -> None:
+        found = self.learn(new)
+        flat = np.fromiter(chain.from_iterable(found), np.intc)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        starts = np.concatenate(([0], ends[:-1]))
+        # bytes behind each word, by its tokens and by itself
+        spelt = np.concatenate(([0], np.cumsum(self.lengths[flat])))[ends]
+        own = np.cumsum(np.fromiter((len(w.encode()) for w in new), np.int64, len(new)))
+        alike = (spelt == own).all() and b"".join(map(self.tokens.__getitem__, flat.tolist())) == "".join(new).encode()
+        data, width = flat.tobytes(), flat.itemsize
+        for word, ids, i, j in zip(new, found, (starts * width).tolist(), (ends * width).tolist(), strict=True):
+            known = alike or b"".join(map(self.tokens.__getitem__, ids)) == word.encode()
+            self.held[word] = data[i:j] if known else None
+
     def _joined(self, words: list[str]) -> np.ndarray | None:
         try:
             return np.frombuffer(b"".join(map(self.held.__getitem__, words)), np.intc).astype(np.int64)
@@ -131,10 +145,6 @@ def _load_byte_bpe(content: bytes) -> tuple:
 
 
 def _load_pieces(content: bytes) -> tuple:
-    """If no piece goes on with a space behind another character, no token reaches over the
-    start of a run of spaces, so these stretches of a text are encoded one by one and kept.
-    """
-    import regex
     from sentencepiece import SentencePieceProcessor
 
     loaded = SentencePieceProcessor(model_proto=content)
@@ -145,17 +155,12 @@ def _load_pieces(content: bytes) -> tuple:
             tokens.append(bytes([int(piece[3:-1], 16)]))
         else:
             tokens.append(piece.replace("▁", " ").encode())
-    apart = not any(regex.search("[^▁]▁", loaded.id_to_piece(n)) for n in range(len(tokens)))
-    space = [loaded.piece_to_id("▁")]
 
-    def learn(new: list[str]) -> list[list[int]]:
-        # the model itself puts the first space
-        found = loaded.encode([w[1:] for w in new], num_threads=1)
-        return [space if w == " " else ids for w, ids in zip(new, found, strict=True)]
+    def encode(texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        found = loaded.encode(texts, num_threads=1)
+        return [_checked(ids, tokens, t) for ids, t in zip(found, texts, strict=True)]
 
-    if not apart:
-        return (lambda texts: [_checked(loaded.encode(t), tokens, t) for t in texts]), tokens
-    return _encoder(_Known(learn, tokens), regex.compile(" +[^ ]*").findall, loaded.encode), tokens
+    return encode, tokens
 
 
 def _content(spark: SparkSession, path: str) -> bytes:
