@@ -60,9 +60,15 @@ def _histograms(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
     counts = [F.length(a) - F.length(b) for a, b in zip(rest, rest[1:], strict=False)] + [F.length(rest[-1])]
     out = out.withColumn(c["classes"], F.transform(F.array(*counts), lambda x: x.cast("long")))
     out = out.drop(*[c[f"rest{i}"] for i in range(len(CLASSES))])
-    # every word between blanks of its own, so that its copies are found by what they take away
+    # every word between blanks of its own, so that its copies are found by what they take away;
+    # words longer than any of the list are left out, if lower case does not change their length
     blank = F.lit(" ")
-    out = out.withColumn(c["spaced"], F.concat(blank, F.lower(F.array_join(c["words"], "  ")), blank))
+    longest = F.array_max(F.transform(c["own"], lambda w: F.octet_length(w)))
+    out = out.withColumn(c["longest"], F.coalesce(longest, F.lit(0)))
+    short = F.filter(
+        c["words"], lambda w: (F.octet_length(w) <= F.col(c["longest"])) | (F.octet_length(w) != F.char_length(w))
+    )
+    out = out.withColumn(c["spaced"], F.concat(blank, F.lower(F.array_join(short, "  ")), blank))
     size = F.octet_length(c["spaced"])
 
     def copies(word: Column) -> Column:
@@ -71,7 +77,7 @@ def _histograms(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
 
     out = out.withColumn(c["hits"], F.transform(c["own"], copies))
     common = F.concat(c["hits"], F.array(F.size(c["words"]).cast("long") - _sum(F.col(c["hits"]))))
-    return out.withColumn(c["common"], common).drop(c["spaced"], c["hits"], c["own"])
+    return out.withColumn(c["common"], common).drop(c["spaced"], c["hits"], c["own"], c["longest"])
 
 
 def _base(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
@@ -111,9 +117,11 @@ def _base(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
     return out.drop(*[c[x] for x in ("lines", "windows", "pairs", "at", "words")])
 
 
-def _divergence(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two histograms given as counts."""
-    total, base = _sum(counts), _sum(reference)
+def _divergence(counts: Column, total: Column, reference: Column, base: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of two histograms given as counts with their sums.
+
+    The sums are columns, so that they are not added up anew for every pair of counts.
+    """
 
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
@@ -127,7 +135,7 @@ def _divergence(counts: Column, reference: Column) -> Column:
 
 
 def _names(df: DataFrame) -> dict[str, str]:
-    wanted = ["words", "classes", "spaced", "own", "hits", "common", "lines", "windows", "pairs", "at", "lang_key"]
+    wanted = ["words", "classes", "spaced", "own", "hits", "longest", "common", "lines", "windows", "pairs", "at", "lang_key"]
     wanted += [f"rest{i}" for i in range(len(CLASSES))] + BASE
     return dict(zip(wanted, own_names(df, wanted), strict=True))
 
@@ -146,7 +154,7 @@ def _measured(rows: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def references_of(measured: DataFrame) -> DataFrame:
-    """(lang, ref_words, ref_classes, ref_common, farthest): one row per language from all its
+    """(lang, ref_words, ref_classes, ref_common, their sums, farthest): one row per language from all its
     measured documents that pass the length guard; ``farthest`` is the distance of a text
     without any of the language's common words."""
     rows = measured.where(F.col("n_words") >= GUARD_WORDS)
@@ -161,8 +169,9 @@ def references_of(measured: DataFrame) -> DataFrame:
         F.array(*[f"k{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
         common.alias("ref_common"),
     )
+    refs = refs.withColumns({"ref_letters": _sum(F.col("ref_classes")), "ref_all": _sum(F.col("ref_common"))})
     nothing = F.transform("ref_common", lambda x, i: F.when(i == F.size("ref_common") - 1, 1).otherwise(0).cast("long"))
-    return refs.withColumn("farthest", _divergence(nothing, F.col("ref_common")))
+    return refs.withColumn("farthest", _divergence(nothing, F.lit(1), F.col("ref_common"), F.col("ref_all")))
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -180,10 +189,11 @@ def _judged(measured: DataFrame) -> DataFrame:
     # what drawing so few words from the language itself would give in the mean
     drawn = (F.size("ref_common") - 1) / (8 * F.log(F.lit(2.0)) * F.col("n_words"))
     limit = F.sqrt(F.pow(FOREIGN * F.col("farthest"), F.lit(2.0)) + drawn)
+    out = out.withColumns({"letters": _sum(F.col("classes")), "counted": _sum(F.col("common"))})
     out = out.withColumns({
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-        "class_distance": F.when(fit, F.round(_divergence(F.col("classes"), F.col("ref_classes")), 6)),
-        "word_distance": F.when(fit, F.round(_divergence(F.col("common"), F.col("ref_common")), 6)),
+        "class_distance": F.when(fit, F.round(_divergence(*map(F.col, ("classes", "letters", "ref_classes", "ref_letters"))), 6)),
+        "word_distance": F.when(fit, F.round(_divergence(*map(F.col, ("common", "counted", "ref_common", "ref_all"))), 6)),
         "word_limit": F.when(fit, F.round(limit, 6)),
     })
     far = (F.col("class_distance") > MOST_CLASS_DISTANCE) | (F.col("word_distance") > F.col("word_limit"))
