@@ -38,15 +38,16 @@ def _language(lang_col: str) -> Column:
 
 
 def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = COMMON) -> DataFrame:
-    """(lang, own): the ``most`` most frequent words of each language, in lower case, from all
-    texts; ties go by the word. Each task adds up its words before the shuffle, and hands on
+    """(lang, own, longest): the ``most`` most frequent words of each language, in lower case,
+    from all texts, and the bytes of the longest; ties go by the word. Each task adds up its words before the shuffle, and hands on
     no more than ``most`` of a language afterwards."""
     rows = docs.select(_language(lang_col).alias("lang"), F.explode(words_of(F.lower(F.col(text_col)))).alias("word"))
     counts = rows.groupBy("lang", "word").agg(F.count("*").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "word")
     first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     listed = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("own"))
-    return listed.select("lang", F.transform("own", lambda x: x["word"]).alias("own"))
+    own = F.transform("own", lambda x: x["word"])
+    return listed.select("lang", own.alias("own"), F.array_max(F.transform(own, F.octet_length)).alias("longest"))
 
 
 def _histograms(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
@@ -63,8 +64,6 @@ def _histograms(df: DataFrame, text_col: str, c: dict[str, str]) -> DataFrame:
     # every word between blanks of its own, so that its copies are found by what they take away;
     # words longer than any of the list are left out, if lower case does not change their length
     blank = F.lit(" ")
-    longest = F.array_max(F.transform(c["own"], lambda w: F.octet_length(w)))
-    out = out.withColumn(c["longest"], F.coalesce(longest, F.lit(0)))
     short = F.filter(
         c["words"], lambda w: (F.octet_length(w) <= F.col(c["longest"])) | (F.octet_length(w) != F.char_length(w))
     )
@@ -145,7 +144,7 @@ def _measured(rows: DataFrame, lists: DataFrame) -> DataFrame:
     the text: one narrow row each, made in one pass over the texts."""
     names = _names(rows)
     key = names["lang_key"]
-    lists = lists.select(F.col("lang").alias(key), F.col("own").alias(names["own"]))
+    lists = lists.select(F.col("lang").alias(key), *[F.col(x).alias(names[x]) for x in ("own", "longest")])
     # a row per language: Spark broadcasts it by the size of the stored table, if that is small
     out = rows.join(lists, F.col("lang").eqNullSafe(F.col(key)), "left").drop(key)
     out = _base(_histograms(out, "text", names), "text", names)
