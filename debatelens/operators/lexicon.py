@@ -118,7 +118,7 @@ def _valence_entries(lexicon: DataFrame, rules: ValenceRules) -> DataFrame:
 
 
 def _phrase_runs(lowered: Column, rules: ValenceRules) -> Column:
-    """(at, n, word) of the runs of n words that begin like a phrase of the rules."""
+    """(at, n, word, raw) of the runs of n words that begin like a phrase of the rules."""
     phrases = [p.split() for p in _marks(rules) if " " in p]
     starts = sorted({p[0] for p in phrases})
     sizes = sorted({len(p) for p in phrases})
@@ -127,7 +127,12 @@ def _phrase_runs(lowered: Column, rules: ValenceRules) -> Column:
     def runs(i: Column) -> Column:
         return F.array(
             *[
-                F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(lowered, i + 1, n), " ").alias("word"))
+                F.struct(
+                    i.alias("at"),
+                    F.lit(n).alias("n"),
+                    F.concat_ws(" ", *[F.get(lowered, i + step) for step in range(n)]).alias("word"),
+                    F.lit("").alias("raw"),
+                )
                 for n in sizes
             ]
         )
@@ -146,16 +151,22 @@ def _known_words(
         quiet = F.exists("_tokens", lambda t: (F.upper(t) != t) | (F.lower(t) == t))
         # below the explode, so that they are found once per text
         read = read.select(
-            "_text", "_tokens", F.size("_tokens").alias("_n"), (F.col("_said").rlike(_SHOUT) & quiet).alias("_mixed")
+            "_text",
+            "_tokens",
+            F.transform("_tokens", lambda t: F.lower(_bare(t))).alias("_lowered"),
+            F.size("_tokens").alias("_n"),
+            (F.col("_said").rlike(_SHOUT) & quiet).alias("_mixed"),
+        )
+        single = F.transform(
+            "_lowered",
+            lambda w, i: F.struct(i.alias("at"), F.lit(1).alias("n"), w.alias("word"), F.get("_tokens", i).alias("raw")),
         )
-        single = read.select("_text", "_n", "_mixed", F.posexplode("_tokens").alias("at", "raw"))
-        single = single.select("_text", "_n", "_mixed", "at", F.lit(1).alias("n"), F.lower(_bare(F.col("raw"))).alias("word"), "raw")
         if any(" " in p for p in _marks(rules)):
-            lowered = read.withColumn("_lowered", F.transform("_tokens", lambda t: F.lower(_bare(t))))
-            runs = lowered.withColumn("_runs", _phrase_runs(F.col("_lowered"), rules))
-            runs = runs.select("_text", "_n", "_mixed", F.explode("_runs").alias("r"))
-            runs = runs.select("_text", "_n", "_mixed", "r.at", "r.n", "r.word", F.lit("").alias("raw"))
-            single = single.unionByName(runs)
+            single = F.concat(single, _phrase_runs(F.col("_lowered"), rules))
+        # outer, as Spark puts a filter below an inner one that reads all words of a text anew for each of them;
+        # the row of a text without words finds no entry
+        single = read.select("_text", "_n", "_mixed", F.explode_outer(single).alias("w"))
+        single = single.select("_text", "_n", "_mixed", "w.at", "w.n", "w.word", "w.raw")
         entries = _valence_entries(lexicon, rules).withColumn("listed", F.lit(True))
         met = join_words(single, entries, "left", max_bytes)
         not_form = (F.col("n") == 1) & F.col("word").contains("n't")
@@ -194,41 +205,60 @@ def _before(place: Column, distance: int) -> Column:
     return F.coalesce(*[F.when(k["at"] == at, k) for k in earlier])
 
 
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What follows from a value that is found once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _shifted(value: Column, place: Column, distance: int, rules: ValenceRules) -> Column:
     """Value of a lexicon word after the booster or negation ``distance`` words before it.
 
     A word of the lexicon at that place changes nothing, nor does an unmarked one.
     """
-    hit = _before(place, distance)
-    shout = F.when(hit["loud"], F.when(value > 0, rules.capitals).otherwise(-rules.capitals)).otherwise(0.0)
-    strength = F.when(value < 0, -hit["strength"]).otherwise(hit["strength"])
-    moved = value + F.coalesce((strength + shout) * rules.distance_damping[distance - 1], F.lit(0.0))
-    turned = F.when(hit["negates"].isNotNull(), rules.negation).otherwise(1.0)
-    # "never so good" strengthens instead of turning the meaning
-    if distance > 1:
-        so = F.lit(False)
-        for d in range(1, distance):
-            so = so | F.coalesce(_before(place, d)["named"] == _SO, F.lit(False))
-        turned = F.when(hit["never"].isNotNull() & so, {2: 1.5, 3: 1.25}[distance]).otherwise(turned)
-    result = F.when(hit.isNull(), value).when(hit["valence"].isNull(), moved * turned).otherwise(value)
-    if distance < 3:
-        return result
-    phrased = F.col("_phrases").isNotNull() & (F.get("_single", place)["at"] >= 3) & hit["valence"].isNull()
-    return F.when(phrased & value.isNotNull(), _with_phrases(result, place, rules)).otherwise(result)
+
+    def after(hit: Column) -> Column:
+        shout = F.when(hit["loud"], F.when(value > 0, rules.capitals).otherwise(-rules.capitals)).otherwise(0.0)
+        strength = F.when(value < 0, -hit["strength"]).otherwise(hit["strength"])
+        moved = value + F.coalesce((strength + shout) * rules.distance_damping[distance - 1], F.lit(0.0))
+        turned = F.when(hit["negates"].isNotNull(), rules.negation).otherwise(1.0)
+        # "never so good" strengthens instead of turning the meaning
+        if distance > 1:
+            so = F.lit(False)
+            for d in range(1, distance):
+                so = so | F.coalesce(_before(place, d)["named"] == _SO, F.lit(False))
+            turned = F.when(hit["never"].isNotNull() & so, {2: 1.5, 3: 1.25}[distance]).otherwise(turned)
+        result = F.when(hit.isNull(), value).when(hit["valence"].isNull(), moved * turned).otherwise(value)
+        if distance < 3:
+            return result
+        phrased = F.col("_phrases").isNotNull() & (F.get("_single", place)["at"] >= 3) & hit["valence"].isNull()
+        return F.when(phrased & value.isNotNull(), _with_phrases(result, place, rules)).otherwise(result)
+
+    return _given(_before(place, distance), after)
 
 
 def _with_phrases(value: Column, place: Column, rules: ValenceRules) -> Column:
     """Value after idioms around the word, which replace it, and two-word boosters."""
     at = F.get("_single", place)["at"]
+    # only what can lie within three words, so that a text of many phrases takes no longer per word
+    most = len({len(p.split()) for p in _marks(rules) if " " in p})
+    earlier = F.get("_placed", place) - place
+    close = (F.get("_phrases", earlier - 1)["at"] >= at - 3) | (F.get("_phrases", earlier)["at"] == at)
+    # not by slice(), which copies the whole list first
+    listed = F.transform(F.sequence(earlier - 3 * most, earlier + most - 1), lambda i: F.get("_phrases", i))
+    near = F.filter(listed, lambda p: p["at"].between(at - 3, at))
+
+    def found(phrases: Column) -> Column:
+        places = [(0, 3), (0, 2), (-1, 2), (-2, 3), (-2, 2), (-3, 3), (-3, 2)]
+
+        def ranked(p: Column) -> Column:
+            rank = F.coalesce(*[F.when((p["at"] == at + shift) & (p["n"] == n), i) for i, (shift, n) in enumerate(places)])
+            return F.struct(rank.alias("rank"), p["idiom"].alias("idiom"))
 
-    def said(shift: int, n: int, what: str) -> Column:
-        here = F.filter("_phrases", lambda p: (p["at"] == at + shift) & (p["n"] == n) & p[what].isNotNull())
-        return F.get(here, F.lit(0))[what]
+        idioms = F.filter(F.transform(phrases, ranked), lambda i: i["rank"].isNotNull() & i["idiom"].isNotNull())
+        weak = F.exists(phrases, lambda p: p["at"].isin(at - 3, at - 2) & (p["n"] == 2) & p["weakens"].isNotNull())
+        return F.coalesce(F.array_min(idioms)["idiom"], value) - F.when(weak, rules.booster).otherwise(0.0)
 
-    places = [(0, 3), (0, 2), (-1, 2), (-2, 3), (-2, 2), (-3, 3), (-3, 2)]
-    value = F.coalesce(*[said(shift, n, "idiom") for shift, n in places], value)
-    weak = said(-3, 2, "weakens").isNotNull() | said(-2, 2, "weakens").isNotNull()
-    return value - F.when(weak, rules.booster).otherwise(0.0)
+    return F.when(close, _given(near, found)).otherwise(value)
 
 
 def _valence_columns(read: DataFrame, text: str, rules: ValenceRules, prefix: str) -> tuple[DataFrame, dict[str, Column]]:
@@ -237,6 +267,9 @@ def _valence_columns(read: DataFrame, text: str, rules: ValenceRules, prefix: st
     phrases = F.filter("_known", lambda k: k["n"] > 1)
     split = read.withColumn("_single", F.filter("_known", lambda k: k["n"] == 1))
     split = split.withColumn("_phrases", F.when(F.size(phrases) > 0, phrases))
+    # where the single words stand in the list of texts with phrases
+    placed = F.array_compact(F.transform("_known", lambda k, i: F.when(k["n"] == 1, i)))
+    split = split.withColumn("_placed", F.when(F.size(phrases) > 0, placed))
     # the rules visit the places of lexicon words that are no boosters
     places = F.transform("_single", lambda k, j: F.when(k["valence"].isNotNull() & k["strength"].isNull(), j))
     turns = F.transform(F.filter("_single", lambda k: k["turns"].isNotNull()), lambda k: k["at"])

@@ -36,7 +36,8 @@ def per_text(
     ``_text``. Rows and texts are laid out by the text's digest once, for all of them.
     """
     keyed = df.withColumn("_text", F.md5(text))
-    texts = keyed.where(F.col("_text").isNotNull()).select("_text", F.col(text).alias("_said"))
+    # a null text's key meets no row; without it, the text would be read twice to leave it out
+    texts = df.select(F.coalesce(F.md5(text), F.lit("")).alias("_text"), F.col(text).alias("_said"))
     texts = texts.dropDuplicates(["_text"])
     for find in found:
         keyed = keyed.join(find(texts), "_text", "left")

@@ -4,6 +4,7 @@ import random
 from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA
 from debatelens.operators.lexicon import ValenceRules, with_lexicons, with_polarity, with_valence
@@ -184,3 +185,27 @@ def test_polarity_is_the_same_in_any_order(spark):
     texts = [(i, " ".join(random.Random(i).sample(words, 40))) for i in range(20)]
     rows = with_polarity(spark.createDataFrame(texts, "id long, message string"), lexicon).collect()
     assert len({(r["textblob_polarity"], r["textblob_subjectivity"]) for r in rows}) == 1
+
+
+def test_words_of_a_text_are_found_once(spark, lexicon):
+    df = spark.createDataFrame([(1, "never so good")], "id long, message string")
+    said = df.withColumn("message", F.regexp_replace("message", "zz", "y"))
+    plan = with_valence(said, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    # nowhere else than in the list that is exploded, above all in no filter that visits it word by word
+    assert plan.count("regexp_replace(lambda") == 1
+    assert not [line for line in plan.split("\n") if "Filter" in line and "split(" in line]
+    # the text itself once for the rows and once for the different texts
+    assert plan.count("regexp_replace(message") == 2
+
+
+def test_long_texts_of_many_phrases_against_a_plain_computation(spark):
+    rules, rng = ValenceRules(idioms=ValenceRules().idioms | {"the good old bad": 2.5}), random.Random(8)
+    lexicon = {"good": 1.9, "bad": -2.5, "ass": -2.1, "right": 0.4, "death": -2.9, "bus": -0.2, "kiss": 1.8}
+    parts = [*lexicon, *rules.idioms, "kind of", "sort of", "just enough", "never so", "very", "GOOD", "the", "table", "good!"]
+    texts = [" ".join(rng.choices(parts, k=n)) for n in (40, 400, 3000)]
+    table = spark.createDataFrame(list(lexicon.items()), "word string, valence double")
+    df = spark.createDataFrame([*enumerate(texts), (3, None), (4, "")], "id long, message string")
+    got = [list(r)[2:] for r in with_valence(df, table, rules=rules).orderBy("id").collect()]
+    for text, row in zip(texts, got):
+        assert row == pytest.approx(plain_valence(text, lexicon, rules), abs=6e-4)
+    assert got[3] == [None] * 4 and got[4] == [0.0] * 4
